@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import calendar as cal
 from tessera.functions.columns import MONEY_SUM, exact_quantiles, money_sum, r4
+from tessera.operators.profile import box_stats
 
 ENTITY = "billing_entity"
 DEFAULT_TOTAL_LABEL = "ALL"
@@ -164,44 +165,6 @@ def entity_size_class(df: DataFrame, truncate_mean: bool = True) -> DataFrame:
         .otherwise("SMALL").alias("size_class"))
 
 
-def box_stats(df: DataFrame, value_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """O-26 / O-27: five-number summary with 1.5 IQR fences, whiskers and outlier count.
-
-    Two passes: quartiles per group, then a join back on the group keys to find
-    the whisker ends and count the outliers (no per-group collect).
-    """
-    v = F.col(value_col).cast("double")
-    base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-    q = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"),
-        exact_quantiles("_v", [0.25, 0.5, 0.75]).alias("_q"), F.max("_v").alias("max"))
-    q = q.select(*keys, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "max")
-    q = q.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
-         .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = base.join(q.select(*keys, "lower_fence", "upper_fence"), list(keys), "inner") if keys \
-        else base.crossJoin(F.broadcast(q.select("lower_fence", "upper_fence")))
-    inside = F.col("_v").between(F.col("lower_fence"), F.col("upper_fence"))
-    w = j.groupBy(*keys).agg(
-        F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
-        F.sum(F.when(~inside, 1).otherwise(0)).cast("long").alias("n_outliers"))
-    out = q.join(w, list(keys), "inner") if keys else q.crossJoin(w)
-    stats = ["min", "q1", "median", "q3", "max", "lower_fence", "upper_fence",
-             "lower_whisker", "upper_whisker"]
-    return out.select(*keys, "n", *[r4(c).alias(c) for c in stats], "n_outliers")
-
-
-def box_outliers(df: DataFrame, value_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows whose value lies outside the 1.5 IQR fences of its group (box points)."""
-    v = F.col(value_col).cast("double")
-    q = df.groupBy(*keys).agg(exact_quantiles(v, [0.25, 0.75]).alias("_q")).select(
-        *keys, (F.col("_q")[0] - 1.5 * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-        (F.col("_q")[1] + 1.5 * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
-    j = df.join(q, list(keys), "inner") if keys else df.crossJoin(F.broadcast(q))
-    return j.filter((v < F.col("_lo")) | (v > F.col("_hi"))).drop("_lo", "_hi")
-
-
 def entity_means_box(df: DataFrame, selected: str) -> DataFrame:
     """O-59: entity means with box statistics over all of them and the selected entity marked."""
     means = entity_means(df)

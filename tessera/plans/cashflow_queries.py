@@ -107,8 +107,8 @@ ENTITY_MEANS_CTE = f"""{MONTHLY_CTE},
 e as (select billing_entity, avg(cast(total_payments as double)) as monthly_mean
       from m group by billing_entity)"""
 
-BOX_COLS = """b.n, round(b.mn, 4) as min, round(b.q1, 4) as q1, round(b.med, 4) as median,
-  round(b.q3, 4) as q3, round(b.mx, 4) as max, round(b.lf, 4) as lower_fence,
+BOX_COLS = """b.n, round(b.mn, 4) as min, round(b.q1, 4) as p25, round(b.med, 4) as p50,
+  round(b.q3, 4) as p75, round(b.mx, 4) as max, round(b.lf, 4) as lower_fence,
   round(b.uf, 4) as upper_fence, round(w.lw, 4) as lower_whisker, round(w.uw, 4) as upper_whisker,
   w.n_out as n_outliers"""
 

@@ -9,6 +9,7 @@ import importlib
 # invariants in tests/ and by rows only in the driver.
 _MODULES = [
     "tessera.plans.cashflow_queries",
+    "tessera.plans.profile_queries",
 ]
 
 
