@@ -254,7 +254,7 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str, n: int = 1000,
     per-partition top-n followed by one small merge.
     """
     h = portable_hash(key, seed)
-    return (df.select(key, x, y, h.alias("_h")).orderBy("_h", key).limit(n)
+    return (df.select(key, x, y, h.alias("_h")).orderBy("_h", key, x, y).limit(n)
             .select(key, x, y))
 
 

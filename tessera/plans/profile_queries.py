@@ -202,7 +202,8 @@ q as (select quality, quantile_cont(n_words, 0.25) as q1, quantile_cont(n_words,
 select dq.* from dq join q on dq.quality = q.quality
 where n_words < q1 - 1.5 * (q3 - q1) or n_words > q3 + 1.5 * (q3 - q1)""",
     "scatter_sample": f"""{LI}
-select k, quantity, price from li order by (k * 2654435761) % 4294967296, k limit 1000""",
+select k, quantity, price from li
+order by (k * 2654435761) % 4294967296, k, quantity, price limit 1000""",
     "missing_report": f"""{LI},
 m as (select
   cast(sum(case when quantity is null or isnan(quantity) then 1 else 0 end) as bigint) as q,
