@@ -10,6 +10,7 @@ import importlib
 _MODULES = [
     "tessera.plans.cashflow_queries",
     "tessera.plans.profile_queries",
+    "tessera.plans.lag_queries",
 ]
 
 
