@@ -11,6 +11,7 @@ _MODULES = [
     "tessera.plans.cashflow_queries",
     "tessera.plans.profile_queries",
     "tessera.plans.lag_queries",
+    "tessera.plans.sampling_queries",
 ]
 
 
