@@ -38,7 +38,7 @@ def _blocks(df: DataFrame, group: Sequence[str], key: str, vec: str, block_size:
 
 def knn(query: DataFrame, cand: DataFrame, key: str, vec: str, k: int,
         group: Sequence[str] = (), exclude_self: bool = False, block_size: int = 256,
-        cand_cols: Sequence[str] = ()) -> DataFrame:
+        cand_cols: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
     """For every query row the ``k`` nearest candidate rows of the same group (Euclidean).
 
     ``query`` and ``cand`` both have ``key`` (BIGINT) and ``vec`` (array of numbers).
@@ -71,7 +71,10 @@ def knn(query: DataFrame, cand: DataFrame, key: str, vec: str, k: int,
                 if len(qk) == 0 or len(ck) == 0:
                     continue
                 diff = qv[:, None, :] - cv[None, :, :]
-                d = np.round(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), DIST_DIGITS)
+                if metric == "manhattan":
+                    d = np.round(np.abs(diff).sum(axis=2), DIST_DIGITS)
+                else:
+                    d = np.round(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), DIST_DIGITS)
                 if exclude_self:
                     d = np.where(qk[:, None] == ck[None, :], np.inf, d)
                 kk = min(k, len(ck))

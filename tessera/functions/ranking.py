@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 _POS_MASK = (1 << 33) - 1
 
 
@@ -46,6 +48,13 @@ def with_group_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
     s = s.sortWithinPartitions(*sort_cols).select(
         "*", F.spark_partition_id().alias("_pid"),
         (F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))).alias("_pos"))
+    # Both the count table and the join below must see the same partitioning.
+    # Two plans over this frame could differ after column pruning and then
+    # sample different range bounds, so the positions are pinned to one RDD:
+    # a (lazy) reliable checkpoint in the shared spark.checkpoint.dir, which
+    # also cuts the lineage (a lost executor re-reads the written partitions).
+    ensure_checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=False)
     cnt = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
     off = cnt.select(

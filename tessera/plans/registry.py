@@ -12,6 +12,7 @@ _MODULES = [
     "tessera.plans.profile_queries",
     "tessera.plans.lag_queries",
     "tessera.plans.sampling_queries",
+    "tessera.plans.model_queries",
 ]
 
 
