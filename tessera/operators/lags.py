@@ -85,10 +85,13 @@ def payer_panel(df: DataFrame, value_col: str, class_col: str = "financial_class
     The densifying join is on the entity key between two aggregated tables
     (months of the entity x payers of the entity): its output is exactly the
     pivot's cells."""
-    is_count = dict(df.dtypes)[value_col] in ("bigint", "int")
-    s = F.sum(value_col) if is_count else money_sum(value_col)
-    cells = df.groupBy(ENTITY, cal.month_start("posted_date").alias(MONTH),
-                       F.col(class_col).alias("payer")).agg(s.cast("double").alias("value"))
+    if "payer" in df.columns:  # already the monthly payer cells (see ``payer_cells``)
+        cells = df.select(ENTITY, MONTH, "payer", F.col(value_col).cast("double").alias("value"))
+    else:
+        is_count = dict(df.dtypes)[value_col] in ("bigint", "int")
+        s = F.sum(value_col) if is_count else money_sum(value_col)
+        cells = df.groupBy(ENTITY, cal.month_start("posted_date").alias(MONTH),
+                           F.col(class_col).alias("payer")).agg(s.cast("double").alias("value"))
     months = cells.select(ENTITY, MONTH).distinct()
     payers = cells.select(ENTITY, "payer").distinct()
     grid = months.join(payers, ENTITY, "inner")
@@ -96,6 +99,16 @@ def payer_panel(df: DataFrame, value_col: str, class_col: str = "financial_class
             .select(ENTITY, MONTH, "payer", F.coalesce("value", F.lit(0.0)).alias("value")))
 
 
+def payer_cells(df: DataFrame, class_col: str = "financial_class") -> DataFrame:
+    """Monthly sums per (entity, month, payer) of payments, footfall and charges: the one
+    aggregation of the fact table every payer regressor is derived from."""
+    return df.groupBy(ENTITY, cal.month_start("posted_date").alias(MONTH),
+                      F.col(class_col).alias("payer")).agg(
+        money_sum("total_payments").alias("total_payments"),
+        F.sum("footfall").cast("long").alias("footfall"),
+        money_sum("total_charge").alias("total_charge"))
+
+
 def payer_lag_correlation(df: DataFrame, value_col: str,
                           lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """O-72: for each lag, correlation of every payer's back-filled lagged ``value_col``

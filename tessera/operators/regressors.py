@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import calendar as cal
 from tessera.functions.columns import r4
-from tessera.operators.lags import ENTITY, MONTH, monthly_panel, payer_panel, with_lags_bfilled
+from tessera.operators.lags import (ENTITY, MONTH, monthly_panel, payer_cells, payer_panel,
+                                   with_lags_bfilled)
 
 # Weekday count columns, Monday first.
 WEEKDAY_COLS = ["n_Mon", "n_Tue", "n_Wed", "n_Thu", "n_Fri", "n_Sat", "n_Sun"]
@@ -27,7 +28,8 @@ def weekday_counts(df: DataFrame, horizon: int = 3) -> DataFrame:
 
     Days come from ``sequence`` per entity: the row count is bounded by the
     calendar span, not by the fact table."""
-    span = df.groupBy(ENTITY).agg(F.min("posted_date").alias("d0"), F.max("posted_date").alias("d1"))
+    d = "posted_date" if "posted_date" in df.columns else MONTH
+    span = df.groupBy(ENTITY).agg(F.min(d).alias("d0"), F.max(d).alias("d1"))
     days = span.select(ENTITY, F.explode(F.sequence(
         F.trunc("d0", "month"),
         F.date_sub(F.add_months(F.trunc("d1", "month"), horizon + 1), 1))).alias("d"))
@@ -43,7 +45,8 @@ def weekday_counts(df: DataFrame, horizon: int = 3) -> DataFrame:
 
 def future_months(df: DataFrame, n: int = 3) -> DataFrame:
     """O-77: the next ``n`` first-of-month dates after each entity's last posting."""
-    last = df.groupBy(ENTITY).agg(F.max("posted_date").alias("d1"))
+    d = "posted_date" if "posted_date" in df.columns else MONTH
+    last = df.groupBy(ENTITY).agg(F.max(d).alias("d1"))
     return last.select(ENTITY, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step"),
                        F.trunc("d1", "month").alias("m")).select(
         ENTITY, F.add_months("m", F.col("step")).alias(MONTH), F.col("step").cast("int"))
@@ -60,46 +63,74 @@ def percentage_mix(long: DataFrame, keys: Sequence[str] = (ENTITY,)) -> DataFram
     return filled.withColumn("value", F.bround(F.try_divide(F.col("value"), tot) * 100, 2))
 
 
-def payer_regressors(df: DataFrame, value_col: str = "total_payments", lag: int = 2,
-                     horizon: int = 3, percent: bool = True, suffix: str = "") -> DataFrame:
-    """O-79 / O-80: payer mix of ``value_col`` per month (percent of the month), payers that
-    are zero throughout dropped, ``horizon`` future months appended, every series
-    lagged by ``lag`` and back-filled; ``is_future`` marks the appended months."""
-    panel = payer_panel(df, value_col).select(
-        ENTITY, MONTH, F.concat(F.col("payer"), F.lit(suffix)).alias("feature"), "value")
+# Suffix of each payer regressor family (payments, footfall, charges).
+FAMILIES = [("total_payments", ""), ("footfall", "_ff"), ("total_charge", "_ch")]
+
+
+def _payer_long(cells: DataFrame, families) -> DataFrame:
+    """Payer cells densified per entity (months x payers, 0 where absent), one row per
+    (entity, month, family, feature)."""
+    months = cells.select(ENTITY, MONTH).distinct()
+    payers = cells.select(ENTITY, "payer").distinct()
+    grid = months.join(payers, ENTITY, "inner").join(
+        cells, [ENTITY, MONTH, "payer"], "left")
+    fam = F.inline(F.array(*[F.struct(F.lit(v).alias("family"),
+                                      F.concat(F.col("payer"), F.lit(sfx)).alias("feature"),
+                                      F.coalesce(F.col(v).cast("double"), F.lit(0.0))
+                                      .alias("value")) for v, sfx in families]))
+    return grid.select(ENTITY, MONTH, fam)
+
+
+def _regressor_families(df: DataFrame, families, lag: int, horizon: int,
+                        percent: bool) -> DataFrame:
+    """O-79 / O-80 for several families at once, as one lineage of window functions:
+    percentage of the month (per family), payers that are zero throughout dropped,
+    ``horizon`` future months appended after the entity's last month, every
+    series lagged by ``lag`` and back-filled."""
+    cells = df if "payer" in df.columns else payer_cells(df)
+    long = _payer_long(cells, families)
     if percent:
-        panel = percentage_mix(panel)
-    nz = panel.groupBy(ENTITY, "feature").agg(
-        F.max(F.when(F.col("value") != 0, 1).otherwise(0)).alias("_nz")).filter("_nz = 1")
-    panel = panel.join(nz.select(ENTITY, "feature"), [ENTITY, "feature"], "left_semi")
-    fut = future_months(df, horizon).select(ENTITY, MONTH)
-    fut = fut.join(nz.select(ENTITY, "feature"), ENTITY).select(
-        ENTITY, MONTH, "feature", F.lit(None).cast("double").alias("value"))
-    allm = panel.withColumn("is_future", F.lit(False)).unionByName(
-        fut.withColumn("is_future", F.lit(True)))
+        long = percentage_mix(long, [ENTITY, "family"])
+    nz = F.max(F.when(F.col("value") != 0, 1).otherwise(0)).over(
+        Window.partitionBy(ENTITY, "feature"))
+    long = long.withColumn("_nz", nz).filter("_nz = 1").drop("_nz")
+    last = F.max(MONTH).over(Window.partitionBy(ENTITY))
+    rn = F.row_number().over(Window.partitionBy(ENTITY, "feature").orderBy(F.desc(MONTH)))
+    tail = long.select("*", last.alias("_last"), rn.alias("_rn")).filter("_rn = 1")
+    fut = tail.select(ENTITY, "family", "feature",
+                      F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_s"), "_last").select(
+        ENTITY, F.add_months("_last", F.col("_s")).alias(MONTH), "family", "feature",
+        F.lit(None).cast("double").alias("value"), F.lit(True).alias("is_future"))
+    allm = long.withColumn("is_future", F.lit(False)).unionByName(fut)
     lagged = with_lags_bfilled(allm, "value", [lag], [ENTITY, "feature"], prefix="_lag")
-    return lagged.select(ENTITY, MONTH, "feature", F.col(f"_lag{lag}").alias("value"),
+    return lagged.select(ENTITY, MONTH, "family", "feature", F.col(f"_lag{lag}").alias("value"),
                          "is_future")
 
 
+def payer_regressors(df: DataFrame, value_col: str = "total_payments", lag: int = 2,
+                     horizon: int = 3, percent: bool = True, suffix: str = "") -> DataFrame:
+    """O-79 / O-80: one family of payer regressors (``suffix`` ``_ff`` / ``_ch`` for
+    footfall and charges); long ``(entity, month, feature, value, is_future)``."""
+    return _regressor_families(df, [(value_col, suffix)], lag, horizon, percent).drop("family")
+
+
 def regressor_set(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
     """O-81: payer mix of payments, footfall and charges plus the weekday counts, long,
-    restricted to months present in all three payer sets (the reference's inner join),
-    with the monthly payments alongside; absent values are 0."""
-    sets = [payer_regressors(df, "total_payments", lag, horizon, True, ""),
-            payer_regressors(df, "footfall", lag, horizon, True, "_ff"),
-            payer_regressors(df, "total_charge", lag, horizon, True, "_ch")]
-    months = None
-    for s in sets:
-        m = s.select(ENTITY, MONTH, "is_future").distinct()
-        months = m if months is None else months.join(m, [ENTITY, MONTH, "is_future"], "inner")
-    payer = sets[0].unionByName(sets[1]).unionByName(sets[2])
-    payer = payer.join(months, [ENTITY, MONTH, "is_future"], "left_semi")
-    wd = weekday_counts(df, horizon).unpivot([ENTITY, MONTH], CALENDAR_COLS, "feature", "value")
+    with the monthly payments alongside; absent values are 0.
+
+    The fact table is aggregated once to monthly payer cells (entities x months x
+    payers rows) and all three families are one lineage over those cells. The
+    three families share the entity's months, so the reference's inner join of
+    the three keeps every month; the weekday counts join on those months."""
+    cells = df if "payer" in df.columns else payer_cells(df)
+    payer = _regressor_families(cells, FAMILIES, lag, horizon, True).drop("family")
+    months = payer.select(ENTITY, MONTH, "is_future").distinct()
+    wd = weekday_counts(cells, horizon).unpivot([ENTITY, MONTH], CALENDAR_COLS, "feature", "value")
     wd = wd.join(months, [ENTITY, MONTH], "inner").select(
         ENTITY, MONTH, "feature", F.col("value").cast("double"), "is_future")
     allf = payer.unionByName(wd)
-    pay = monthly_panel(df, ["total_payments"])
+    pay = cells.groupBy(ENTITY, MONTH).agg(
+        F.sum("total_payments").cast("double").alias("total_payments"))
     return (allf.join(pay, [ENTITY, MONTH], "left")
             .select(ENTITY, MONTH, "feature", F.coalesce("value", F.lit(0.0)).alias("value"),
                     "is_future", "total_payments"))

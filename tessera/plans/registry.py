@@ -13,6 +13,7 @@ _MODULES = [
     "tessera.plans.lag_queries",
     "tessera.plans.sampling_queries",
     "tessera.plans.model_queries",
+    "tessera.plans.forecast_queries",
 ]
 
 
