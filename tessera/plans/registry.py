@@ -14,6 +14,7 @@ _MODULES = [
     "tessera.plans.sampling_queries",
     "tessera.plans.model_queries",
     "tessera.plans.forecast_queries",
+    "tessera.plans.image_queries",
 ]
 
 
