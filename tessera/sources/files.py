@@ -42,9 +42,9 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
         nn = col.isNotNull()
-        aggs.append(F.sum(F.when(nn & F.try_cast(col, "long").isNull(), 1).otherwise(0))
+        aggs.append(F.sum(F.when(nn & col.try_cast("long").isNull(), 1).otherwise(0))
                     .alias(f"l{i}"))
-        aggs.append(F.sum(F.when(nn & F.try_cast(col, "double").isNull(), 1).otherwise(0))
+        aggs.append(F.sum(F.when(nn & col.try_cast("double").isNull(), 1).otherwise(0))
                     .alias(f"d{i}"))
     row = df.agg(*aggs).collect()[0]
     out = {}
