@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import r4
 from tessera.operators.lags import ENTITY, MONTH, monthly_panel
-from tessera.operators.regressors import CALENDAR_COLS, regressor_selection, regressor_set
+from tessera.operators.regressors import (CALENDAR_COLS, regressor_selection, regressor_set,
+                                          var_forecast, var_regressor_forecast)
 from tessera.session import ensure_checkpoint_dir
 
 Z95 = 1.959963984540054
@@ -260,41 +261,6 @@ def _varx_forecast(Y: np.ndarray, X: np.ndarray, Xf: np.ndarray, h: int):
     return P, P - Z95 * se, P + Z95 * se, f"varx({p},{q})"
 
 
-def var_forecast(panel: np.ndarray, h: int) -> np.ndarray:
-    """O-89: VAR(1) by least squares on all columns, ``h`` steps ahead."""
-    n, k = panel.shape
-    if n < 3:
-        return np.repeat(panel[-1:], h, axis=0)
-    D = np.column_stack([np.ones(n - 1), panel[:-1]])
-    B, *_ = np.linalg.lstsq(D, panel[1:], rcond=None)
-    last = panel[-1]
-    out = []
-    for _ in range(h):
-        last = np.concatenate([[1.0], last]) @ B
-        out.append(last)
-    return np.array(out)
-
-
-def var_regressor_forecast(reg: DataFrame, horizon: int = 3) -> DataFrame:
-    """O-89: each entity's actual payer regressors forecast ``horizon`` months ahead with
-    a VAR(1); one ``applyInPandas`` group per entity (months x features values)."""
-    act = reg.filter(~F.col("is_future") & ~F.col("feature").isin(*CALENDAR_COLS)).select(
-        ENTITY, MONTH, "feature", "value")
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=MONTH, columns="feature", values="value",
-                               aggfunc="first").sort_index().fillna(0.0)
-        fc = var_forecast(wide.to_numpy(dtype=float), horizon)
-        last = pd.Timestamp(wide.index.max())
-        months = [(last + pd.DateOffset(months=i + 1)).date() for i in range(horizon)]
-        rows = [(key[0], m, f, float(fc[i, j])) for i, m in enumerate(months)
-                for j, f in enumerate(wide.columns)]
-        return pd.DataFrame(rows, columns=[ENTITY, MONTH, "feature", "value"])
-
-    return act.groupBy(ENTITY).applyInPandas(
-        fit, f"{ENTITY} string, {MONTH} date, feature string, value double")
-
-
 # ---------------------------------------------------------------- O-89..O-93 per entity
 
 def _entity_models(stage: str, horizon: int, max_order: int, exog_cols: list[str],
@@ -312,8 +278,10 @@ def _entity_models(stage: str, horizon: int, max_order: int, exog_cols: list[str
         hh = len(months)
         cal_fit = fitm[CALENDAR_COLS].to_numpy(dtype=float)
         cal_t = target[CALENDAR_COLS].to_numpy(dtype=float)
-        for name, X, Xf in (("arima", None, None), ("arima_exog", cal_fit, cal_t)):
-            pred, lo, hi, od = _arima_forecast(y, hh, X, Xf, max_order)
+        # orders up to max_order without regressors, up to 5 with the (many) weekday ones
+        for name, X, Xf, mo in (("arima", None, None, max_order),
+                                ("arima_exog", cal_fit, cal_t, min(max_order, 5))):
+            pred, lo, hi, od = _arima_forecast(y, hh, X, Xf, mo)
             for m, a, b, c in zip(months, pred, lo, hi):
                 rows.append((ent, stage, name, m, float(a), float(b), float(c), od))
         vcols = [c for c in str(fitm[varmax_cols_key].iloc[0] or "").split("|") if c]
@@ -336,7 +304,7 @@ def forecast_panel(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
     """Monthly series + calendar counts + selected payer regressors, one row per
     (entity, month), including the ``horizon`` future months (y null), with the
     temporal split and the VARMAX regressor list (top-2 by mean) per entity."""
-    reg = regressor_set(df, lag, horizon)
+    reg = regressor_set(df, lag, horizon, var_fill=True)
     sel = regressor_selection(reg)
     top = sel.filter("varmax").groupBy(ENTITY).agg(
         F.array_join(F.array_sort(F.collect_list("feature")), "|").alias("_varmax"))
@@ -359,7 +327,7 @@ def forecast_panel(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
 
 
 def statistical_forecasts(panel: DataFrame, names: Sequence[str], stage: str = "test",
-                          horizon: int = 3, max_order: int = 3) -> DataFrame:
+                          horizon: int = 3, max_order: int = 7) -> DataFrame:
     """O-90..O-93: ARIMA without and with weekday regressors, and VARMAX, per entity,
     fitted on the stage's window and predicting the next months."""
     p = panel.withColumn("_fit", stage_window("split", stage))
@@ -445,7 +413,7 @@ def forest_importances(panel: DataFrame, names: Sequence[str], stage: str = "tes
 # ---------------------------------------------------------------- O-84, O-94..O-97
 
 def all_candidates(df: DataFrame, stage: str = "test", lag: int = 2, horizon: int = 3,
-                   max_order: int = 3) -> tuple[DataFrame, DataFrame]:
+                   max_order: int = 7) -> tuple[DataFrame, DataFrame]:
     """Every candidate model's predictions for a stage, and the series with its split."""
     panel, names = forecast_panel(df, lag, horizon)
     panel = panel.persist()
@@ -471,7 +439,7 @@ def choose_model(errors: DataFrame, margin: float = 10.0) -> DataFrame:
 
 
 def forecast_report(df: DataFrame, lag: int = 2, horizon: int = 3,
-                    max_order: int = 3) -> DataFrame:
+                    max_order: int = 7) -> DataFrame:
     """O-84 / O-94..O-97: test-stage candidates and errors, model choice, the chosen model
     refitted on train+test and scored on validation, then on all data for the
     ``horizon`` unseen months; one long table with a ``series`` column

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +116,8 @@ def payer_regressors(df: DataFrame, value_col: str = "total_payments", lag: int
     return _regressor_families(df, [(value_col, suffix)], lag, horizon, percent).drop("family")
 
 
-def regressor_set(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
+def regressor_set(df: DataFrame, lag: int = 2, horizon: int = 3,
+                  var_fill: bool = False) -> DataFrame:
     """O-81: payer mix of payments, footfall and charges plus the weekday counts, long,
     with the monthly payments alongside; absent values are 0.
 
@@ -124,6 +127,14 @@ def regressor_set(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
     the three keeps every month; the weekday counts join on those months."""
     cells = df if "payer" in df.columns else payer_cells(df)
     payer = _regressor_families(cells, FAMILIES, lag, horizon, True).drop("family")
+    if var_fill and lag < horizon:
+        # O-84: future months whose lagged value lies past the data take a VAR(1)
+        # forecast of the unlagged regressors, shifted by the lag
+        base = _regressor_families(cells, FAMILIES, 0, horizon, True).drop("family")
+        varf = var_regressor_forecast(base, horizon).select(
+            ENTITY, F.add_months(MONTH, lag).alias(MONTH), "feature", F.col("value").alias("_vf"))
+        payer = payer.join(varf, [ENTITY, MONTH, "feature"], "left").select(
+            ENTITY, MONTH, "feature", F.coalesce("value", "_vf").alias("value"), "is_future")
     months = payer.select(ENTITY, MONTH, "is_future").distinct()
     wd = weekday_counts(cells, horizon).unpivot([ENTITY, MONTH], CALENDAR_COLS, "feature", "value")
     wd = wd.join(months, [ENTITY, MONTH], "inner").select(
@@ -136,6 +147,41 @@ def regressor_set(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
                     "is_future", "total_payments"))
 
 
+def var_forecast(panel: np.ndarray, h: int) -> np.ndarray:
+    """O-89: VAR(1) by least squares on all columns, ``h`` steps ahead."""
+    n, k = panel.shape
+    if n < 3:
+        return np.repeat(panel[-1:], h, axis=0)
+    D = np.column_stack([np.ones(n - 1), panel[:-1]])
+    B, *_ = np.linalg.lstsq(D, panel[1:], rcond=None)
+    last = panel[-1]
+    out = []
+    for _ in range(h):
+        last = np.concatenate([[1.0], last]) @ B
+        out.append(last)
+    return np.array(out)
+
+
+def var_regressor_forecast(reg: DataFrame, horizon: int = 3) -> DataFrame:
+    """O-89: each entity's actual payer regressors forecast ``horizon`` months ahead with
+    a VAR(1); one ``applyInPandas`` group per entity (months x features values)."""
+    act = reg.filter(~F.col("is_future") & ~F.col("feature").isin(*CALENDAR_COLS)).select(
+        ENTITY, MONTH, "feature", "value")
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=MONTH, columns="feature", values="value",
+                               aggfunc="first").sort_index().fillna(0.0)
+        fc = var_forecast(wide.to_numpy(dtype=float), horizon)
+        last = pd.Timestamp(wide.index.max())
+        months = [(last + pd.DateOffset(months=i + 1)).date() for i in range(horizon)]
+        rows = [(key[0], m, f, float(fc[i, j])) for i, m in enumerate(months)
+                for j, f in enumerate(wide.columns)]
+        return pd.DataFrame(rows, columns=[ENTITY, MONTH, "feature", "value"])
+
+    return act.groupBy(ENTITY).applyInPandas(
+        fit, f"{ENTITY} string, {MONTH} date, feature string, value double")
+
+
 def regressor_selection(reg: DataFrame, min_mean: float = 5.0, min_std: float = 0.5,
                         n_varmax: int = 2) -> DataFrame:
     """O-82: over the actual months, keep payer regressors with mean > 5 and population

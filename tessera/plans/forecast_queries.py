@@ -34,7 +34,7 @@ def _ma_errors(s, d):
 
 def _stat(s, d):
     panel, names = fc.forecast_panel(_p(s, d), 2, 3)
-    return fc.statistical_forecasts(panel, names, "test", 3, 3)
+    return fc.statistical_forecasts(panel, names, "test", 3, 7)
 
 
 def _forest(s, d):
@@ -43,7 +43,7 @@ def _forest(s, d):
 
 
 def _choice(s, d):
-    cand, split = fc.all_candidates(_p(s, d), "test", 2, 3, 3)
+    cand, split = fc.all_candidates(_p(s, d), "test", 2, 3, 7)
     return fc.choose_model(fc.forecast_errors(cand, split))
 
 
@@ -55,7 +55,7 @@ QUERIES = {
     "forest_forecast": _forest,
     "var_regressors": lambda s, d: fc.var_regressor_forecast(rg.regressor_set(_p(s, d), 2, 3), 3),
     "model_choice": _choice,
-    "forecast_report": lambda s, d: fc.forecast_report(_p(s, d), 2, 3, 2),
+    "forecast_report": lambda s, d: fc.forecast_report(_p(s, d), 2, 3, 7),
 }
 
 SERIES = f"""{P},

@@ -68,3 +68,23 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``tessera`` package importable by the Python workers (the pandas-UDF
+    operators pickle functions by module): zip it once per session and hand it to
+    ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    if spark.conf.get("tessera.shipped", "false") == "true":
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    spark.conf.set("tessera.shipped", "true")
