@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Col
 
 def with_group_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                     rank_col: str = "_rank", count_col: str | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, pin: str = "checkpoint") -> DataFrame:
     """Add the 0-based position of each row inside its group ordered by ``order_cols``
     (ascending, nulls first) and optionally the group size."""
     keys, order_cols = list(keys), list(order_cols)
@@ -50,11 +51,16 @@ def with_group_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
         (F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))).alias("_pos"))
     # Both the count table and the join below must see the same partitioning.
     # Two plans over this frame could differ after column pruning and then
-    # sample different range bounds, so the positions are pinned to one RDD:
-    # a (lazy) reliable checkpoint in the shared spark.checkpoint.dir, which
-    # also cuts the lineage (a lost executor re-reads the written partitions).
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=False)
+    # sample different range bounds, so the positions are pinned to one RDD.
+    # ``pin="persist"`` caches it (memory, spilling to disk; a lost block is
+    # recomputed from the same shuffle dependency, so positions stay the same);
+    # ``pin="checkpoint"`` writes it to the shared spark.checkpoint.dir and cuts
+    # the lineage, for very long pipelines.
+    if pin == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        s = s.checkpoint(eager=False)
+    else:
+        s = s.persist(StorageLevel.MEMORY_AND_DISK)
     cnt = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
     off = cnt.select(
