@@ -36,14 +36,20 @@ def score_stream(stream: DataFrame, model: PipelineModel,
 def daily_event_totals(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Tumbling one-day windows per event type with a watermark for late rows (event time
     read as UTC; window bounds returned as local timestamps like the input)."""
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return (ev.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    # event time as a UTC instant whatever the session time zone: format the local
+    # wall clock and parse it back with an explicit zero offset
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    utc = F.to_timestamp(F.concat(F.date_format("ts", fmt), F.lit("Z")), fmt + "X")
+    ev = events.select(utc.alias("_t"), F.date_trunc("day", "ts").alias("window_start"),
+                       "event_type", "value")
+    return (ev.withWatermark("_t", watermark)
+            .groupBy(F.window("_t", "1 day").alias("w"), "window_start", "event_type")
             .agg(F.count(F.lit(1)).alias("n_events"),
                  F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)")
                  .alias("total_value"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            .select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    (F.col("window_start").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+                    .alias("window_end"),
                     "event_type", "n_events", "total_value"))
 
 
