@@ -12,6 +12,12 @@ per-(partition, group) counts and offsets (at most #partitions + #groups rows;
 AQE broadcasts it when its measured size allows, else it is a shuffle join).
 Ties in the order columns must be broken by the caller (add a key column) for
 a deterministic rank.
+
+``sorted_quantiles(method="auto")`` first measures the distinct values per
+group (HyperLogLog, one cheap aggregate): when every group has at most
+``SMALL_NDV`` distinct values, Spark's exact ``percentile`` aggregate is used
+(its buffer is bounded by that count, whatever the number of rows); otherwise
+the distributed rank.
 """
 
 from __future__ import annotations
@@ -79,17 +85,34 @@ def with_group_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str
     return out
 
 
+SMALL_NDV = 50000
+
+
 def sorted_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     keys: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Exact linearly interpolated quantiles per group, long form ``(keys, p, value)``.
 
     Matches pandas ``quantile`` / DuckDB ``quantile_cont``: with ``h = (n-1)p``,
     ``value = x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)``. Nulls
     and NaN are ignored. Only the rows at the wanted ranks leave the ranking step.
+    ``method``: ``rank`` (distributed rank, any group size), ``percentile`` (Spark's
+    exact aggregate, memory per group = its distinct values) or ``auto``.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value_col).cast("double").alias("_v"))
     base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if method == "auto":
+        # one cheap aggregate decides: when every group has few distinct values the
+        # exact ``percentile`` aggregate holds at most that many counts per group
+        # (bounded whatever the row count); otherwise the distributed rank is used
+        nd = base.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d")).agg(
+            F.max("_d")).collect()[0][0] or 0
+        method = "percentile" if nd <= SMALL_NDV else "rank"
+    if method == "percentile":
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        g = base.groupBy(*keys).agg(F.percentile("_v", arr).alias("_q"))
+        return g.select(*keys, F.posexplode("_q").alias("_i", "value")).select(
+            *keys, arr[F.col("_i")].alias("p"), "value")
     r = with_group_rank(base, keys, ["_v"], "_r", "_n")
     pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     t = r.select(*keys, "_v", "_r", "_n", pr)
@@ -105,9 +128,10 @@ def sorted_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 
 
 def quantiles_wide(df: DataFrame, value_col: str, probs: Sequence[float],
-                   names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+                   names: Sequence[str], keys: Sequence[str] = (),
+                   method: str = "auto") -> DataFrame:
     """``sorted_quantiles`` pivoted to one column per probability (named by ``names``)."""
-    q = sorted_quantiles(df, value_col, probs, keys)
+    q = sorted_quantiles(df, value_col, probs, keys, method)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(n)
             for p, n in zip(probs, names)]
     if keys:

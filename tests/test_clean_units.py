@@ -17,11 +17,12 @@ def test_quartiles_and_std(spark):
     assert s["std"] == round(3.559026084010437, 4)
 
 
-def test_sorted_quantiles_match_pandas(spark):
+@pytest.mark.parametrize("method", ["rank", "percentile", "auto"])
+def test_sorted_quantiles_match_pandas(spark, method):
     vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0]
     df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.value for r in sorted_quantiles(df, "x", probs, ["g"]).collect()}
+    got = {(r.g, r.p): r.value for r in sorted_quantiles(df, "x", probs, ["g"], method).collect()}
     pdf = pd.DataFrame({"g": [i % 2 for i in range(len(vals))], "x": vals})
     for g, part in pdf.groupby("g"):
         for p in probs:
