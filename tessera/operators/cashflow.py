@@ -112,8 +112,11 @@ STAT_NAMES = ("mean", "std", "min", "25%", "50%", "75%", "max")
 def describe_by(df: DataFrame, keys: Sequence[str], value_col: str) -> DataFrame:
     """pandas ``describe()`` (without count) per group, long form (keys, statistic, value)."""
     v = F.col(value_col).cast("double")
+    # a DECIMAL column's mean is one division of its exact sum (order-independent)
+    exact = dict(df.dtypes)[value_col].startswith("decimal")
+    mean = (F.sum(value_col).cast("double") / F.count(value_col)) if exact else F.avg(v)
     g = df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        mean.alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
         exact_quantiles(v, [0.25, 0.5, 0.75]).alias("_q"), F.max(v).alias("max"))
     g = g.select(*keys, "mean", "std", "min", F.col("_q")[0].alias("25%"),
                  F.col("_q")[1].alias("50%"), F.col("_q")[2].alias("75%"), "max")
@@ -145,7 +148,12 @@ def entity_means(df: DataFrame, total_label: str | None = None) -> DataFrame:
     m = monthly_totals(df)
     if total_label is not None:
         m = m.filter(F.col(ENTITY) != total_label)
-    return m.groupBy(ENTITY).agg(F.avg(F.col("total_payments").cast("double")).alias("monthly_mean"))
+    return m.groupBy(ENTITY).agg(_exact_mean("total_payments").alias("monthly_mean"))
+
+
+def _exact_mean(c: str):
+    """Mean of a DECIMAL money column as one division of its exact sum."""
+    return F.sum(c).cast("double") / F.count(c)
 
 
 def entity_size_class(df: DataFrame, truncate_mean: bool = True) -> DataFrame:
@@ -183,7 +191,9 @@ def rolling_quarter_mean(df: DataFrame) -> DataFrame:
     w = Window.partitionBy(ENTITY).orderBy("month_start").rowsBetween(-2, 0)
     v = F.col("total_payments").cast("double")
     return m.select(ENTITY, "month_start", "MonthYear", "total_payments",
-                    F.when(F.count(v).over(w) == 3, r4(F.avg(v).over(w))).alias("rolling_mean_3"))
+                    F.when(F.count(v).over(w) == 3,
+                           r4(F.sum("total_payments").over(w).cast("double") / F.lit(3)))
+                    .alias("rolling_mean_3"))
 
 
 def year_over_year(df: DataFrame) -> DataFrame:
@@ -207,7 +217,7 @@ def seasonal_month_mean(df: DataFrame) -> DataFrame:
     """O-62: mean of monthly sums per calendar month."""
     m = monthly_totals(df)
     return (m.groupBy(ENTITY, "Month", "Month_name")
-            .agg(r4(F.avg(F.col("total_payments").cast("double"))).alias("mean_payments")))
+            .agg(r4(_exact_mean("total_payments")).alias("mean_payments")))
 
 
 def weekday_by_month(df: DataFrame) -> DataFrame:
@@ -226,7 +236,7 @@ def weekday_mean(df: DataFrame) -> DataFrame:
     """O-64: mean over months of the monthly weekday sums."""
     g = weekday_by_month(df)
     return (g.groupBy(ENTITY, "Weekday_num", "Weekday")
-            .agg(r4(F.avg(F.col("total_payments").cast("double"))).alias("mean_payments")))
+            .agg(r4(_exact_mean("total_payments")).alias("mean_payments")))
 
 
 # ---------------------------------------------------------------- O-65..O-68

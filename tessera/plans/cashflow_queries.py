@@ -61,7 +61,7 @@ m as (select billing_entity, {M} as month_start, sum(total_payments) as total_pa
 
 def _stats_sql(src: str, keys: str) -> str:
     return f"""
-select {keys}, avg(v) as mean, stddev_samp(v) as std, min(v) as min,
+select {keys}, cast(sum(s) as double) / count(s) as mean, stddev_samp(v) as std, min(v) as min,
        quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75,
        max(v) as max
 from {src} group by {keys}"""
@@ -79,13 +79,14 @@ from p group by billing_entity, {M}"""
 
 BASIC_STATS_SQL = f"""{P},
 lv as (
-  select billing_entity, 'Daily_stats' as level, cast(sum(total_payments) as double) as v
+  select billing_entity, 'Daily_stats' as level, sum(total_payments) as s,
+         cast(sum(total_payments) as double) as v
     from p group by billing_entity, posted_date
   union all
-  select billing_entity, 'Weekly_stats', cast(sum(total_payments) as double)
+  select billing_entity, 'Weekly_stats', sum(total_payments), cast(sum(total_payments) as double)
     from p group by billing_entity, isoyear(posted_date), week(posted_date)
   union all
-  select billing_entity, 'Monthly_stats', cast(sum(total_payments) as double)
+  select billing_entity, 'Monthly_stats', sum(total_payments), cast(sum(total_payments) as double)
     from p group by billing_entity, {M}),
 s as ({_stats_sql('lv', 'billing_entity, level')}),
 l as (
@@ -104,7 +105,7 @@ from l group by billing_entity, statistic
 """
 
 ENTITY_MEANS_CTE = f"""{MONTHLY_CTE},
-e as (select billing_entity, avg(cast(total_payments as double)) as monthly_mean
+e as (select billing_entity, cast(sum(total_payments) as double) / count(*) as monthly_mean
       from m group by billing_entity)"""
 
 BOX_COLS = """b.n, round(b.mn, 4) as min, round(b.q1, 4) as p25, round(b.med, 4) as p50,
@@ -186,7 +187,7 @@ from e cross join b cross join w""",
     "rolling_quarter_mean": f"""{P}, {MONTHLY_CTE}
 select billing_entity, month_start, strftime(month_start, '%m-%Y') as MonthYear, total_payments,
   case when count(total_payments) over w = 3
-       then round(avg(cast(total_payments as double)) over w, 4) end as rolling_mean_3
+       then round(cast(sum(total_payments) over w as double) / 3, 4) end as rolling_mean_3
 from m window w as (partition by billing_entity order by month_start
                     rows between 2 preceding and current row)""",
     "year_over_year": f"""{P}, {MONTHLY_CTE},
@@ -207,7 +208,7 @@ select billing_entity, Year, Month, total_payments,
 from u""",
     "seasonal_month_mean": f"""{P}, {MONTHLY_CTE}
 select billing_entity, cast(month(month_start) as int) as Month, monthname(month_start) as Month_name,
-  round(avg(cast(total_payments as double)), 4) as mean_payments
+  round(cast(sum(total_payments) as double) / count(*), 4) as mean_payments
 from m group by billing_entity, month(month_start), monthname(month_start)""",
     "weekday_by_month": f"""{P},
 g as (select billing_entity, {M} as month_start, cast(isodow(posted_date) - 1 as int) as Weekday_num,
@@ -221,7 +222,7 @@ g as (select billing_entity, {M} as month_start, cast(isodow(posted_date) - 1 as
              dayname(posted_date) as Weekday, sum(total_payments) as total_payments
       from p group by billing_entity, {M}, isodow(posted_date), dayname(posted_date))
 select billing_entity, Weekday_num, Weekday,
-  round(avg(cast(total_payments as double)), 4) as mean_payments
+  round(cast(sum(total_payments) as double) / count(*), 4) as mean_payments
 from g group by billing_entity, Weekday_num, Weekday""",
     "encounter_class_pivot": _pivot_sql("encounter_class", ENCOUNTER_CLASSES),
     "encounter_class_totals": f"""{P}
