@@ -265,7 +265,7 @@ def _varx_forecast(Y: np.ndarray, X: np.ndarray, Xf: np.ndarray, h: int):
 
 def _entity_models(stage: str, horizon: int, max_order: int, exog_cols: list[str],
                    varmax_cols_key: str):
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         pdf = pdf.sort_values(MONTH)
         ent = key[0]
         fitm = pdf[pdf["_fit"]]

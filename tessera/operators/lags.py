@@ -180,7 +180,7 @@ def acf(df: DataFrame, nlags: int = 25, value_col: str = "total_payments") -> Da
                     r4(F.col("acf") - half).alias("lower"), r4(F.col("acf") + half).alias("upper"))
 
 
-def _pacf_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pacf_group(key, pdf):
     """Durbin-Levinson recursion on one entity's ACF (Yule-Walker PACF)."""
     pdf = pdf.sort_values("lag")
     r = pdf["acf_raw"].to_numpy(dtype=float)

@@ -168,7 +168,7 @@ def var_regressor_forecast(reg: DataFrame, horizon: int = 3) -> DataFrame:
     act = reg.filter(~F.col("is_future") & ~F.col("feature").isin(*CALENDAR_COLS)).select(
         ENTITY, MONTH, "feature", "value")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         wide = pdf.pivot_table(index=MONTH, columns="feature", values="value",
                                aggfunc="first").sort_index().fillna(0.0)
         fc = var_forecast(wide.to_numpy(dtype=float), horizon)
