@@ -19,6 +19,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def _anchors(width: int, period: int):
 def _row_lists(batch, column: int, n_rows: int):
     """Offsets and values of an array<long> column (null: empty)."""
     col = batch.column(column)
-    size = np.nan_to_num(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
+    size = np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
     values = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return np.r_[0, np.cumsum(size)], values
 
