@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import encoded_digests
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.line_dedup import ORACLE as LINE_ORACLE
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.near_dup import near_dup_groups
+from tessera.llm.pii import find_pii, span_digests
+from tessera.llm.quality import quality_scores
 from tessera.llm.substring_dedup import substring_dedup
 
 
@@ -19,10 +24,26 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels=labels)
+    return scored.select("doc_id", F.round("quality_margin", 4).alias("quality_margin"),
+                         F.round("toxic_margin", 4).alias("toxic_margin"), "keep")
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_pii(documents(spark, sf_dir)))
+
+
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(documents(spark, sf_dir), word_vocabulary())
 
@@ -32,10 +53,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_groups(documents(spark, sf_dir), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_weak_quality": op3_weak_quality,
     "op4_grace_dedup": op4_grace_dedup,
+    "op5_boosted_pii": op5_boosted_pii,
+    "op6_line_templates": op6_line_templates,
     "op8_word_bpe": op8_word_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_bbit_minhash": op10_bbit_minhash,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -46,6 +75,7 @@ with t as (select doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256
 from t join g using (norm)""",
+    "op6_line_templates": LINE_ORACLE,
     "op9_substring_dedup": """
 with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d),
