@@ -10,8 +10,9 @@ Equal sets are one node. No bucket's pairs are all emitted: each member of a ban
 bucket is first tried with the bucket's smallest node, and the confirmed links are
 joined to components. Only in buckets that still hold several components, pairs of
 different components are estimated in blocks of signatures, and those near or over
-the threshold are confirmed. So every candidate pair of a bucket is either inside a
-component already or tried, whatever the size of the bucket.
+the threshold are confirmed within the block, which gives no more links than join its
+components. So every candidate pair of a bucket is either inside a component already
+or tried, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -134,27 +135,46 @@ def _equal_pairs(left: str, right: str) -> Column:
     return total
 
 
-def _cross_pairs(percent: int):
-    """Pairs (a < b) of different components within a block pair of one bucket."""
+def _cross_links(percent: int):
+    """Confirmed links (a, b) between different components within a block pair of one
+    bucket, as many as it takes to join them. A pair that shares several bands is
+    looked at in the first of them only."""
     need = least_equal(percent)
     ones = U64(0x5555555555555555)
 
     def run(table: pa.Table) -> pa.Table:
-        col = {n: table[n].to_numpy() for n in table.column_names}
+        table = table.combine_chunks()
+        col = {n: table[n].to_numpy() for n in ("node", "comp", "block", "lo", "hi", *SIGNATURE)}
         sig = np.stack([col[k].view(U64) for k in SIGNATURE], axis=1)
+        band = int(table["band"][0].as_py())
+        keys = table["bands"].chunk(0).flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+        sets = table["shingles"].chunk(0)
+        first, shingles = sets.offsets.to_numpy(), sets.values.to_numpy().view(U64)
+        first = first.astype(np.int64)
         left, right = col["block"] == col["lo"], col["block"] == col["hi"]
-        node, comp, out = col["node"], col["comp"], []
+        node, comp, out = col["node"], col["comp"].copy(), []
         r = np.flatnonzero(right)
         for i in np.flatnonzero(left):
             other = r[(comp[r] != comp[i]) & ((node[r] > node[i]) | ~left[r])]
             if not len(other):
                 continue
             x = sig[other] ^ sig[i]
-            differ = np.bitwise_count((x | (x >> U64(1))) & ones).sum(axis=1)
-            hit = node[other[PERMUTATIONS - differ.astype(np.int64) >= need]]
-            if len(hit):
-                out.append((np.minimum(hit, node[i]), np.maximum(hit, node[i])))
-        a, b = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            differ = np.bitwise_count((x | (x >> U64(1))) & ones).sum(axis=1, dtype=np.int64)
+            other = other[(PERMUTATIONS - differ >= need) & ~(keys[other] == keys[i]).any(axis=1)]
+            if not len(other):
+                continue
+            mine = shingles[first[i]:first[i + 1]]
+            size = first[other + 1] - first[other]
+            end = np.cumsum(size)
+            theirs = shingles[np.repeat(first[other] - (end - size), size) + np.arange(end[-1])]
+            at = np.searchsorted(mine, theirs)
+            at[at == len(mine)] = 0
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), end - size)
+            for k in other[100 * both >= percent * (len(mine) + size - both)]:
+                if comp[k] != comp[i]:
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    comp[comp == comp[k]] = comp[i]
+        a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
@@ -210,7 +230,7 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = written(src.mapInArrow(_signatures, schema)
                      .withColumn("node", F.coalesce("doc_id", F.lit(MAX_ID))), "minhash")
     same = ["s1", "s2", "n_shingles"]
-    classes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("node"))
+    classes = written(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("node")), "set-classes")
     members = signed.select("doc_id", F.col("node").alias("own"), *same).join(classes, same, "left")
     picked = written(signed.where("n_shingles > 0").join(classes, [*same, "node"])
                      .dropDuplicates([*same, "node"])
@@ -220,7 +240,7 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("leader < last").select("key", "leader")
     rows = written(band.join(leaders, "key"), "buckets")
     sigs = picked.select("node", "sig")
-    stars = (rows.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    stars = rows.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = written(stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
                     .join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
                     .where(_equal_pairs("x", "y") >= least_equal(percent)).select("a", "b"), "pairs")
@@ -244,12 +264,13 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = Window.partitionBy("key").orderBy("comp", "node")
     blocks = (labelled.join(mixed.select("key", "n"), "key")
               .withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-              .join(sigs, "node").select("key", "node", "comp", "block", "sig.*",
-                                         F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))).alias("o"))
+              .join(picked.join(sets, "node"), "node")
+              .select("key", "node", "comp", "block", "sig.*", "bands", "shingles",
+                      (F.array_position("bands", F.col("key")) - 1).alias("band"),
+                      F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))).alias("o"))
               .withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o")))
-    cross = (blocks.groupBy("key", "lo", "hi").applyInArrow(_cross_pairs(percent), "a long, b long").distinct()
-             .join(stars, ["a", "b"], "left_anti"))
-    links = confirmed(written(cross, "cross-pairs"))
+    links = written(blocks.groupBy("key", "lo", "hi").applyInArrow(_cross_links(percent), "a long, b long").distinct(),
+                    "cross-links")
     final = connected(links.unionByName(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))), "cc2")
     own = F.coalesce("comp", "node", "own")
     return (members.join(final, "node", "left").withColumn("c", own)
