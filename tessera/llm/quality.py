@@ -28,8 +28,10 @@ from tessera.llm.common import U64, chunks, fresh, mix64, text_buffers, word_has
 SAMPLE_DOCS = 20_000        # reviewed documents the scorer is fitted on (about so many at most)
 FEATURES = 4096             # hashed features kept for each target
 LEAST_DOCS = 5              # sample documents a feature occurs in
+LEAST_Z = 4.0               # standard errors by which its share of the class must differ
 PREFIX = 5                  # bytes of a word's beginning
-ITERATIONS = 50
+ITERATIONS = 100
+REGULARISED = 2e-4
 ABSTAIN = -1
 
 #: Frequent words of English, German, French and Spanish, and insults.
@@ -42,9 +44,9 @@ INSULTS = ("idiot moron pathetic clown worthless stupid loser scum trash disgust
 SYMBOLS = b"#%$&*|<>{}[]\\^~=_"
 SENTENCE_END = b".!?\"':;"
 
-LABELLERS = ("symbols", "repeats", "variety", "stop_words", "lines", "sentences", "word_length", "insults")
-FOR_QUALITY = (0, 1, 2, 3, 4, 5, 6)
-FOR_TOXIC = (7,)
+LABELLERS = ("symbols", "repeats", "variety", "stop_words", "lines", "sentences", "word_length", "capitals", "insults")
+FOR_QUALITY = (0, 1, 2, 3, 4, 5, 6, 7)
+FOR_TOXIC = (8,)
 
 
 def _hashes(words) -> np.ndarray:
@@ -95,6 +97,8 @@ class Labellers:
         variety = distinct / np.sqrt(many)
         stop = _sums(np.isin(bare, self.stop), first) / many
         length = _sums(ends - starts, first) / many
+        letters = _sums(_LETTER[raw], bounds)
+        capitals = _sums(_UPPER[raw], bounds) / np.maximum(letters, 1)
         n_lines, same, ended = self._lines(raw, bounds)
         long = n >= 20
         votes = np.stack([
@@ -102,6 +106,7 @@ class Labellers:
             _vote(long & (variety > 4), long & (variety < 2.5)), _vote(stop > 0.08, long & (stop < 0.01)),
             _vote((n_lines >= 4) & (same < 0.1), (n_lines >= 4) & (same > 0.5)),
             _vote(ended >= 0.5, long & (ended < 0.1)), _vote((length >= 2) & (length <= 12), (length < 2) | (length > 20)),
+            _vote(capitals < 0.2, (capitals > 0.5) & long | (capitals > 0.8)),
             np.where(_sums(np.isin(bare, self.insults), first) > 0, 1, ABSTAIN)], axis=1).astype(np.int8)
         return votes, features
 
@@ -122,31 +127,41 @@ class Labellers:
         return n, same, end
 
 
+_UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, reviewer: int | None, prior: float,
-             rounds: int = 100) -> tuple[np.ndarray, float]:
+             rounds: int = 50) -> tuple[np.ndarray, float]:
     """EM for votes in {-1, 0, 1}: table[class, labeller, vote + 1] and the share of class
-    1. Labellers start from 80 % right; the reviewer's column (if any) from 97 %."""
+    1. The reviewer's column (if any) is taken as 99.5 % right throughout; the labellers
+    start from their votes on reviewed rows, or else from rare false alarms (a vote
+    against the usual class is right more often than a vote for it)."""
     m = patterns.shape[1]
+    usual = int(prior >= 0.5)
     table = np.empty((2, m, 3))
     for j in range(m):
-        right = 0.97 if j == reviewer else 0.8
         none = np.average(patterns[:, j] == ABSTAIN, weights=counts) if counts.sum() else 0.5
+        alarm = {usual: 0.02, 1 - usual: 0.4} if j != reviewer else {usual: 0.005, 1 - usual: 0.995}
         for y in (0, 1):
-            table[y, j] = [none, (1 - none) * (right if y == 0 else 1 - right), (1 - none) * (right if y else 1 - right)]
+            table[y, j, 0], table[y, j, 1 + usual], table[y, j, 2 - usual] = none, (1 - none) * (1 - alarm[y]), (1 - none) * alarm[y]
     start = table.copy()
+
+    def fit_to(p: np.ndarray, weight: np.ndarray) -> None:
+        for y, w in ((0, weight * (1 - p)), (1, weight * p)):
+            for j in (j for j in range(m) if j != reviewer):
+                seen = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
+                table[y, j] = (seen + 2 * start[y, j]) / (seen.sum() + 2)
+
+    if reviewer is not None:
+        review = patterns[:, reviewer]
+        fit_to(review == 1, counts * (review != ABSTAIN))
     for _ in range(rounds):
         p = posterior(patterns, table, prior)
         prior = (counts @ p + 1) / (counts.sum() + 2)
-        for y, w in ((0, counts * (1 - p)), (1, counts * p)):
-            for j in range(m):
-                seen = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
-                # a prior of a twentieth of all rows keeps a labeller near its start without evidence
-                pull = 0.05 * counts.sum() * (20 if j == reviewer else 1) + 1e-9
-                table[y, j] = (seen + pull * start[y, j]) / (seen.sum() + pull)
+        fit_to(p, counts)
     return table, float(prior)
 
 
@@ -207,8 +222,10 @@ def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
     if not total["n"] or not 0.5 <= total["one"] <= total["n"] - 0.5:
         return None
     one, zero = total["one"], total["n"] - total["one"]
-    score = F.col("n") * F.abs(F.log((F.col("one") + 0.5) / (one + 1) / ((F.col("n") - F.col("one") + 0.5) / (zero + 1))))
-    top = (hit.groupBy("f").agg(F.count("*").alias("n"), F.sum("p").alias("one")).where(F.col("n") >= LEAST_DOCS)
+    share = one / total["n"]
+    score = F.abs(F.col("one") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    top = (hit.groupBy("f").agg(F.count("*").alias("n"), F.sum("p").alias("one"))
+           .where((F.col("n") >= LEAST_DOCS) & (score >= LEAST_Z))
            .orderBy(score.desc(), "f").limit(FEATURES).select("f").collect())      # at most FEATURES rows
     keys = np.sort(np.array([r.f for r in top], np.int64).view(U64))
     width = 2 * m + len(keys)
@@ -227,7 +244,7 @@ def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("e")) \
         .select("features", "e.label", (F.col("e.w") * F.when(F.col("e.label") == 1, zero / one).otherwise(1.0)).alias("w")) \
         .where("w > 1e-4")
-    model = LogisticRegression(maxIter=ITERATIONS, regParam=0.002, elasticNetParam=0.5, weightCol="w",
+    model = LogisticRegression(maxIter=ITERATIONS, regParam=REGULARISED, elasticNetParam=0.3, weightCol="w",
                                standardization=False).fit(soft)
     c = model.coefficients.toArray()
     out = Scorer(keys, c[2 * m:], c[:2 * m].reshape(2, m), float(model.intercept), 0.0)

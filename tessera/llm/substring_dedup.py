@@ -153,22 +153,23 @@ def _windows(width: int, period: int):
             head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             least = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
             later = doc > least          # a smaller document is in this batch: settled
-            yield _window_batch(h1[~later], h2[~later], doc[~later], at[~later],
-                                np.zeros(int((~later).sum()), np.int32))
+            yield _window_batch(h1[~later], h2[~later], doc[~later], at[~later], 0)
             if later.any():
                 order = np.lexsort((at[later], doc[later]))
                 d, a = doc[later][order], at[later][order]
                 head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)])
                 run_length = np.diff(np.r_[head, len(d)])
                 key = mix64(d[head].view(U64) + mix64(a[head].view(U64))).view(np.int64)
-                yield _window_batch(key, np.full(len(head), -1), d[head], a[head], run_length.astype(np.int32))
+                yield _window_batch(key, 0, d[head], a[head], run_length)
     return run
 
 
-def _window_batch(h1, h2, doc, at, length):
+def _window_batch(h1, h2, doc, at, settled):
+    """Rows as few longs, equal bytes side by side, as the shuffle compresses them:
+    extra = sub << 32 | settled, x = h2 << 32 | place."""
     return pa.RecordBatch.from_arrays(
-        [pa.array(h1), pa.array(h2.astype(np.int32)), pa.array(doc), pa.array(at), pa.array(length)],
-        names=["h1", "h2", "doc", "at", "settled"])
+        [pa.array((at & ~LOW) | settled), pa.array(h1), pa.array((h2 << 32) | (at & LOW)), pa.array(doc)],
+        names=["extra", "h1", "x", "doc"])
 
 
 def _remove(width: int):
@@ -179,7 +180,7 @@ def _remove(width: int):
             _, length = _row_lists(b, 4, b.num_rows)
             off, data = text_buffers(b.column(2))
             sub = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = b.column(5)
+            ids = b.column(0)
             for i, j in chunks(off):
                 starts, ends, first = word_spans(off[i:j + 1], data)
                 row = np.repeat(np.arange(i, j), np.diff(at0[i:j + 1]))
@@ -216,26 +217,29 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by one space). A word goes when a window of `width` words that covers it also
     starts in a document with a smaller doc_id; windows are judged on the input.
 
-    Null texts have no words. Null ids count as one id after all others. Rows with
+    Null texts have no words. Null ids count as one id after all others (as does 2**63 - 1,
+    the rank they take). Rows with
     the same id are judged row by row and don't remove from each other. Texts below
     `width` words stay whole, texts of any length are taken whole, an empty table
     gives no rows, and other columns are not read."""
     if not 1 <= period <= width:
         raise ValueError("the period must lie between 1 and the width")
-    rank = F.coalesce("doc_id", F.lit(MAX_ID))
-    docs = (id_text(df, id_col, text_col).select("doc_id", rank.alias("doc"), "text").repartition("doc")
-            .withColumn("sub", F.row_number().over(
-                Window.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1))
-    body = docs.select("doc", "sub", "text")
-    anchors = body.mapInArrow(_anchors(width, period), "key long, doc long, at long, found boolean")
+    # one exchange of the texts serves the three passes, so all read the same columns
+    docs = (id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("doc"), "text")
+            .repartition("doc").withColumn("sub", F.row_number().over(
+                Window.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1).select("doc", "sub", "text"))
+    anchors = docs.mapInArrow(_anchors(width, period), "key long, doc long, at long, found boolean")
     same = Window.partitionBy("key")
     marks = (anchors.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same))
              .where("found or a < b").groupBy("doc").agg(F.collect_list("at").alias("marks")))
     windows = (docs.join(marks, "doc").select("doc", "sub", "text", "marks")
-               .mapInArrow(_windows(width, period), "h1 long, h2 int, doc long, at long, settled int"))
-    gone = (windows.withColumn("least", F.min("doc").over(Window.partitionBy("h1", "h2")))
-            .where("settled > 0 or doc > least")
-            .groupBy("doc").agg(F.collect_list(F.struct("at", F.greatest(F.lit(1), "settled").cast("long").alias("n"))).alias("r"))
+               .mapInArrow(_windows(width, period), "extra long, h1 long, x long, doc long").repartition("h1"))
+    least = F.min("doc").over(Window.partitionBy("h1", F.shiftright("x", 32)))
+    settled = F.col("extra").bitwiseAND(LOW)
+    start = (F.col("extra") - settled).bitwiseOR(F.col("x").bitwiseAND(LOW))
+    gone = (windows.withColumn("least", least).where((settled > 0) | (F.col("doc") > F.col("least")))
+            .groupBy("doc").agg(F.collect_list(F.struct(start.alias("at"), F.greatest(F.lit(1), settled).alias("n"))).alias("r"))
             .select("doc", F.col("r.at").alias("start"), F.col("r.n").alias("length")))
-    return (docs.join(gone, "doc", "left").select("doc", "sub", "text", "start", "length", "doc_id")
+    kept = (docs.join(gone, "doc", "left").select("doc", "sub", "text", "start", "length")
             .mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept_text string"))
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") != MAX_ID, F.col("doc_id")))
