@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (
-    MAX_ID,
     U64,
     chunks,
+    fresh,
     id_text,
     mix64,
     text_buffers,
@@ -41,6 +41,7 @@ SHINGLE, PERMUTATIONS, BITS, ROWS, BANDS = 5, 256, 2, 4, 32
 ERRORS = 5                      # standard errors by which an estimate may miss the threshold
 BLOCK = 2048                    # signatures compared at once
 SIGNATURE = [f"b{k}" for k in range(PERMUTATIONS * BITS // 64)]
+NO_ID = 1 << 62                 # texts without an id take nodes from here on
 _PIECE = 1 << 15                # shingles per step of the minima
 
 
@@ -76,6 +77,12 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+def node_of(id_col: str, text_col: str) -> Column:
+    """A document's node: its id, or of a text without id a number after all ids."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID)))
+
+
 def _signatures(batches):
     keys = [f"b{k}" for k in range(len(SIGNATURE))]
     lanes = U64(2) * np.arange(32, dtype=U64)
@@ -97,7 +104,7 @@ def _signatures(batches):
                 [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(np.ascontiguousarray(s1).view(np.int64)), pa.array(np.ascontiguousarray(s2).view(np.int64)),
                  bands, *(pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in range(len(keys)))],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands", *keys])
+                names=["node", "n_shingles", "s1", "s2", "bands", *keys])
 
 
 def _full_sets(batches):
@@ -219,19 +226,38 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs without white space, A-Z lower-cased; the set holds the distinct
     five-word shingles, of a shorter text the whole sequence. Texts with
     100 * intersection >= percent * union are linked, and component_id is the smallest
-    doc_id reachable. Null and empty texts have no shingles and no link. Rows without
-    an id count as one document after all others; rows that share an id are each
-    classed by their own text. Repeated rows fall in one component (each is `kept` if
-    its id is the component's). An empty table gives no rows; other columns are not
+    doc_id reachable. Null and empty texts have no shingles and no link. Texts without an
+    id rank after all ids (which lie below 2**62) and have a null component_id unless
+    they reach one with an id; rows that share an id are each classed by their own text. Repeated rows fall in one component (each is `kept` if
+    its id is the component's; near_dup_kept leaves one of them). An empty table gives no rows; other columns are not
     read. The chance to miss a link lies below 1e-6 (bands) and about 3e-7 (estimate)."""
-    src = id_text(df, id_col, text_col)
-    schema = ("doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, "
+    groups = _groups(id_text(df, id_col, text_col).withColumn("node", node_of("doc_id", "text")), percent)
+    return groups.select(F.when(F.col("own") < NO_ID, F.col("own")).alias("doc_id"), "n_shingles",
+                         F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id"),
+                         (F.col("own") == F.col("c")).alias("kept"))
+
+
+def near_dup_kept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of `df`, with its columns, that stay: one document of each component, the
+    one with the smallest id. Rows that share an id count as one document, of which
+    one row stays; texts without shingles stay."""
+    node = fresh(df)("node")
+    groups = _groups(id_text(df, id_col, text_col).withColumn("node", node_of("doc_id", "text")), percent)
+    stay = groups.where("own = c").select(F.col("own").alias(node)).distinct()
+    return (df.withColumn(node, node_of(id_col, text_col)).join(stay, node, "left_semi")
+            .dropDuplicates([node]).select(*df.columns))
+
+
+def _groups(src: DataFrame, percent: int) -> DataFrame:
+    """own (node), n_shingles and c (smallest node of the component) of each row of
+    `src` (node, text)."""
+    src = src.select("node", "text")
+    schema = ("node long, n_shingles long, s1 long, s2 long, bands array<long>, "
               + ", ".join(f"{k} long" for k in SIGNATURE))
-    signed = written(src.mapInArrow(_signatures, schema)
-                     .withColumn("node", F.coalesce("doc_id", F.lit(MAX_ID))), "minhash")
+    signed = written(src.mapInArrow(_signatures, schema), "minhash")
     same = ["s1", "s2", "n_shingles"]
     classes = written(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("node")), "set-classes")
-    members = signed.select("doc_id", F.col("node").alias("own"), *same).join(classes, same, "left")
+    members = signed.select(F.col("node").alias("own"), *same).join(classes, same, "left")
     picked = written(signed.where("n_shingles > 0").join(classes, [*same, "node"])
                      .dropDuplicates([*same, "node"])
                      .select("node", F.struct(*SIGNATURE).alias("sig"), "bands"), "minhash-class")
@@ -245,8 +271,7 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     .join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
                     .where(_equal_pairs("x", "y") >= least_equal(percent)).select("a", "b"), "pairs")
     involved = rows.select("node").distinct()
-    sets = written(src.select(F.coalesce("doc_id", F.lit(MAX_ID)).alias("node"), "text")
-                   .join(involved, "node", "left_semi").select("node", "text")
+    sets = written(src.join(involved, "node", "left_semi").select("node", "text")
                    .mapInArrow(_full_sets, "node long, shingles array<long>"), "shingle-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -272,7 +297,5 @@ def near_dup_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = written(blocks.groupBy("key", "lo", "hi").applyInArrow(_cross_links(percent), "a long, b long").distinct(),
                     "cross-links")
     final = connected(links.unionByName(comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))), "cc2")
-    own = F.coalesce("comp", "node", "own")
-    return (members.join(final, "node", "left").withColumn("c", own)
-            .select("doc_id", "n_shingles", F.when(F.col("c") != MAX_ID, F.col("c")).alias("component_id"),
-                    (F.col("own") == F.col("c")).alias("kept")))
+    return (members.join(final, "node", "left")
+            .select("own", "n_shingles", F.coalesce("comp", "node", "own").alias("c")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoded_digests
 from tessera.llm.common import documents
+from tessera.llm.decontaminate import contaminated_regions
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.line_dedup import ORACLE as LINE_ORACLE
 from tessera.llm.line_dedup import line_dedup
@@ -24,6 +25,14 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated_regions(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return found.select("doc_id", (F.size("regions") > 0).alias("contaminated"), F.size("regions").alias("n_regions"),
+                        F.array_join(F.transform("regions", lambda r: F.concat_ws(
+                            ":", r["item_id"], r["start"], r["end"], r["distance"])), ",").alias("regions"))
+
+
 def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels=labels)
@@ -58,6 +67,7 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_weak_quality": op3_weak_quality,
     "op4_grace_dedup": op4_grace_dedup,
     "op5_boosted_pii": op5_boosted_pii,
