@@ -13,7 +13,10 @@ from tessera.llm.decontaminate import contaminated_regions
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.line_dedup import ORACLE as LINE_ORACLE
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.lm_scoring import ORACLE as LM_ORACLE
+from tessera.llm.lm_scoring import lm_scores
 from tessera.llm.near_dup import near_dup_groups
+from tessera.llm.packing import pack_tokens
 from tessera.llm.pii import find_pii, span_digests
 from tessera.llm.quality import quality_scores
 from tessera.llm.substring_dedup import substring_dedup
@@ -25,6 +28,11 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", F.round(F.col("log_score") / F.col("n_words"), 4).alias("mean_log_score"))
+
+
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contaminated_regions(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -53,6 +61,10 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(documents(spark, sf_dir), word_vocabulary())
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(documents(spark, sf_dir), word_vocabulary())
 
@@ -67,11 +79,13 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_stupid_backoff": op1_stupid_backoff,
     "op2_qgram_decontamination": op2_qgram_decontamination,
     "op3_weak_quality": op3_weak_quality,
     "op4_grace_dedup": op4_grace_dedup,
     "op5_boosted_pii": op5_boosted_pii,
     "op6_line_templates": op6_line_templates,
+    "op7_token_packing": op7_token_packing,
     "op8_word_bpe": op8_word_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bbit_minhash": op10_bbit_minhash,
@@ -80,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = r"[\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
+    "op1_stupid_backoff": LM_ORACLE,
     "op4_grace_dedup": f"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') as norm from documents),
 g as (select norm, min(doc_id) as keep_id, count(*) as group_size from t group by norm)
