@@ -18,6 +18,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,11 +249,10 @@ def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
                                standardization=False).fit(soft)
     c = model.coefficients.toArray()
     out = Scorer(keys, c[2 * m:], c[:2 * m].reshape(2, m), float(model.intercept), 0.0)
-    check = test.select("votes", "features", "p").collect()                        # a fifth of the sample
-    if check:
-        x = out.margin(np.array([r.votes for r in check], np.int8),
-                       [np.array(r.features, np.int64).view(U64) for r in check])
-        out.limit = best_limit(x, np.array([r.p for r in check]) >= 0.5)
+    raw = model.transform(test.select(vector("votes", "features").alias("features"), "p")) \
+        .select(vector_to_array("rawPrediction")[1].alias("x"), "p").collect()     # two numbers of a fifth of the sample
+    if raw:
+        out.limit = best_limit(np.array([r.x for r in raw]), np.array([r.p for r in raw]) >= 0.5)
     return out
 
 
