@@ -4,7 +4,7 @@ S(w | c) is count(c w) / count(c) where the bigram was seen `least_count` times
 else `backoff` times count(w) / N; a document starts with a start mark as context.
 
 Relationally: the tasks that read the texts explode them to bigrams and combine them
-per Arrow batch (word, context, documents that hold the pair). These rows are dealt by the
+in pieces of some megabytes (word, context, documents that hold the pair). These rows are dealt by the
 hash of the word, so a partition of the count table has all pairs of its words: it sums
 the counts, scores the pairs that back off, and sends the contexts of the others to the
 partition of the count table that counts the context. Partial sums of documents are added
@@ -27,6 +27,7 @@ from tessera.llm.common import U64, chunks, id_text, mix64, text_buffers, word_h
 
 BACKOFF, LEAST_COUNT = 0.4, 2
 PARTITION_BYTES = 16 << 20      # text for each partition of the count table, about
+COMBINED_BYTES = 8 << 20        # text whose pairs a task combines before they are dealt out
 NULL_ID = -(1 << 63)
 START = 0x5DEECE66D1CE4E5B      # context of a document's first word
 
@@ -62,37 +63,44 @@ def _explode(buckets: int):
         for b in batches:
             off, data = text_buffers(b.column(2))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            parts, n_words = [], np.zeros(len(ids), np.int64)
-            for i, j in chunks(off):
-                starts, ends, first = word_spans(off[i:j + 1], data)
-                w = word_hashes(data[int(off[i]):], starts, ends).view(np.int64)
-                n = np.diff(first)
-                n_words[i:j] = n
-                c = np.r_[np.int64(0), w[:-1]] if len(w) else w
-                c[first[:-1][n > 0]] = START
-                parts.append((w, c, np.repeat(np.arange(i, j), n)))
-            batch = int(ids[0]) if len(ids) else 0
-            w, c, d = (np.concatenate(v) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-            bucket = _bucket(w, buckets)
-            order = np.lexsort((d, c, w, bucket))
-            w, c, d, bucket = w[order], c[order], d[order], bucket[order]
-            rows = [{"bucket": int(_bucket(np.array([batch]), buckets)[0]), "kind": "docs", "batch": batch,
-                     "w": b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), "t": n_words.astype(np.int32)}]
-            edge = np.r_[_heads(bucket), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-            for a, z in itertools.pairwise(edge):
-                bw, bc, bd = w[a:z], c[a:z], d[a:z]
-                e = _heads(bw, bc, bd)                              # one entry per pair and document
-                times = np.diff(np.r_[e, len(bw)])
-                bw, bc, bd = bw[e], bc[e], bd[e]
-                p = _heads(bw, bc)                                  # one per pair
-                q = _heads(bw[p])                                   # one per word
-                rows.append({"bucket": int(bucket[a]), "kind": "pairs", "batch": batch, "w": bw[p][q],
-                             "wn": np.diff(np.r_[q, len(p)]), "c": bc[p], "cn": np.diff(np.r_[p, len(bw)]),
-                             "d": bd, "t": times})
-            yield from _table(rows).to_batches()
+            for lo, hi in chunks(off, COMBINED_BYTES):
+                yield from _combined(off[lo:hi + 1], data, int(ids[lo]), b.column(1).slice(lo, hi - lo), buckets)
     return run
 
 
+def _combined(off: np.ndarray, data: np.ndarray, batch: int, ids: pa.Array, buckets: int):
+    """The pairs of some documents, one row for each partition of the count table."""
+    parts, n_words = [], np.zeros(len(off) - 1, np.int64)
+    for i, j in chunks(off):
+        starts, ends, first = word_spans(off[i:j + 1], data)
+        w = word_hashes(data[int(off[i]):], starts, ends).view(np.int64)
+        n = np.diff(first)
+        n_words[i:j] = n
+        c = np.r_[np.int64(0), w[:-1]] if len(w) else w
+        c[first[:-1][n > 0]] = START
+        parts.append((w, c, np.repeat(np.arange(i, j, dtype=np.int32), n)))
+    w, c, d = (np.concatenate(v) for v in zip(*parts, strict=True))
+    to = _bucket(w, buckets)
+    order = np.argsort(to, kind="stable")
+    edge = np.searchsorted(to[order], np.arange(buckets + 1))
+    yield from _table([{"bucket": int(_bucket(np.array([batch]), buckets)[0]), "kind": "docs", "batch": batch,
+                        "w": ids.to_numpy(zero_copy_only=False).astype(np.int64),
+                        "t": n_words.astype(np.int32)}]).to_batches()
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        rows = order[edge[k]:edge[k + 1]]
+        bw, bc, bd = w[rows], c[rows], d[rows]
+        inner = np.lexsort((bd, bc, bw))
+        bw, bc, bd = bw[inner], bc[inner], bd[inner]
+        e = _heads(bw, bc, bd)                                  # one entry per pair and document
+        times = np.diff(np.r_[e, len(bw)])
+        bw, bc, bd = bw[e], bc[e], bd[e]
+        p = _heads(bw, bc)                                      # one per pair
+        q = _heads(bw[p])                                       # one per word
+        yield from _table([{"bucket": k, "kind": "pairs", "batch": batch, "w": bw[p][q],
+                            "wn": np.diff(np.r_[q, len(p)]), "c": bc[p], "cn": np.diff(np.r_[p, len(bw)]),
+                            "d": bd, "t": times}]).to_batches()
+
+
 def _list(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and the row of each."""
     size = np.array([0 if v is None else v for v in
