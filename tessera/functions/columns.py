@@ -6,7 +6,7 @@ Python per row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(col(c).cast(MONEY)).cast(MONEY_SUM)
 
 
+def nan_to_null(c: str | Column) -> Column:
+    """A double column whose NaN is null, as every statistic and imputation takes it."""
+    c = col(c)
+    return F.when(~F.isnan(c), c)
+
+
 def safe_div(a: str | Column, b: str | Column) -> Column:
     """Division that yields NULL (pandas: NaN/inf) instead of raising under ANSI mode."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
@@ -87,18 +93,3 @@ def numeric_columns(df: DataFrame, numeric_like: bool = False) -> list[str]:
 def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
-
-def require_columns(df: DataFrame, cols: Iterable[str]) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-
-
-def stack_columns(df: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
-                  name_col: str = "feature", value_col: str = "value",
-                  cast: str | None = "double") -> DataFrame:
-    """Wide to long (``unpivot``) keeping ``keys``."""
-    src = df
-    if cast:
-        src = df.select(*keys, *[F.col(c).cast(cast).alias(c) for c in value_cols])
-    return src.unpivot(list(keys), list(value_cols), name_col, value_col)

@@ -138,10 +138,3 @@ def quantiles_wide(df: DataFrame, value_col: str, probs: Sequence[float],
         return q.groupBy(*keys).agg(*aggs)
     return q.agg(*aggs)
 
-
-def top_n_per_group(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
-                    n: int | Column, rank_col: str = "_rank") -> DataFrame:
-    """Rows with group rank < n (n may be a column, e.g. a per-group limit)."""
-    r = with_group_rank(df, keys, order_cols, rank_col)
-    lim = n if isinstance(n, Column) else F.lit(n)
-    return r.filter(F.col(rank_col) < lim)

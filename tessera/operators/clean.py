@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import numeric_columns, safe_div
+from tessera.functions.columns import nan_to_null, numeric_columns, safe_div
 from tessera.functions.ranking import quantiles_wide
 
 # ---------------------------------------------------------------- O-31..O-36
@@ -47,7 +47,7 @@ def mode_value(df: DataFrame, col: str) -> DataFrame:
 
 def _stat_row(df: DataFrame, col: str, method: str) -> DataFrame:
     if method == "mean":
-        return df.agg(F.avg(F.col(col).cast("double")).alias("_fill"))
+        return df.agg(F.avg(nan_to_null(F.col(col).cast("double"))).alias("_fill"))
     if method == "median":
         return quantiles_wide(df, col, [0.5], ["_fill"])
     if method == "mode":
@@ -58,6 +58,8 @@ def _stat_row(df: DataFrame, col: str, method: str) -> DataFrame:
 def impute(df: DataFrame, col: str, method: str, value=None) -> DataFrame:
     """O-31..O-35: fill ``col`` by ``value`` / ``mean`` / ``median`` / ``mode``, or
     ``delete`` the rows where it is null."""
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        df = df.withColumn(col, nan_to_null(col))       # NaN counts as missing
     if method == "delete":
         return df.dropna(subset=[col])
     if method == "value":
@@ -192,17 +194,10 @@ def label_encode(df: DataFrame, col: str) -> DataFrame:
     return j.select(*cols)
 
 
-MAX_ONE_HOT = 1000
-
-
-def one_hot_values(df: DataFrame, col: str, max_values: int = MAX_ONE_HOT) -> list:
-    """Distinct values of ``col`` for one-hot column names (a schema-defining step, so
-    the values must reach the driver); refuses more than ``max_values``."""
-    vals = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct()
-            .limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} categories; pass values explicitly")
-    return sorted(vals)
+def one_hot_values(df: DataFrame, col: str) -> list:
+    """Distinct values of ``col``: the names of the one-hot columns, so they define the
+    schema and reach the driver, as many as the result has columns."""
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence | None = None) -> DataFrame:

@@ -151,16 +151,37 @@ def knn_classify(df: DataFrame, key: str, features: Sequence[str], label: str, k
 # ---------------------------------------------------------------- O-105..O-108
 
 def _depth(v) -> int:
+    """0 (no limit) is Spark's deepest tree; a deeper explicit limit is refused."""
     v = int(v or 0)
-    return MAX_TREE_DEPTH if v <= 0 else min(v, MAX_TREE_DEPTH)
+    if v > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {v} is over Spark's limit of {MAX_TREE_DEPTH}")
+    return v if v > 0 else MAX_TREE_DEPTH
 
 
-def classifier_estimator(algorithm: str, params: dict | None = None, label: str = "label",
-                         features: str = "features"):
-    """O-105..O-108: the MLlib estimator for a reference algorithm name and its
-    parameters (defaults from ``DEFAULT_PARAMS``)."""
+SVM_KERNELS = ("linear", "poly")
+
+
+def checked_params(algorithm: str, params: dict | None = None) -> dict:
+    """The defaults with ``params``; what has no counterpart in Spark is refused rather
+    than passed over."""
     p = dict(DEFAULT_PARAMS.get(algorithm, {}))
+    unknown = set(params or {}) - set(p)
+    if unknown:
+        raise ValueError(f"{algorithm} has no parameters {sorted(unknown)}")
     p.update(params or {})
+    if int(p.get("min_samples_split", 2)) != 2:
+        raise ValueError("min_samples_split has no counterpart in Spark (use min_samples_leaf)")
+    if p.get("kernel", "linear") not in SVM_KERNELS:
+        raise ValueError(f"kernel {p['kernel']} is not built (choose of {SVM_KERNELS})")
+    return p
+
+
+def classifier_estimator(algorithm: str, params: dict | None = None, label: str = "label",
+                         features: str = "features", n_train: int = 1000):
+    """O-105..O-108: the MLlib estimator for a reference algorithm name and its
+    parameters (defaults from ``DEFAULT_PARAMS``). ``n_train`` turns the SVM's C, a cost per
+    row, into a regularisation of the mean loss."""
+    p = checked_params(algorithm, params)
     common = {"labelCol": label, "featuresCol": features}
     if algorithm == "Decision Tree":
         return DecisionTreeClassifier(
@@ -176,7 +197,7 @@ def classifier_estimator(algorithm: str, params: dict | None = None, label: str
             featureSubsetStrategy=mf, bootstrap=str(p["bootstrap"]).lower() == "true",
             seed=int(p["random_state"]), **common)
     if algorithm == "Support Vector Machine":
-        svc = LinearSVC(regParam=1.0 / max(float(p["C"]), 1e-12) / 1000.0, tol=float(p["tol"]),
+        svc = LinearSVC(regParam=1.0 / max(float(p["C"]), 1e-12) / max(n_train, 1), tol=float(p["tol"]),
                         maxIter=100 if int(p["max_iter"]) < 0 else int(p["max_iter"]),
                         featuresCol=features)
         return OneVsRest(classifier=svc, **common)
@@ -198,14 +219,14 @@ def classification_pipeline(train: DataFrame, features: Sequence[str], label: st
         stages.append(fit_standard_scaler(train, cols, suffix="__s"))
         cols = [f"{c}__s" for c in cols]
     stages.append(VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"))
-    p = dict(DEFAULT_PARAMS.get(algorithm, {}))
-    p.update(params or {})
+    p = checked_params(algorithm, params)
+    n_train = train.count() if algorithm == "Support Vector Machine" else 0
     if algorithm == "Support Vector Machine" and p.get("kernel") == "poly":
         stages.append(PolynomialExpansion(degree=int(p["degree"]), inputCol="features",
                                           outputCol="features_poly"))
-        stages.append(classifier_estimator(algorithm, p, label, "features_poly"))
+        stages.append(classifier_estimator(algorithm, p, label, "features_poly", n_train))
     else:
-        stages.append(classifier_estimator(algorithm, p, label))
+        stages.append(classifier_estimator(algorithm, p, label, n_train=n_train))
     return Pipeline(stages=stages)
 
 
@@ -318,12 +339,15 @@ def kmeans_clusters(df: DataFrame, features: Sequence[str], k: int = 8, seed: in
 
 
 def cluster_plot_data(labelled: DataFrame, centres: DataFrame, features: Sequence[str],
-                      key: str, n: int = 1000) -> DataFrame:
-    """O-114: (x, y) of the first two features per cluster (hash sample of n) plus centres."""
+                      key: str, n: int | None = None) -> DataFrame:
+    """O-114: (x, y) of the first two features per cluster (all rows, or with ``n`` as many
+    chosen by hash) plus centres."""
     x, y = list(features)[:2]
-    pts = (labelled.select(key, "Cluster_Labels", F.col(x).cast("double").alias("x"),
-                           F.col(y).cast("double").alias("y"), portable_hash(key).alias("_h"))
-           .orderBy("_h", key).limit(n).drop("_h", key).withColumn("is_centre", F.lit(False)))
+    pts = labelled.select(key, "Cluster_Labels", F.col(x).cast("double").alias("x"),
+                          F.col(y).cast("double").alias("y"), portable_hash(key).alias("_h"))
+    if n is not None:
+        pts = pts.orderBy("_h", key).limit(n)
+    pts = pts.drop("_h", key).withColumn("is_centre", F.lit(False))
     c = centres.select("Cluster_Labels", F.col(x).alias("x"), F.col(y).alias("y"),
                        F.lit(True).alias("is_centre"))
     return pts.unionByName(c)

@@ -12,12 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import (categorical_columns, numeric_columns, portable_hash, r4,
-                                       safe_div)
+from tessera.functions.columns import (categorical_columns, nan_to_null, numeric_columns,
+                                       portable_hash, r4, safe_div)
 from tessera.functions.ranking import quantiles_wide
 
 # Bytes per value used for the shallow memory estimate (pandas
@@ -31,7 +31,8 @@ CATEGORICAL_METHODS = "mode,delete"
 
 
 def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+    """``(feature, value)`` rows; NaN counts as missing, as in pandas."""
+    return df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value")
 
 
@@ -215,13 +216,13 @@ def box_stats(df: DataFrame, value_col: str, keys: Sequence[str] = (),
     per-group fences back (fences table: one row per group).
     """
     keys = list(keys)
-    v = F.col(value_col).cast("double")
+    v = nan_to_null(F.col(value_col).cast("double"))
     base = df.select(*keys, v.alias("value")).filter(F.col("value").isNotNull())
     q = _quartiles(base, keys, method)
     q = q.select(*keys, "p25", "p50", "p75",
                  (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("lower_fence"),
                  (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("upper_fence"))
-    j = base.join(q, keys, "inner") if keys else base.crossJoin(F.broadcast(q))
+    j = _join_groups(base, q, keys)
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     g = j.groupBy(*keys, "p25", "p50", "p75", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -230,29 +231,41 @@ def box_stats(df: DataFrame, value_col: str, keys: Sequence[str] = (),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"))
     stats = ["min", "p25", "p50", "p75", "max", "lower_fence", "upper_fence", "lower_whisker",
              "upper_whisker"]
-    return g.select(*keys, "n", *[r4(c).alias(c) for c in stats], "n_outliers")
+    # quartiles of cents are multiples of 1/400, fences of 1/800: six digits leave no tie
+    return g.select(*keys, "n", *[r4(c, 6).alias(c) for c in stats], "n_outliers")
+
+
+def _join_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics of each group beside its rows; a null key is a group of its own."""
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))     # one row
+    right = stats.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = df[k].eqNullSafe(right[f"_g_{k}"])
+        cond = c if cond is None else cond & c
+    return df.join(right, cond, "inner").drop(*[f"_g_{k}" for k in keys])
 
 
 def box_outliers(df: DataFrame, value_col: str, keys: Sequence[str] = (),
                  method: str = "exact") -> DataFrame:
     """Box points: the rows outside their group's 1.5 IQR fences."""
     keys = list(keys)
-    v = F.col(value_col).cast("double")
+    v = nan_to_null(F.col(value_col).cast("double"))
     base = df.select(*keys, v.alias("value")).filter(F.col("value").isNotNull())
     q = _quartiles(base, keys, method).select(
         *keys, (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("_lo"),
         (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("_hi"))
-    j = df.join(q, keys, "inner") if keys else df.crossJoin(F.broadcast(q))
+    j = _join_groups(df, q, keys)
     return j.filter((v < F.col("_lo")) | (v > F.col("_hi"))).drop("_lo", "_hi")
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, key: str, n: int = 1000,
+def scatter_sample(df: DataFrame, x: str, y: str, key: str, n: int | None = None,
                    seed: int = 0) -> DataFrame:
-    """O-28: at most ``n`` (x, y) points chosen by a portable hash of ``key``.
-
-    The limit is the feature (a plot sample); ``orderBy().limit()`` plans as a
-    per-partition top-n followed by one small merge.
-    """
+    """O-28: every (x, y) point, or with ``n`` as many chosen by a portable hash of ``key``
+    (then ``orderBy().limit()`` plans as a per-partition top-n and one small merge)."""
+    if n is None:
+        return df.select(key, x, y)
     h = portable_hash(key, seed)
     return (df.select(key, x, y, h.alias("_h")).orderBy("_h", key, x, y).limit(n)
             .select(key, x, y))
@@ -283,6 +296,3 @@ def missing_report(df: DataFrame) -> DataFrame:
     out = row.select(F.inline(F.array(*structs)))
     return out.filter(F.col("n_missing") > 0)
 
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -52,7 +52,7 @@ def _kmeans(s, d):
 
 def _cluster_plot(s, d):
     _, out, centres = md.kmeans_clusters(_emb(s, d), EMB, k=10, seed=0, max_iter=50)
-    return md.cluster_plot_data(out, centres, EMB, "vec_id", 1000)
+    return md.cluster_plot_data(out, centres, EMB, "vec_id")
 
 
 def _linreg_scores(s, d):

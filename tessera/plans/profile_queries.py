@@ -40,7 +40,7 @@ QUERIES = {
     "box_stats": lambda s, d: pf.box_stats(_li(s, d), "price"),
     "box_by_group": lambda s, d: pf.box_stats(_li(s, d), "price", ["returnflag"]),
     "box_outliers": lambda s, d: pf.box_outliers(_dq(s, d), "n_words", ["quality"]),
-    "scatter_sample": lambda s, d: pf.scatter_sample(_li(s, d), "quantity", "price", "k", 1000),
+    "scatter_sample": lambda s, d: pf.scatter_sample(_li(s, d), "quantity", "price", "k"),
     "missing_report": lambda s, d: pf.missing_report(_li(s, d)),
     "impute_value": lambda s, d: cl.impute(_li(s, d), "quantity", "value", 0).select(
         "k", "quantity"),
@@ -123,7 +123,7 @@ def _corr_sql():
 
 def _box_sql(src, col, keys):
     k = f"{keys}, " if keys else ""
-    jk = " and ".join(f"b.{x} = q.{x}" for x in keys.split(", ")) if keys else "true"
+    jk = " and ".join(f"b.{x} is not distinct from q.{x}" for x in keys.split(", ")) if keys else "true"
     g = f"group by {keys}" if keys else ""
     return f"""
 b as (select {k}cast({col} as double) as value from {src} where {col} is not null),
@@ -132,12 +132,12 @@ q as (select {k}quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.5) as
 f as (select *, p25 - 1.5 * (p75 - p25) as lower_fence, p75 + 1.5 * (p75 - p25) as upper_fence
       from q)
 select {', '.join('q.' + x for x in keys.split(', ')) + ', ' if keys else ''}count(*) as n,
-  round(min(value), 4) as min, round(q.p25, 4) as p25, round(q.p50, 4) as p50,
-  round(q.p75, 4) as p75, round(max(value), 4) as max, round(q.lower_fence, 4) as lower_fence,
-  round(q.upper_fence, 4) as upper_fence,
-  round(min(case when value between q.lower_fence and q.upper_fence then value end), 4)
+  round(min(value), 6) as min, round(q.p25, 6) as p25, round(q.p50, 6) as p50,
+  round(q.p75, 6) as p75, round(max(value), 6) as max, round(q.lower_fence, 6) as lower_fence,
+  round(q.upper_fence, 6) as upper_fence,
+  round(min(case when value between q.lower_fence and q.upper_fence then value end), 6)
     as lower_whisker,
-  round(max(case when value between q.lower_fence and q.upper_fence then value end), 4)
+  round(max(case when value between q.lower_fence and q.upper_fence then value end), 6)
     as upper_whisker,
   cast(sum(case when value between q.lower_fence and q.upper_fence then 0 else 1 end) as bigint)
     as n_outliers
@@ -199,11 +199,10 @@ from g cross join st cross join c group by g.g, mn, rng, n, h""",
     "box_outliers": f"""{DQ},
 q as (select quality, quantile_cont(n_words, 0.25) as q1, quantile_cont(n_words, 0.75) as q3
       from dq where n_words is not null group by quality)
-select dq.* from dq join q on dq.quality = q.quality
+select dq.* from dq join q on dq.quality is not distinct from q.quality
 where n_words < q1 - 1.5 * (q3 - q1) or n_words > q3 + 1.5 * (q3 - q1)""",
     "scatter_sample": f"""{LI}
-select k, quantity, price from li
-order by (k * 2654435761) % 4294967296, k, quantity, price limit 1000""",
+select k, quantity, price from li""",
     "missing_report": f"""{LI},
 m as (select
   cast(sum(case when quantity is null or isnan(quantity) then 1 else 0 end) as bigint) as q,

@@ -97,13 +97,13 @@ select doc_id, n_chars, n_words, quality from rk where _rank < (select mn from m
     "oversample": f"""{DQ}, {RANKED},
 cnt as (select quality, count(*) as n from dq group by quality),
 big as (select quality, n from cnt order by n desc, cast(quality as varchar) limit 1),
-oth as (select quality, n from cnt where quality <> (select quality from big)),
+oth as (select quality, n from cnt where quality is distinct from (select quality from big)),
 slots as (select oth.quality, oth.n, unnest(range(0, (select n from big))) as slot from oth),
 draw as (select quality, ((slot + 1) * 2654435761) % 4294967296 % n as _rank from slots)
-select doc_id, n_chars, n_words, quality from dq where quality = (select quality from big)
+select doc_id, n_chars, n_words, quality from dq where quality is not distinct from (select quality from big)
 union all
 select rk.doc_id, rk.n_chars, rk.n_words, rk.quality from draw
-join rk on draw.quality = rk.quality and draw._rank = rk._rank""",
+join rk on draw.quality is not distinct from rk.quality and draw._rank = rk._rank""",
     "smote": SMOTE_SQL,
     "tomek_links": TOMEK_SQL,
 }

@@ -37,11 +37,12 @@ def normalise_nulls(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataF
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """One aggregate over all text columns: the narrowest of long / double / string that
-    holds every non-null value."""
+    holds every non-null value; a column without values stays text."""
     aggs = []
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
         nn = col.isNotNull()
+        aggs.append(F.count(col).alias(f"n{i}"))
         aggs.append(F.sum(F.when(nn & col.try_cast("long").isNull(), 1).otherwise(0))
                     .alias(f"l{i}"))
         aggs.append(F.sum(F.when(nn & col.try_cast("double").isNull(), 1).otherwise(0))
@@ -49,14 +50,16 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     row = df.agg(*aggs).collect()[0]
     out = {}
     for i, c in enumerate(df.columns):
-        out[c] = "long" if not row[f"l{i}"] else ("double" if not row[f"d{i}"] else "string")
+        whole, number = not row[f"l{i}"], not row[f"d{i}"]
+        out[c] = "string" if not row[f"n{i}"] or not number else "long" if whole else "double"
     return out
 
 
 def read_csv(spark: SparkSession, path: str, tokens: Sequence[str] = NULL_TOKENS,
              types: dict[str, str] | None = None) -> DataFrame:
     """O-01 / O-02: header row, null tokens to NULL, cleaned names, inferred types."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("multiLine", True).option("escape", '"').csv(path))    # quoted line breaks and quotes
     df = normalise_nulls(clean_headers(raw), tokens)
     t = types or infer_types(df)
     return df.select(*[F.col(f"`{c}`").cast(t[c]).alias(c) for c in df.columns])

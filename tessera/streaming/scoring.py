@@ -72,15 +72,16 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, output_mode: st
     return spark.read.parquet(out)
 
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A parquet file (or folder of files) as a stream; a single file is read through its
-    folder with a name filter, since file streams watch folders."""
+    folder with a name filter, since file streams watch folders. A micro-batch takes all
+    new files unless ``max_files`` is given."""
     schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
     if path.endswith(".parquet"):
         folder, name = os.path.split(path)
         return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)
 
-
-events_stream = file_stream
