@@ -202,7 +202,8 @@ def _add_up(table: pa.Table) -> pa.Table:
     ids, n = docs["w"][0].values, docs["t"][0].values.to_numpy()
     d = _list(sums, "d")[0] if sums.num_rows else np.zeros(0, np.int64)
     add = lambda c: np.bincount(d, weights=_list(sums, c)[0] if sums.num_rows else [], minlength=len(n))
-    return pa.table({"doc": ids, "n_words": pa.array(n, pa.int64()), "s": add("s"), "u": add("u"), "z": add("z")})
+    return pa.table({"doc": ids, "n_words": pa.array(n, pa.int64()),
+                     **{c: pa.array(add(c), pa.float64()) for c in "suz"}})
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF,

@@ -113,11 +113,14 @@ class Labellers:
 
     def _lines(self, raw: np.ndarray, bounds: np.ndarray):
         """Lines per row, the share that repeat an earlier one, the share that end a sentence."""
+        if not len(raw):
+            none = np.zeros(len(bounds) - 1)
+            return none, none, none
         brk = raw == 0x0A
         edge = np.unique(np.r_[bounds[:-1], np.flatnonzero(brk) + 1])
         edge = edge[edge < len(raw)]
         stop = np.r_[edge[1:], len(raw)]
-        stop = stop - (brk[stop - 1] & (stop > edge)) if len(stop) else stop
+        stop = stop - (brk[stop - 1] & (stop > edge))
         full = stop > edge
         edge, stop = edge[full], stop[full]
         h = word_hashes(raw, edge, stop)
