@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -179,23 +179,63 @@ def posterior(patterns: np.ndarray, table: np.ndarray, prior: float) -> np.ndarr
     return e[:, 1] / e.sum(axis=1)
 
 
-def _votes(with_features: bool):
+def _votes(batches):
+    label = Labellers()
+    for b in batches:
+        off, data = text_buffers(b.column(1))
+        for i, j in chunks(off):
+            votes, _ = label(off[i:j + 1], data)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _rows_of(votes)], names=["doc_id", "votes"])
+
+
+def _rows_of(votes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, votes.size + 1, votes.shape[1], dtype=np.int32), pa.array(votes.ravel()))
+
+
+def _examples(tables: dict):
+    """Votes, features and the posterior of each target, for texts with their reviews."""
     def run(batches):
         label = Labellers()
         for b in batches:
             off, data = text_buffers(b.column(1))
+            review = {t: b.column(k).fill_null(ABSTAIN).to_numpy(zero_copy_only=False).astype(int)
+                      for k, t in ((2, "quality"), (3, "toxic"))}
             for i, j in chunks(off):
                 votes, features = label(off[i:j + 1], data)
-                cols = [b.column(0).slice(i, j - i),
-                        pa.ListArray.from_arrays(np.arange(0, votes.size + 1, votes.shape[1], dtype=np.int32),
-                                                 pa.array(votes.ravel()))]
-                names = ["doc_id", "votes"]
-                if with_features:
-                    bound = np.r_[0, np.cumsum([len(f) for f in features])].astype(np.int32)
-                    cols += [pa.ListArray.from_arrays(bound, pa.array(np.concatenate(features).view(np.int64)))]
-                    cols += [b.column(k).slice(i, j - i) for k in range(2, b.num_columns)]
-                    names += ["features", "quality", "toxic"][:1 + b.num_columns - 2]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                bound = np.r_[0, np.cumsum([len(f) for f in features])].astype(np.int32)
+                p = [pa.array(posterior(np.c_[votes[:, list(mine)].astype(int), review[t][i:j]], *tables[t]))
+                     for t, mine in (("quality", FOR_QUALITY), ("toxic", FOR_TOXIC))]
+                judged = (review["toxic"][i:j] != ABSTAIN) | (votes[:, FOR_TOXIC[0]] != ABSTAIN)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), _rows_of(votes),
+                     pa.ListArray.from_arrays(bound, pa.array(np.concatenate(features).view(np.int64))),
+                     *p, pa.array(judged)], names=["doc_id", "votes", "features", "quality", "toxic", "judged"])
+    return run
+
+
+def _vectors(keys: np.ndarray, m: int):
+    """Sparse vectors (as MLlib stores them) of votes and the kept features, with p."""
+    def run(batches):
+        for b in batches:
+            votes = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(U64)
+            size = np.array([len(v) for v in b.column(1)], np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)
+            at = np.searchsorted(keys, flat)
+            at[at == len(keys)] = 0
+            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            vote_row, vote_at = np.nonzero(votes != ABSTAIN)
+            rows = np.r_[vote_row, row[hit]]
+            index = np.r_[vote_at + m * (votes[vote_row, vote_at] == 1), 2 * m + at[hit]]
+            order = np.lexsort((index, rows))
+            bound = np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32)
+            n = b.num_rows
+            vector = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 2 * m + len(keys), np.int32)),
+                 pa.ListArray.from_arrays(bound, pa.array(index[order].astype(np.int32))),
+                 pa.ListArray.from_arrays(bound, pa.array(np.ones(len(order))))],
+                names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([vector, b.column(2)], names=["features", "p"])
     return run
 
 
@@ -217,7 +257,7 @@ class Scorer:
         return out
 
 
-def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
+def _train(rows: DataFrame, m: int) -> Scorer | None:
     """Scorer from rows (votes, features, p: posterior of class 1, h: hash for hold-out)."""
     held = F.pmod("h", F.lit(5)) == 0
     train, test = rows.where(~held), rows.where(held)
@@ -232,18 +272,13 @@ def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
            .where((F.col("n") >= LEAST_DOCS) & (score >= LEAST_Z))
            .orderBy(score.desc(), "f").limit(FEATURES).select("f").collect())      # at most FEATURES rows
     keys = np.sort(np.array([r.f for r in top], np.int64).view(U64))
-    width = 2 * m + len(keys)
+    kind = StructType([StructField("features", VectorUDT()), StructField("p", DoubleType())])
 
-    @F.udf(VectorUDT())
-    def vector(votes, features):
-        f = np.sort(np.array(features, np.int64).view(U64))
-        at = np.flatnonzero(np.isin(keys, f))
-        v = np.asarray(votes)
-        idx = np.r_[np.flatnonzero(v == 0), m + np.flatnonzero(v == 1), 2 * m + at]
-        return Vectors.sparse(width, idx.tolist(), np.ones(len(idx)).tolist())
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.select("votes", "features", "p").mapInArrow(_vectors(keys, m), kind)
 
     # a soft label is two weighted rows
-    soft = train.select(vector("votes", "features").alias("features"), F.explode(F.array(
+    soft = vectors(train).select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("e")) \
         .select("features", "e.label", (F.col("e.w") * F.when(F.col("e.label") == 1, zero / one).otherwise(1.0)).alias("w")) \
@@ -252,7 +287,7 @@ def _train(rows: DataFrame, target: str, m: int) -> Scorer | None:
                                standardization=False).fit(soft)
     c = model.coefficients.toArray()
     out = Scorer(keys, c[2 * m:], c[:2 * m].reshape(2, m), float(model.intercept), 0.0)
-    raw = model.transform(test.select(vector("votes", "features").alias("features"), "p")) \
+    raw = model.transform(vectors(test)) \
         .select(vector_to_array("rawPrediction")[1].alias("x"), "p").collect()     # two numbers of a fifth of the sample
     if raw:
         out.limit = best_limit(np.array([r.x for r in raw]), np.array([r.p for r in raw]) >= 0.5)
@@ -280,7 +315,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None,
     null) of some documents; without it the scorer learns from the heuristics alone."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     m = len(LABELLERS)
-    votes = src.mapInArrow(_votes(False), "doc_id long, votes array<tinyint>")
+    votes = src.mapInArrow(_votes, "doc_id long, votes array<tinyint>")
     if labels is not None:
         one = labels.where("doc_id is not null").groupBy("doc_id").agg(
             F.max("quality").cast("tinyint").alias("quality"), F.max("toxic").cast("tinyint").alias("toxic"))
@@ -305,25 +340,12 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None,
         share = min(1.0, sample_docs / max(total, 1))
         base = src.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))) \
             .withColumns({"quality": F.lit(None).cast("tinyint"), "toxic": F.lit(None).cast("tinyint")})
-    sample = base.mapInArrow(_votes(True), "doc_id long, votes array<tinyint>, features array<long>, "
-                             "quality tinyint, toxic tinyint") \
+    sample = base.mapInArrow(_examples(tables), "doc_id long, votes array<tinyint>, features array<long>, "
+                             "quality double, toxic double, judged boolean") \
         .withColumn("h", F.xxhash64("doc_id", "features")).persist()
-    try:
-        out = {}
-        for target, mine in (("quality", FOR_QUALITY), ("toxic", FOR_TOXIC)):
-            table, prior = tables[target]
-
-            @F.pandas_udf("double")
-            def p(votes, label, mine=mine, table=table, prior=prior):
-                import pandas as pd
-                v = np.array(votes.tolist(), int).reshape(len(votes), -1)[:, list(mine)]
-                last = label.fillna(ABSTAIN).to_numpy().astype(int)
-                return pd.Series(posterior(np.c_[v, last], table, prior))
-            rows = sample.withColumn("p", p("votes", target))
-            if target == "toxic":   # a text that nobody judged says nothing
-                rows = rows.where(F.col("toxic").isNotNull() | (F.element_at("votes", FOR_TOXIC[0] + 1) >= 0))
-            out[target] = _train(rows, target, m)
-        return out
+    try:    # of toxicity, a text that nobody judged says nothing
+        return {t: _train(rows.withColumn("p", F.col(t)), m)
+                for t, rows in (("quality", sample), ("toxic", sample.where("judged")))}
     finally:
         sample.unpersist()
 
@@ -338,12 +360,13 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     decides nothing. Added columns that clash with those of `df` get an underscore."""
     model = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, labels, sample_docs))
     name = fresh(df)
-    text, scores = name("scored_text"), [name(c) for c in ("quality_margin", "toxic_margin", "keep")]
+    scores = [name(c) for c in ("quality_margin", "toxic_margin", "keep")]
+    at = df.columns.index(text_col)
 
     def run(batches):
         label = Labellers()
         for b in batches:
-            off, data = text_buffers(b.column(b.num_columns - 1))
+            off, data = text_buffers(b.column(at))
             for i, j in chunks(off):
                 votes, features = label(off[i:j + 1], data)
                 margins = [None if (s := model.value[t]) is None else s.margin(votes, features) - s.limit
@@ -354,10 +377,10 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if margins[1] is not None:
                     keep &= margins[1] <= 0
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(i, j - i) for k in range(b.num_columns - 1)),
+                    [*(c.slice(i, j - i) for c in b.columns),
                      *(pa.nulls(j - i, pa.float64()) if x is None else pa.array(x) for x in margins), pa.array(keep)],
-                    names=[*b.schema.names[:-1], *scores])
+                    names=[*b.schema.names, *scores])
 
     schema = StructType([*df.schema.fields, *(StructField(c, t()) for c, t in
                                               zip(scores, (DoubleType, DoubleType, BooleanType), strict=True))])
-    return df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
