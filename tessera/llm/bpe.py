@@ -229,7 +229,7 @@ def encode_batches(spec: dict, most: int = CACHE_WORDS):
         cache = WordCache(WordBpe(spec), most)
         for b in batches:
             off, data = text_buffers(b.column(1))
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off, 2 << 20):
                 texts = [data[off[k]:off[k + 1]].tobytes().decode() for k in range(i, j)]
                 yield cache.bpe, b.column(0).slice(i, j - i), cache.encode(texts)
     return run
@@ -267,7 +267,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     return id_text(df, id_col, text_col).mapInArrow(run, schema)
 
 
-def _portions(ids: list[np.ndarray], most: int = 2_000_000):
+def _portions(ids: list[np.ndarray], most: int = 1_000_000):
     i = 0
     while i < len(ids):
         j, n = i, 0
