@@ -22,7 +22,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -350,17 +350,19 @@ def best_arima(errors: DataFrame) -> DataFrame:
 def forest_forecast(panel: DataFrame, names: Sequence[str], stage: str = "test",
                     horizon: int = 3, n_trees: int = 100, seed: int = 1) -> DataFrame:
     """O-87 / O-88: one random forest (100 trees, 1 feature per split, seed 1) pooled over
-    all entities, the entity as an indexed feature; interval from the per-tree
-    predictions with values outside 1.5 IQR dropped (all kept if none remain)."""
+    all entities, an entity told by the level and spread of its fitted months (so any
+    number of entities fits); interval from the per-tree predictions with values outside 1.5 IQR dropped (all kept if none remain)."""
     fitw = stage_window("split", stage) if stage != "future" else (F.col("split") != "future")
     p = panel.withColumn("_fit", fitw).withColumn("_moy", F.month(MONTH).cast("double"))
-    feats = ["_ent", "_moy", *names]
-    idx = StringIndexer(inputCol=ENTITY, outputCol="_ent", handleInvalid="keep")
+    fitted = p.filter(F.col("_fit") & F.col("y").isNotNull())
+    level = fitted.groupBy(ENTITY).agg(F.avg("y").alias("_ent_mean"), F.stddev_pop("y").alias("_ent_std"))
+    p = p.join(level, ENTITY, "left")
+    feats = ["_ent_mean", "_ent_std", "_moy", *names]
     asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="keep")
     rf = RandomForestRegressor(featuresCol="_features", labelCol="y", numTrees=n_trees,
                                featureSubsetStrategy="1", seed=seed)
     train = p.filter(F.col("_fit") & F.col("y").isNotNull())
-    model = Pipeline(stages=[idx, asm, rf]).fit(train)
+    model = Pipeline(stages=[asm, rf]).fit(train)
     w = Window.partitionBy(ENTITY).orderBy(MONTH)
     tgt = p.filter(~F.col("_fit")).withColumn("_r", F.row_number().over(w)).filter(
         F.col("_r") <= horizon)
@@ -393,23 +395,6 @@ def _arr_quantile(c: str, p: float):
     return a + (b - a) * (h - lo)
 
 
-def forest_importances(panel: DataFrame, names: Sequence[str], stage: str = "test",
-                       n_trees: int = 100, seed: int = 1) -> DataFrame:
-    """Feature importances of the pooled forest, sorted descending."""
-    fitw = stage_window("split", stage)
-    p = panel.withColumn("_fit", fitw).withColumn("_moy", F.month(MONTH).cast("double"))
-    feats = ["_ent", "_moy", *names]
-    idx = StringIndexer(inputCol=ENTITY, outputCol="_ent", handleInvalid="keep")
-    asm = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="keep")
-    rf = RandomForestRegressor(featuresCol="_features", labelCol="y", numTrees=n_trees,
-                               featureSubsetStrategy="1", seed=seed)
-    model = Pipeline(stages=[idx, asm, rf]).fit(p.filter(F.col("_fit") & F.col("y").isNotNull()))
-    imp = model.stages[-1].featureImportances.toArray()
-    spark = panel.sparkSession
-    rows = sorted(zip(feats, [float(x) for x in imp]), key=lambda r: -r[1])
-    return spark.createDataFrame(rows, "feature string, importance double")
-
-
 # ---------------------------------------------------------------- O-84, O-94..O-97
 
 def all_candidates(df: DataFrame, stage: str = "test", lag: int = 2, horizon: int = 3,
