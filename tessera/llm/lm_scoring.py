@@ -33,9 +33,10 @@ START = 0x5DEECE66D1CE4E5B      # context of a document's first word
 
 #: Rows of all kinds: w, c are hashed words, wn and cn how many entries of the next
 #: array belong to each, d documents of the batch, t how often, s sums, u backed-off
-#: words, z whether the first pair was seen often enough.
+#: words, z whether the first pair was seen often enough; ids and u the documents of a batch
+#: and their numbers of words.
 _ROWS = ("bucket int, kind string, batch long, w array<long>, wn array<int>, c array<long>, cn array<int>, "
-         "d array<int>, t array<int>, s array<double>, u array<int>, z array<int>")
+         "d array<int>, t array<int>, s array<double>, u array<int>, z array<int>, ids array<long>")
 _FIELDS = [f.split(" ") for f in _ROWS.split(", ")]
 _KINDS = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()),
           "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
@@ -84,8 +85,8 @@ def _combined(off: np.ndarray, data: np.ndarray, batch: int, ids: pa.Array, buck
     order = np.argsort(to, kind="stable")
     edge = np.searchsorted(to[order], np.arange(buckets + 1))
     yield from _table([{"bucket": int(_bucket(np.array([batch]), buckets)[0]), "kind": "docs", "batch": batch,
-                        "w": ids.to_numpy(zero_copy_only=False).astype(np.int64),
-                        "t": n_words.astype(np.int32)}]).to_batches()
+                        "ids": ids.to_numpy(zero_copy_only=False).astype(np.int64),
+                        "u": n_words.astype(np.int32)}]).to_batches()
     for k in np.flatnonzero(np.diff(edge)).tolist():
         rows = order[edge[k]:edge[k + 1]]
         bw, bc, bd = w[rows], c[rows], d[rows]
@@ -105,9 +106,9 @@ def _list(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and the row of each."""
     size = np.array([0 if v is None else v for v in
                      pc.list_value_length(table[column]).to_pylist()], np.int64)
-    values = table[column].combine_chunks()
-    values = values.flatten() if isinstance(values, pa.Array) else pa.concat_arrays([v.flatten() for v in values.chunks])
-    return values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+    parts = [v.flatten().to_numpy(zero_copy_only=False) for v in table[column].chunks]
+    values = np.concatenate(parts) if len(parts) != 1 else parts[0]
+    return values, np.repeat(np.arange(len(size)), size)
 
 
 def _sums(batch: int, d: np.ndarray, s: np.ndarray, u: np.ndarray, z: np.ndarray, buckets: int) -> dict:
@@ -121,35 +122,37 @@ def _count_pairs(buckets: int, backoff: float, least: int):
     """A partition of the count table: counts of its words and pairs, sums of the
     documents, and the contexts it needs from others."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        # a column at a time: rows of documents have none of the pairs' columns
         kind = np.array(table["kind"].to_pylist())
         passed = table.filter(pa.array(kind != "pairs"))
-        table = table.filter(pa.array(kind == "pairs"))
-        if not table.num_rows:
+        if not (kind == "pairs").any():
             return passed
-        w, _ = _list(table, "w")
+        w = np.repeat(_list(table, "w")[0], _list(table, "wn")[0])
         c, pair_row = _list(table, "c")
-        d, _ = _list(table, "d")
-        t, _ = _list(table, "t")
-        w = np.repeat(w, _list(table, "wn")[0])
+        d, t = _list(table, "d")[0], _list(table, "t")[0]
         cn = _list(table, "cn")[0].astype(np.int64)
         first = np.r_[0, np.cumsum(cn)]
-        here = np.add.reduceat(t.astype(np.int64), first[:-1])
+        here = np.add.reduceat(t, first[:-1])
         order = np.lexsort((c, w))
-        p = _heads(w[order], c[order])
-        total = np.add.reduceat(here[order], p)
-        q = _heads(w[order][p])
-        words, count = w[order][p][q], np.add.reduceat(total, q)
+        sorted_w = w[order]
+        p = _heads(sorted_w, c[order])
+        total = np.add.reduceat(here[order].astype(np.int64), p)
+        words = sorted_w[p]
+        del sorted_w, here
+        q = _heads(words)
+        words, count = words[q], np.add.reduceat(total, q)
         pair = np.empty(len(w), np.int64)
         pair[order] = np.repeat(total, np.diff(np.r_[p, len(w)]))
         one = np.empty(len(w), np.int64)
         one[order] = np.repeat(np.repeat(count, np.diff(np.r_[q, len(p)])), np.diff(np.r_[p, len(w)]))
+        del order, w
         seen = pair >= least
         value = np.where(seen, np.log(pair), math.log(backoff) + np.log(one))
+        del pair, one
         rows = [{"bucket": int(_bucket(words[:1], buckets)[0]), "kind": "count", "batch": 0, "w": words, "s": np.log(count)}]
         batch = table["batch"].to_numpy()
         bounds = np.searchsorted(pair_row, np.arange(table.num_rows + 1))
-        for r in range(table.num_rows):
+        for r in np.flatnonzero(kind == "pairs").tolist():
             a, z = bounds[r], bounds[r + 1]
             e = slice(first[a], first[z])
             ok, v = np.repeat(seen[a:z], cn[a:z]), np.repeat(value[a:z], cn[a:z])
@@ -175,7 +178,6 @@ def _count_pairs(buckets: int, backoff: float, least: int):
 def _contexts(buckets: int):
     """Takes off the logarithm of the contexts' counts."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         kind = np.array(table["kind"].to_pylist())
         known = table.filter(pa.array(kind == "count"))
         words, logs = _list(known, "w")[0], _list(known, "s")[0]
@@ -199,7 +201,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     kind = np.array(table["kind"].to_pylist())
     docs = table.filter(pa.array(kind == "docs"))
     sums = table.filter(pa.array(kind == "sums"))
-    ids, n = docs["w"][0].values, docs["t"][0].values.to_numpy()
+    ids, n = docs["ids"][0].values, docs["u"][0].values.to_numpy()
     d = _list(sums, "d")[0] if sums.num_rows else np.zeros(0, np.int64)
     add = lambda c: np.bincount(d, weights=_list(sums, c)[0] if sums.num_rows else [], minlength=len(n))
     return pa.table({"doc": ids, "n_words": pa.array(n, pa.int64()),
