@@ -107,7 +107,7 @@ def _list(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([0 if v is None else v for v in
                      pc.list_value_length(table[column]).to_pylist()], np.int64)
     parts = [v.flatten().to_numpy(zero_copy_only=False) for v in table[column].chunks]
-    values = np.concatenate(parts) if len(parts) != 1 else parts[0]
+    values = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
     return values, np.repeat(np.arange(len(size)), size)
 
 
