@@ -181,6 +181,15 @@ def test_line_dedup_wide_leaf(spark):
     assert all(r.n_lines == 3 and r.n_dropped == 1 and "forum" not in r.text for r in left)
 
 
+def test_line_dedup_first_and_last_lines(spark):
+    """First in half and last in half of many different texts; copies stay."""
+    line = "all rights reserved by the owners"
+    rows = [(d, f"{line}\nbody {chr(97 + d)} goes on" if d % 2 else f"body {chr(97 + d)} goes on\n{line}") for d in range(20)]
+    rows += [(100 + d, "alone in its copies\nand the second line") for d in range(30)] + [(200 + d, "one line only") for d in range(30)]
+    left = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), edges=False).collect()}
+    assert all(left[d] == (f"body {chr(97 + d)} goes on" if d < 20 else t) for d, t in rows)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     left = line_dedup(odd)
     assert left.columns == odd.columns
