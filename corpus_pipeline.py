@@ -44,7 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_shipped
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines whose template recurs; n_chars follows the text."""
-    left = line_dedup(docs, edges=False)
+    left = line_dedup(docs, edges=False, blocks=True)
     return left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                            .otherwise(F.col("n_chars"))).select(*docs.columns)
 

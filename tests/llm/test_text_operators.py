@@ -190,6 +190,32 @@ def test_line_dedup_first_and_last_lines(spark):
     assert all(left[d] == (f"body {chr(97 + d)} goes on" if d < 20 else t) for d, t in rows)
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+def test_line_dedup_blocks(spark, place):
+    """All lines of a block that recurs go, wherever it stands; one document's refrain and
+    the lines of near copies stay."""
+    block = ["permission is granted to", "copy and change this", "", "without any warranty", "of whatever kind"]
+
+    def text(d):
+        own = [f"own{chr(97 + d)} words {w}" for w in ("one", "two", "three", "four")]
+        at = {"start": 0, "middle": 2, "end": 4}[place]
+        return "\n".join(own[:at] + block + own[at:])
+    rows = [(d, text(d)) for d in range(12)]
+    song = "\n".join(f"verse {chr(97 + i)} of it\nand the refrain" for i in range(9))
+    near = [(200 + d, "\n".join(f"line {chr(97 + i)} of a near copy" for i in range(20)) + f"\nsigned by {chr(97 + d)}") for d in range(12)]
+    df = spark.createDataFrame([*rows, (100, song), *near], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup(df, edges=False, blocks=True).collect()}
+    assert all([x for x in left[d].split("\n") if x] == [x for x in t.split("\n") if x.startswith("own")] for d, t in rows)
+    assert left[100] == song
+    assert all(t.split("\n")[:19] == left[d].split("\n")[:19] for d, t in near)
+
+
+def test_line_dedup_blocks_odd_rows(odd, empty):
+    left = line_dedup(odd, edges=False, blocks=True)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(TEXTS)
+    assert line_dedup(empty, edges=False, blocks=True).count() == 0
+
+
 def test_line_dedup_odd_rows(odd, empty):
     left = line_dedup(odd)
     assert left.columns == odd.columns
