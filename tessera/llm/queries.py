@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align_tokenizers
+from tessera.llm.best_fit import pack_best_fit
 from tessera.llm.bpe import encoded_digests
 from tessera.llm.common import documents
 from tessera.llm.decontaminate import contaminated_regions
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.lexical_search import search
 from tessera.llm.line_dedup import ORACLE as LINE_ORACLE
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.lm_scoring import ORACLE as LM_ORACLE
@@ -78,6 +81,20 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_groups(documents(spark, sf_dir), percent=85)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return align_tokenizers(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(documents(spark, sf_dir), word_vocabulary())
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": op1_stupid_backoff,
     "op2_qgram_decontamination": op2_qgram_decontamination,
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_word_bpe": op8_word_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bbit_minhash": op10_bbit_minhash,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -113,4 +133,21 @@ kept as (select word.doc_id, count(*) as n, string_agg(x, ' ' order by pos) as t
 select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed,
        sha256(coalesce(txt, '')) as kept_sha256
 from d left join kept using (doc_id)""",
+    "op13_lexical_search": r"""
+with doc as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+d as (select doc_id, w, len(w)::bigint as n from doc where len(w) > 0),
+c as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from d),
+tf as (select doc_id, n, t, count(*)::bigint as tf from (select doc_id, n, unnest(w) as t from d) group by all),
+df as (select t, count(*)::bigint as df from tf group by t),
+item as (select item_id, unnest(list_distinct(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as t from benchmark),
+q as (select item_id, t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w
+      from item join df using (t) cross join c),
+s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+      from q join tf using (t) cross join c group by item_id, doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+      from s where score > 0)
+select * from r where rank <= 50""",
 }
