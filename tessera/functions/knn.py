@@ -1,23 +1,33 @@
-"""Exact k nearest neighbours by blocked distance computation.
-
-Points are cut into blocks of at most ``block_size`` rows (block = group rank
-div block size, from the distributed rank, so a large group is split evenly).
-Each pair of blocks that may hold neighbours (same group) is one row; a
-``mapInPandas`` task computes that block pair's distance matrix with numpy and
-emits only the k best candidates per query point. The final k per query is a
-top-k over (k x number of blocks) candidates. Memory per task is bounded by
-``block_size**2 * dim``; no pair of points is ever materialised as a row. The
-total work stays quadratic in the group size, as any exact method without an
-index.
+"""Exact k nearest neighbours with pivots and distance bounds.
+
+Every point goes to the cell of its nearest pivot (a hash sample of candidates, about
+the square root of their number). Inside a cell the points are ranked by their distance to the
+pivot and cut into blocks of at most ``block_size`` rows, so a block is a ring of its
+cell with a least and a greatest distance, and a large cell spreads over many blocks.
+
+The triangle inequality rules out pairs of blocks before any distance is computed:
+
+* per pair of cells, from the distances of the pivots, the cells' radii, and a bound of the
+  k-th distance (how many candidates lie surely within which distance);
+* per pair of blocks, from the rings and the k-th distances that the points really found
+  in their own cell in a first round.
+
+The pairs left are joined by block number; a ``mapInPandas`` task computes one pair's
+distances with numpy and gives the k best per query point. Memory per task is bounded by
+``block_size**2 * dim`` and no pair of points is ever a row. Where the data
+have no clusters and many dimensions the bounds rule out little, and all pairs of
+blocks of a group are computed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,55 +36,137 @@ from tessera.functions.ranking import with_group_rank
 # distances are rounded before ranking so tiny summation-order differences
 # between engines cannot reorder near-equal neighbours (ties then go by key)
 DIST_DIGITS = 6
+SLACK = 1e-5            # bounds are held to less than the rounding, relative to the distances
+MAX_PIVOTS = 512        # pivots are broadcast, and pairs of cells go through one task a group
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    diff = a[:, None, :] - b[None, :, :]
+    if metric == "manhattan":
+        return np.abs(diff).sum(axis=2)
+    return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
 
-def _blocks(df: DataFrame, group: Sequence[str], key: str, vec: str, block_size: int,
-            side: str) -> DataFrame:
-    r = with_group_rank(df.select(*group, key, vec), list(group), [key], "_r")
-    b = r.select(*group, key, vec, F.floor(F.col("_r") / F.lit(block_size)).alias(f"{side}_blk"))
-    return b.groupBy(*group, f"{side}_blk").agg(
-        F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias(f"{side}_pts"))
+def _pivots(cand: DataFrame, key: str, vec: str, n: int) -> np.ndarray:
+    """At most MAX_PIVOTS vectors, chosen by a hash of the key."""
+    rows = cand.select(vec).orderBy(F.xxhash64(key), key).limit(n).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    return np.unique(np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), -1), axis=0)
+
+
+def _cells(df: DataFrame, vec: str, sent, metric: str, evaluated: Accumulator | None) -> DataFrame:
+    """Adds the cell and the distance to its pivot."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()),
+                           T.StructField("_d", T.DoubleType())])
+
+    def run(it):
+        pivots = sent.value
+        step = max(1, (1 << 22) // pivots.size)
+        for pdf in it:
+            x = np.array(pdf[vec].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+            cell, d = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for i in range(0, len(x), step):
+                m = _distances(x[i:i + step], pivots, metric)
+                cell[i:i + step] = m.argmin(axis=1)
+                d[i:i + step] = m.min(axis=1)
+            if evaluated is not None:
+                evaluated.add(len(x) * len(pivots))
+            yield pdf.assign(_cell=cell, _d=d)
+
+    return df.mapInPandas(run, schema)
+
+
+def _blocks(df: DataFrame, group: Sequence[str], key: str, vec: str, block_size: int, need: int) -> DataFrame:
+    """One row per block: its points, ring and number of points, and the cell's
+    distance within which ``need`` of its points lie (all, if it has fewer)."""
+    r = with_group_rank(df, [*group, "_cell"], ["_d", key], "_r")
+    return r.groupBy(*group, "_cell", F.floor(F.col("_r") / F.lit(block_size)).alias("_blk")).agg(
+        F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v"))).alias("_pts"),
+        F.min("_d").alias("_l"), F.max("_d").alias("_u"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("_r") < need, F.col("_d"))).alias("_near"))
+
+
+def _cell_pairs(q: DataFrame, c: DataFrame, group: Sequence[str], sent, metric: str, need: int) -> DataFrame:
+    """Pairs of a query cell and a candidate cell of its group that may hold neighbours, with
+    the pivots' distance and ``_bound``: the k-th distance of a query point at
+    distance d of its pivot is at most ``_bound + d``."""
+    cells = q.groupBy(*group, "_cell").agg(
+        F.lit(True).alias("_query"), F.max("_u").alias("_u"), F.sum("_n").alias("_n"), F.max("_near").alias("_near"))
+    cells = cells.unionByName(c.groupBy(*group, "_cell").agg(
+        F.lit(False).alias("_query"), F.max("_u").alias("_u"), F.sum("_n").alias("_n"), F.max("_near").alias("_near")))
+    schema = T.StructType([*[f for f in q.schema.fields if f.name in group],
+                           T.StructField("_qc", T.IntegerType()), T.StructField("_cc", T.IntegerType()),
+                           T.StructField("_pp", T.DoubleType()), T.StructField("_bound", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pivots = sent.value
+        a, b = pdf[pdf["_query"]], pdf[~pdf["_query"]]
+        out = []
+        bc, bu, near = b["_cell"].to_numpy(), b["_u"].to_numpy(), b["_near"].to_numpy()
+        have = np.minimum(b["_n"].to_numpy(), need)
+        for i, u in zip(a["_cell"], a["_u"], strict=True):
+            pp = _distances(pivots[[i]], pivots[bc], metric)[0] if len(bc) else np.zeros(0)
+            order = np.argsort(pp + near)
+            enough = np.flatnonzero(np.cumsum(have[order]) >= need)
+            bound = (pp + near)[order[enough[0]]] if len(enough) else np.inf
+            ok = (pp - u - bu) * (1 - SLACK) - SLACK <= bound + u
+            out.append(pd.DataFrame({"_qc": i, "_cc": bc[ok], "_pp": pp[ok], "_bound": bound}))
+        got = pd.concat(out) if out else pd.DataFrame({"_qc": [], "_cc": [], "_pp": [], "_bound": []})
+        for g in group:
+            got[g] = pdf[g].iloc[0]
+        return got[[f.name for f in schema.fields]]
+
+    return cells.groupBy(*group).applyInPandas(run, schema)
+
+
+def _on(left: DataFrame, right: DataFrame, names: Sequence[tuple[str, str]]) -> Column:
+    cond = F.lit(True)
+    for a, b in names:
+        cond = cond & left[a].eqNullSafe(right[b])
+    return cond
 
 
 def knn(query: DataFrame, cand: DataFrame, key: str, vec: str, k: int,
         group: Sequence[str] = (), exclude_self: bool = False, block_size: int = 256,
-        cand_cols: Sequence[str] = (), metric: str = "euclidean") -> DataFrame:
-    """For every query row the ``k`` nearest candidate rows of the same group (Euclidean).
+        cand_cols: Sequence[str] = (), metric: str = "euclidean", pivots: int | None = None,
+        evaluated: Accumulator | None = None) -> DataFrame:
+    """For every query row the ``k`` nearest candidate rows of the same group.
 
-    ``query`` and ``cand`` both have ``key`` (BIGINT) and ``vec`` (array of numbers).
-    Returns ``(group..., key, nn_key, dist, nn_rank)`` with ``nn_rank`` 1..k, ties by
+    ``query`` and ``cand`` both have ``key`` (BIGINT) and ``vec`` (array of numbers, all of one
+    length). Returns ``(group..., key, nn_key, dist, nn_rank)`` with ``nn_rank`` 1..k, ties by
     candidate key. ``exclude_self`` drops candidates with the query's own key.
-    ``cand_cols`` are extra candidate columns joined onto the result.
-    """
+    ``cand_cols`` are extra candidate columns joined onto the result. ``evaluated``
+    counts the distances that were computed."""
     group = list(group)
-    q = _blocks(query.select(*group, key, F.col(vec).cast("array<double>").alias(vec)),
-                group, key, vec, block_size, "q")
-    c = _blocks(cand.select(*group, key, F.col(vec).cast("array<double>").alias(vec)),
-                group, key, vec, block_size, "c")
-    pairs = q.join(c, group, "inner") if group else q.crossJoin(c)
-    gtypes = {f.name: f.dataType for f in pairs.schema.fields if f.name in group}
+    spark = query.sparkSession
+    need = k + int(exclude_self)
+    cols = [*group, key, F.col(vec).cast("array<double>").alias(vec)]
+    cs = cand.select(*cols)
+    at = _pivots(cs, key, vec, pivots or min(MAX_PIVOTS, math.isqrt(cs.count()) + 1))
+    sent = spark.sparkContext.broadcast(at)         # of a bounded number
+    gtypes = {f.name: f.dataType for f in cs.schema.fields if f.name in group}
     out_schema = T.StructType(
         [T.StructField(g, gtypes[g]) for g in group]
-        + [T.StructField(key, T.LongType()), T.StructField("nn_key", T.LongType()),
-           T.StructField("dist", T.DoubleType())])
-
+        + [T.StructField("_qc", T.IntegerType()), T.StructField("_qb", T.LongType()),
+           T.StructField(key, T.LongType()), T.StructField("nn_key", T.LongType()), T.StructField("dist", T.DoubleType())])
     names = [f.name for f in out_schema.fields]
+    if not len(at):
+        none = spark.createDataFrame([], out_schema).select(*group, key, "nn_key", "dist", F.lit(1).alias("nn_rank"))
+        return none if not cand_cols else none.join(cand.select(F.col(key).alias("nn_key"), *cand_cols), "nn_key", "left")
+    same = query is cand
+    c = _blocks(_cells(cs, vec, sent, metric, evaluated), group, key, vec, block_size, need)
+    q = c if same else _blocks(_cells(query.select(*cols), vec, sent, metric, evaluated), group, key, vec, block_size, need)
 
     def run(it):
         for pdf in it:
             frames = []
             for rec in pdf.to_dict("records"):
-                qk = np.array([p["k"] for p in rec["q_pts"]], dtype=np.int64)
-                qv = np.array([p["v"] for p in rec["q_pts"]], dtype=np.float64)
-                ck = np.array([p["k"] for p in rec["c_pts"]], dtype=np.int64)
-                cv = np.array([p["v"] for p in rec["c_pts"]], dtype=np.float64)
-                if len(qk) == 0 or len(ck) == 0:
-                    continue
-                diff = qv[:, None, :] - cv[None, :, :]
-                if metric == "manhattan":
-                    d = np.round(np.abs(diff).sum(axis=2), DIST_DIGITS)
-                else:
-                    d = np.round(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), DIST_DIGITS)
+                qk, ck = (np.array([p["k"] for p in rec[s]], dtype=np.int64) for s in ("_qpts", "_cpts"))
+                qv, cv = (np.array([p["v"] for p in rec[s]], dtype=np.float64) for s in ("_qpts", "_cpts"))
+                d = np.round(_distances(qv, cv, metric), DIST_DIGITS)
+                if evaluated is not None:
+                    evaluated.add(d.size)
                 if exclude_self:
                     d = np.where(qk[:, None] == ck[None, :], np.inf, d)
                 kk = min(k, len(ck))
@@ -84,16 +176,47 @@ def knn(query: DataFrame, cand: DataFrame, key: str, vec: str, k: int,
                 cj = order.ravel()
                 dd = d[qi, cj]
                 ok = np.isfinite(dd)
-                f = pd.DataFrame({key: qk[qi][ok], "nn_key": ck[cj][ok], "dist": dd[ok]})
+                f = pd.DataFrame({"_qc": rec["_qc"], "_qb": rec["_qb"], key: qk[qi][ok], "nn_key": ck[cj][ok], "dist": dd[ok]})
                 for g in group:
                     f[g] = rec[g]
                 frames.append(f[names])
-            yield pd.concat(frames) if frames else pd.DataFrame(
-                {n: pd.Series(dtype="object") for n in names})
+            yield pd.concat(frames) if frames else pd.DataFrame({n: pd.Series(dtype="object") for n in names})
 
-    cand_top = pairs.mapInPandas(run, out_schema)
+    qs = q.select(*[F.col(g).alias(g) for g in group], F.col("_cell").alias("_qc"), F.col("_blk").alias("_qb"),
+                  F.col("_pts").alias("_qpts"), F.col("_l").alias("_ql"), F.col("_u").alias("_qu"))
+    cc = c.select(*[F.col(g).alias(f"_c_{g}") for g in group], F.col("_cell").alias("_cc"), F.col("_blk").alias("_cb"),
+                  F.col("_pts").alias("_cpts"), F.col("_l").alias("_cl"), F.col("_u").alias("_cu"))
+    by_group = [(g, f"_c_{g}") for g in group]
+    own = qs.join(cc, _on(qs, cc, [*by_group, ("_qc", "_cc")]) & (F.col("_cl") <= F.col("_qu"))
+                  & (F.col("_cu") >= F.col("_ql")))
+    first = own.select(*group, "_qc", "_qb", "_qpts", "_cpts").mapInPandas(run, out_schema)
+    # the k-th distance found so far, at worst over a block (none where a point found fewer)
+    kth = first.groupBy(*group, "_qc", "_qb", key).agg(F.array_sort(F.collect_list("dist")).alias("_a")).select(
+        *group, "_qc", "_qb", F.when(F.size("_a") >= k, F.col("_a")[k - 1]).otherwise(F.lit(float("inf"))).alias("_kth"))
+    kth = kth.groupBy(*group, "_qc", "_qb").agg(F.max("_kth").alias("_kth"))
+    kth = kth.select(*[F.col(g).alias(f"_k_{g}") for g in group], F.col("_qc").alias("_kc"), F.col("_qb").alias("_kb"), "_kth")
+    pairs = _cell_pairs(q, c, group, sent, metric, need)
+    pairs = pairs.select(*[F.col(g).alias(f"_p_{g}") for g in group], F.col("_qc").alias("_pq"), F.col("_cc").alias("_pc"),
+                         "_pp", "_bound")
+    # rings only: which blocks meet
+    rings = qs.drop("_qpts")
+    rings = rings.join(kth, _on(rings, kth, [*[(g, f"_k_{g}") for g in group], ("_qc", "_kc"), ("_qb", "_kb")]), "left")
+    rings = rings.join(pairs, _on(rings, pairs, [*[(g, f"_p_{g}") for g in group], ("_qc", "_pq")]))
+    others = cc.drop("_cpts")
+    least = F.greatest(F.col("_pp") - F.col("_qu") - F.col("_cu"), F.col("_cl") - F.col("_pp") - F.col("_qu"),
+                       F.col("_ql") - F.col("_pp") - F.col("_cu"))
+    worst = F.least(F.coalesce("_kth", F.lit(float("inf"))), F.col("_bound") + F.col("_qu"))
+    done = (F.col("_qc") == F.col("_cc")) & (F.col("_cl") <= F.col("_qu")) & (F.col("_cu") >= F.col("_ql"))
+    meet = rings.join(others, _on(rings, others, [*by_group, ("_pc", "_cc")]) & ~done
+                      & (least * (1 - SLACK) - SLACK <= worst)).select(
+        *[F.col(g).alias(f"_m_{g}") for g in group], F.col("_qc").alias("_mq"), F.col("_qb").alias("_mb"),
+        F.col("_cc").alias("_mc"), F.col("_cb").alias("_md"))
+    left = meet.join(qs, _on(meet, qs, [*[(f"_m_{g}", g) for g in group], ("_mq", "_qc"), ("_mb", "_qb")]))
+    left = left.select(*group, "_qc", "_qb", "_qpts", "_mc", "_md")
+    both = left.join(cc, _on(left, cc, [*by_group, ("_mc", "_cc"), ("_md", "_cb")]))
+    second = both.select(*group, "_qc", "_qb", "_qpts", "_cpts").mapInPandas(run, out_schema)
     w = Window.partitionBy(*group, key).orderBy("dist", "nn_key")
-    top = cand_top.select("*", F.row_number().over(w).alias("nn_rank")).filter(
+    top = first.unionByName(second).select(*group, key, "nn_key", "dist", F.row_number().over(w).alias("nn_rank")).filter(
         F.col("nn_rank") <= k)
     if cand_cols:
         extra = cand.select(F.col(key).alias("nn_key"), *cand_cols)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import calendar as cal
 from tessera.functions.columns import MONEY_SUM, exact_quantiles, money_sum, r4
+from tessera.functions.ranking import quantiles_wide
 from tessera.operators.profile import box_stats
 
 ENTITY = "billing_entity"
@@ -163,8 +164,7 @@ def entity_size_class(df: DataFrame, truncate_mean: bool = True) -> DataFrame:
     size bounded by construction).
     """
     means = entity_means(df)
-    q = means.agg(exact_quantiles("monthly_mean", [0.5, 0.75]).alias("_q")).select(
-        F.col("_q")[0].alias("q50"), F.col("_q")[1].alias("q75"))
+    q = quantiles_wide(means, "monthly_mean", [0.5, 0.75], ["q50", "q75"])
     own = F.floor("monthly_mean") if truncate_mean else F.col("monthly_mean")
     j = means.crossJoin(F.broadcast(q))
     return j.select(

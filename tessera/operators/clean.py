@@ -122,11 +122,11 @@ def delete_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- O-40, O-41
 
 def _fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Q1 - 1.5 IQR and Q3 + 1.5 IQR per column, long ``(feature, lo, hi)``; one ranking
-    job over the long form of all columns."""
+    """Q1 - 1.5 IQR and Q3 + 1.5 IQR per column, long ``(feature, lo, hi)``; one
+    selection over the long form of all columns."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value")
-    q = quantiles_wide(long, "value", [0.25, 0.75], ["q1", "q3"], ["feature"])
+    q = quantiles_wide(long, "value", [0.25, 0.75], ["q1", "q3"], ["feature"], few_groups=True)
     return q.select("feature", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"),
                     (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
 

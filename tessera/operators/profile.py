@@ -36,13 +36,13 @@ def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         [], list(cols), "feature", "value")
 
 
-def _quartiles(long: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+def _quartiles(long: DataFrame, keys: Sequence[str], method: str, few_groups: bool = False) -> DataFrame:
     names = ["p25", "p50", "p75"]
     probs = [0.25, 0.5, 0.75]
     if method == "approx":
         q = long.groupBy(*keys).agg(F.percentile_approx("value", probs, 10000).alias("_q"))
         return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return quantiles_wide(long, "value", probs, names, keys)
+    return quantiles_wide(long, "value", probs, names, keys, few_groups)
 
 
 # ---------------------------------------------------------------- O-08
@@ -86,7 +86,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.sum(F.when(v.isNull(), 1).otherwise(0)).cast("long").alias("missing"),
         F.sum(F.when(v == 0, 1).otherwise(0)).cast("long").alias("zeros"))
-    q = _quartiles(long, ["feature"], method)
+    q = _quartiles(long, ["feature"], method, few_groups=True)
     j = agg.join(q, "feature", "left")
     return j.select("feature", "count", r4("mean").alias("mean"), r4("std").alias("std"),
                     r4("min").alias("min"), r4("p25").alias("p25"), r4("p50").alias("p50"),
@@ -211,7 +211,7 @@ def box_stats(df: DataFrame, value_col: str, keys: Sequence[str] = (),
               method: str = "exact") -> DataFrame:
     """O-26 / O-27: five-number summary, 1.5 IQR fences, whisker ends and outlier count.
 
-    Quartiles by the distributed exact method (a large group is split over
+    Quartiles by radix selection (equal values and large groups stay spread over
     tasks); whiskers and outliers by one more aggregation after joining the
     per-group fences back (fences table: one row per group).
     """

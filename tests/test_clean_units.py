@@ -1,11 +1,15 @@
 """Edge cases of exploration and cleaning checked against pandas (FIXTURES 3.6)."""
 
 import math
+import random
+import struct
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.functions.ranking import sorted_quantiles, with_group_rank
+from tessera.functions.ranking import key_value, order_key, sorted_quantiles, with_group_rank
 from tessera.operators import clean as cl
 from tessera.operators import profile as pf
 
@@ -17,16 +21,44 @@ def test_quartiles_and_std(spark):
     assert s["std"] == round(3.559026084010437, 4)
 
 
-@pytest.mark.parametrize("method", ["rank", "percentile", "auto"])
-def test_sorted_quantiles_match_pandas(spark, method):
-    vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0]
-    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(vals)], "g int, x double")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.p): r.value for r in sorted_quantiles(df, "x", probs, ["g"], method).collect()}
-    pdf = pd.DataFrame({"g": [i % 2 for i in range(len(vals))], "x": vals})
-    for g, part in pdf.groupby("g"):
+HARD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 0.9999999999999999,
+        1.0000000000000002, -1.0, 2.0, 8.0, 7.999999999999999, 1e308, 1.7976931348623157e308, -1.7976931348623157e308,
+        float("inf"), float("-inf"), 0.1, -0.1, 123456.78, 2.0 ** 1023, 2.0 ** -1022, 2.0 ** -1074, 3.0 * 2.0 ** -1074]
+
+
+def test_order_key_is_the_bits(spark):
+    rng = random.Random(4)
+    vals = HARD + [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(5000)]
+    vals += [math.ldexp(1.0, e) * (1 + d * 2.0 ** -52) for e in range(-1022, 1024) for d in (0, 1)]
+    vals += [math.nextafter(math.ldexp(1.0, e), 0) for e in range(-1021, 1024)]
+    vals = [v for v in vals if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for x, k, back in df.select("x", order_key(F.col("x")), key_value(order_key(F.col("x")))).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert k == (-bits if x < 0 else bits) and back == x
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_sorted_quantiles_match_pandas(spark, few):
+    rng = random.Random(5)
+    vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0, None, float("nan")]
+    rows = [(i % 2, v) for i, v in enumerate(vals)] + [(2, None), (None, 7.5), (None, -2.5)]
+    rows += [(3, rng.choice([1e-300, -5.0, rng.gauss(0, 1e6), 12.25])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0] + [k / 41 for k in range(1, 41)]
+    got = {(r.g, r.p): r.value for r in sorted_quantiles(df, "x", probs, ["g"], few).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"]).dropna(subset="x")
+    assert {g for g, _ in got} == {0, 1, 3, None}
+    for g, part in pdf.groupby("g", dropna=False):
         for p in probs:
-            assert math.isclose(got[(g, p)], part.x.quantile(p), rel_tol=1e-12)
+            assert math.isclose(got[(None if math.isnan(g) else int(g), p)], part.x.quantile(p), rel_tol=1e-12)
+
+
+def test_sorted_quantiles_of_one_hot_value_and_of_none(spark):
+    df = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 3 < 2, 7.25).otherwise(F.col("id") / 7).alias("x"))
+    want = np.quantile(df.toPandas().x, [0.1, 0.5])
+    assert [r.value for r in sorted_quantiles(df, "x", [0.1, 0.5]).orderBy("p").collect()] == pytest.approx(list(want), rel=1e-12)
+    assert all(r.value is None for r in sorted_quantiles(df.where("false"), "x", [0.5]).collect())
 
 
 def test_group_rank_spreads_a_hot_group(spark):

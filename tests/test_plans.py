@@ -21,16 +21,20 @@ def test_monthly_totals_prunes_and_pushes_entity_filter(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in plan    # entity filter pushed to parquet
 
 
-def test_high_cardinality_quantile_avoids_percentile(spark):
+def test_quantiles_neither_sort_nor_shuffle_rows(spark):
     df = spark.range(0, 200000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"))
-    q = sorted_quantiles(df, "x", [0.5], ["g"])
-    plan = q._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile(" not in plan.lower()
-    assert abs(q.collect()[0]["value"] - 99999.5) < 1e-9
-
-
-def test_low_cardinality_quantile_uses_bounded_percentile(spark):
-    df = spark.range(0, 20000).select((F.col("id") % 7).cast("double").alias("x"))
-    q = sorted_quantiles(df, "x", [0.5])
-    assert "percentile" in q._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert q.collect()[0]["value"] == 3.0
+    for keys in ([], ["g"]):
+        q = sorted_quantiles(df, "x", [0.5], keys, few_groups=True)
+        plan = q._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "percentile" not in plan and "repartition" not in plan and "checkpoint" not in plan
+        assert "SortMergeJoin" not in _plan(q)
+        assert abs(q.collect()[0]["value"] - 99999.5) < 1e-9
+
+
+def test_quantiles_start_no_job_while_built(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "quantiles")
+    df = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
+    sorted_quantiles(df, "x", [0.25, 0.5])
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
