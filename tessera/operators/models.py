@@ -11,12 +11,13 @@ vote.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       OneVsRest, RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric_columns, portable_hash
+from tessera.functions.kernels import RandomFourierFeatures
 from tessera.functions.knn import knn
 from tessera.functions.ranking import with_group_rank
+from tessera.operators.boosting import BOOSTING_PARAMS, BoostedTrees
+from tessera.operators.clustering import NearestCentre, joint_kmeans
 
 # Algorithm names offered by the modelling pages.
 CLASSIFIERS = ["K Nearest Neighbour", "Decision Tree", "Random Forest", "Support Vector Machine",
@@ -41,10 +45,9 @@ DEFAULT_PARAMS = {
     "Random Forest": {"n_estimators": 10, "criterion": "gini", "max_depth": 0,
                       "min_samples_leaf": 1, "max_features": "auto", "bootstrap": "true",
                       "random_state": 0},
-    "Support Vector Machine": {"C": 1.0, "kernel": "linear", "degree": 3, "tol": 0.05,
-                               "max_iter": -1},
-    "XGBoost": {"max_depth": 3, "learning_rate": 0.1, "n_estimators": 100, "subsample": 1.0,
-                "random_state": 0},
+    "Support Vector Machine": {"C": 1.0, "kernel": "linear", "degree": 3, "gamma": 0.0, "tol": 0.05,
+                               "max_iter": -1, "random_state": 0},
+    "XGBoost": dict(BOOSTING_PARAMS),
     "KMeans": {"n_clusters": 8, "init": "k-means++", "n_init": 10, "max_iter": 300,
                "random_state": 0},
 }
@@ -158,7 +161,7 @@ def _depth(v) -> int:
     return v if v > 0 else MAX_TREE_DEPTH
 
 
-SVM_KERNELS = ("linear", "poly")
+SVM_KERNELS = ("linear", "poly", "rbf")
 
 
 def checked_params(algorithm: str, params: dict | None = None) -> dict:
@@ -202,10 +205,7 @@ def classifier_estimator(algorithm: str, params: dict | None = None, label: str
                         featuresCol=features)
         return OneVsRest(classifier=svc, **common)
     if algorithm == "XGBoost":
-        gbt = GBTClassifier(maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
-                            maxIter=int(p["n_estimators"]), subsamplingRate=float(p["subsample"]),
-                            seed=int(p["random_state"]), featuresCol=features)
-        return OneVsRest(classifier=gbt, **common)
+        return BoostedTrees(p, **common)
     raise ValueError(f"no MLlib estimator for {algorithm}")
 
 
@@ -225,6 +225,10 @@ def classification_pipeline(train: DataFrame, features: Sequence[str], label: st
         stages.append(PolynomialExpansion(degree=int(p["degree"]), inputCol="features",
                                           outputCol="features_poly"))
         stages.append(classifier_estimator(algorithm, p, label, "features_poly", n_train))
+    elif algorithm == "Support Vector Machine" and p.get("kernel") == "rbf":
+        stages.append(RandomFourierFeatures(inputCol="features", outputCol="features_rbf", gamma=float(p["gamma"]),
+                                            seed=int(p["random_state"])))
+        stages.append(classifier_estimator(algorithm, p, label, "features_rbf", n_train))
     else:
         stages.append(classifier_estimator(algorithm, p, label, n_train=n_train))
     return Pipeline(stages=stages)
@@ -246,10 +250,14 @@ def train_classifier(df: DataFrame, key: str, features: Sequence[str], label: st
     """O-105..O-109: split, fit on train, score every row; returns (model, predictions).
     For K Nearest Neighbour the model is None (the training rows are the model)."""
     split = random_split(drop_null_rows(df.select(key, label, *features)), key, test_size, seed)
-    split = split.persist()
+    return train_on_split(split, key, features, label, algorithm, params, scale)
+
+
+def train_on_split(split: DataFrame, key: str, features: Sequence[str], label: str,
+                   algorithm: str, params: dict | None = None, scale: bool = True):
+    """Fit on the ``train`` rows of ``split`` and score every row."""
     if algorithm == "K Nearest Neighbour":
-        p = dict(DEFAULT_PARAMS[algorithm])
-        p.update(params or {})
+        p = checked_params(algorithm, params)
         data = scale_split(split, features) if scale else split
         metric = "manhattan" if p["p"] == "manhattan_distance" else "euclidean"
         return None, knn_classify(data, key, features, label, int(p["n_neighbours"]),
@@ -263,15 +271,46 @@ def train_classifier(df: DataFrame, key: str, features: Sequence[str], label: st
 
 def compare_algorithms(df: DataFrame, key: str, features: Sequence[str], label: str,
                        algorithms: Sequence[str] = CLASSIFIERS, params: dict | None = None,
-                       test_size: float = 0.25, seed: int = 0) -> DataFrame:
-    """O-111: accuracy of several algorithms on the same split; one row per algorithm."""
-    out = None
+                       test_size: float = 0.25, seed: int = 0, at_once: int | None = None) -> DataFrame:
+    """O-111: accuracy of several algorithms on the same split; one row per algorithm.
+
+    The split is cached once and the algorithms run side by side, ``at_once`` of them (default
+    all): each in a thread with a job group and, under the fair scheduler, a pool of its
+    own. When one fails the jobs of the others are cancelled and its error is raised."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    algorithms = list(algorithms)
     for a in algorithms:
-        _, pred = train_classifier(df, key, features, label, a, (params or {}).get(a),
-                                   test_size, seed)
-        acc = accuracy_by_split(pred, label).select(F.lit(a).alias("algorithm"), "*")
-        out = acc if out is None else out.unionByName(acc)
-    return out
+        checked_params(a, (params or {}).get(a))
+    split = random_split(drop_null_rows(df.select(key, label, *features)), key, test_size, seed).persist()
+    run = uuid.uuid4().hex
+
+    def one(a: str):
+        group = f"compare-{run}-{a}"
+        sc.setJobGroup(group, f"compare {a}", interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", a)
+        _, pred = train_on_split(split, key, features, label, a, (params or {}).get(a))
+        return (a, *accuracy_by_split(pred, label).first())
+
+    rows, failed = {}, None
+    try:
+        split.count()
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once or len(algorithms), len(algorithms) or 1))) as pool:
+            todo = {pool.submit(inheritable_thread_target(spark)(one), a): a for a in algorithms}
+            for done in as_completed(todo):
+                if failed is None and done.exception() is not None and not done.cancelled():
+                    failed = done.exception()
+                    for other, a in todo.items():
+                        if not other.cancel():
+                            sc.cancelJobGroup(f"compare-{run}-{a}")
+                elif failed is None:
+                    rows[todo[done]] = done.result()
+    finally:
+        split.unpersist()
+    if failed is not None:
+        raise failed
+    return spark.createDataFrame([rows[a] for a in algorithms], "algorithm string, train_accuracy double, "
+                                 "test_accuracy double, overall_accuracy double")
 
 
 # ---------------------------------------------------------------- O-110
@@ -293,41 +332,25 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def elbow_curve(df: DataFrame, features: Sequence[str], k_max: int = 15, seed: int = 0,
-                max_iter: int = 300, n_init: int = 1) -> DataFrame:
-    """O-112: within-cluster sum of squares for k = 1..k_max (k-means||, ``n_init``
-    seeds, the best kept). k = 1 is computed in closed form (sum of squared
-    distances to the mean), one aggregate."""
-    spark = df.sparkSession
-    v = _vectors(df, features).select("features").persist()
-    cols = list(features)
-    d = df.dropna(subset=cols)
-    # one centre: the inertia is n * (sum of population variances), one aggregate row
-    st = d.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.var_pop(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(cols)]
-               ).collect()[0]
-    ss = st["_n"] * sum(float(st[f"_v{i}"] or 0.0) for i in range(len(cols)))
-    rows = [(1, float(ss))]
-    for k in range(2, k_max + 1):
-        best = None
-        for s in range(n_init):
-            m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||").fit(v)
-            cost = m.summary.trainingCost
-            best = cost if best is None else min(best, cost)
-        rows.append((k, float(best)))
-    v.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double")
+                max_iter: int = 300, n_init: int = 10) -> DataFrame:
+    """O-112: within-cluster sum of squares for k = 1..k_max, the best of ``n_init``
+    k-means++ starts each; all models share the scans."""
+    require_numeric(df, features)
+    best = joint_kmeans(df, features, range(1, k_max + 1), n_init, seed, max_iter)
+    return df.sparkSession.createDataFrame([(k, float(best[k][0])) for k in sorted(best)], "k int, inertia double")
 
 
 def kmeans_clusters(df: DataFrame, features: Sequence[str], k: int = 8, seed: int = 0,
-                    max_iter: int = 300, labels: Sequence[str] | None = None):
-    """O-113: fit k-means; adds ``Cluster_Labels`` (``Cluster_i`` or the given names, by
-    cluster index). Returns (model, labelled frame, centres frame)."""
+                    max_iter: int = 300, labels: Sequence[str] | None = None, n_init: int = 10):
+    """O-113: the best of ``n_init`` k-means++ starts; adds ``Cluster_Labels`` (``Cluster_i`` or
+    the given names, by cluster index). Returns (model, labelled frame, centres frame)."""
     if labels is not None and len(labels) != k:
         raise ValueError("number of cluster names must equal k")
     names = list(labels) if labels is not None else [f"Cluster_{i}" for i in range(k)]
     base = df.drop("Cluster_Labels") if "Cluster_Labels" in df.columns else df
     v = _vectors(base, features)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(v)
+    _, found = joint_kmeans(base, features, [k], n_init, seed, max_iter)[k]
+    model = NearestCentre(centres=found.tolist())
     lab = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction") + 1)
     out = model.transform(v).withColumn("Cluster_Labels", lab).drop("features", "prediction")
     spark = df.sparkSession

@@ -40,18 +40,17 @@ def _classifier(algorithm, params=None):
 
 
 def _accuracy(s, d):
-    _, pred = md.train_classifier(_pl(s, d), "payment_id", FEATS, "klass", "Decision Tree",
-                                  {"max_depth": 4})
+    _, pred = md.train_classifier(_pl(s, d), "payment_id", FEATS, "klass", "Decision Tree")
     return md.accuracy_by_split(pred, "klass")
 
 
 def _kmeans(s, d):
-    _, out, _ = md.kmeans_clusters(_emb(s, d), EMB, k=10, seed=0, max_iter=50)
+    _, out, _ = md.kmeans_clusters(_emb(s, d), EMB, k=10, seed=0)
     return out.select("vec_id", "Cluster_Labels")
 
 
 def _cluster_plot(s, d):
-    _, out, centres = md.kmeans_clusters(_emb(s, d), EMB, k=10, seed=0, max_iter=50)
+    _, out, centres = md.kmeans_clusters(_emb(s, d), EMB, k=10, seed=0)
     return md.cluster_plot_data(out, centres, EMB, "vec_id")
 
 
@@ -77,15 +76,15 @@ QUERIES = {
     "knn_classifier": lambda s, d: md.knn_classify(
         md.scale_split(md.random_split(_dq(s, d), "doc_id", 0.25, 0), ["n_chars", "n_words"]),
         "doc_id", ["n_chars", "n_words"], "quality", 5),
-    "decision_tree": _classifier("Decision Tree", {"max_depth": 4}),
-    "random_forest": _classifier("Random Forest", {"n_estimators": 10, "max_depth": 5}),
+    "decision_tree": _classifier("Decision Tree"),
+    "random_forest": _classifier("Random Forest"),
     "svm_linear": _classifier("Support Vector Machine"),
-    "gradient_boosting": _classifier("XGBoost", {"n_estimators": 10}),
+    "svm_rbf": _classifier("Support Vector Machine", {"kernel": "rbf"}),
+    "gradient_boosting": _classifier("XGBoost"),
     "model_accuracy": _accuracy,
     "algorithm_comparison": lambda s, d: md.compare_algorithms(
-        _pl(s, d), "payment_id", FEATS, "klass",
-        ["K Nearest Neighbour", "Decision Tree", "Random Forest"]),
-    "elbow_curve": lambda s, d: md.elbow_curve(_emb(s, d), EMB, 15, 0, 50),
+        _pl(s, d), "payment_id", FEATS, "klass"),
+    "elbow_curve": lambda s, d: md.elbow_curve(_emb(s, d), EMB),
     "kmeans_clusters": _kmeans,
     "cluster_plot": _cluster_plot,
     "ols_summary": lambda s, d: md.ols_summary(_pl(s, d), ["footfall", "pid_mod7"], "y"),
