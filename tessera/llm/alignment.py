@@ -3,7 +3,9 @@
 Both id lists of a text end at byte offsets; dictionaries from end to token number are
 intersected as hash sets, and the sorted common ends slice both lists into groups. A
 group with one token on a side links it with all tokens of the other side; in the
-other groups the tokens whose byte ranges overlap are linked.
+other groups the tokens whose byte ranges overlap are linked. Before a lone space a
+token ends on both sides whatever stands around, so a task aligns the parts between such
+spaces, each distinct one once.
 
 How many documents hold a pair of ids linked is a count over the corpus. The reading
 tasks write each document's distinct pairs as numbers into the sorted pair list of its
@@ -16,6 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,17 @@ from tessera.llm.common import chunks, id_text, text_buffers, written
 
 CHUNK_TEXT = 16 << 20       # text whose pairs share one list
 BATCH_TEXT = 1 << 20        # text encoded and aligned at once
-CUT = 1 << 18               # longer texts are encoded in pieces, where that changes nothing
+BATCH_UNITS = 50_000        # units encoded together
+TOGETHER = 500              # units in one text for the encoders
+CACHE_UNITS = 400_000       # units a task remembers (a memory bound; others are aligned anew)
 LIST_ROWS = 1 << 16         # pairs in one row of a chunk's list
 SPACE_MARK = "▁"
 
+# a lone space between two characters that no tokenizer takes for a space
+_SOLID = rf"[^\s{SPACE_MARK}\u180e\u200b\ufeff]"
+_LONE_SPACE = re.compile(rf"(?<={_SOLID}) (?={_SOLID})").split
+_OTHER_SPACE = re.compile(rf" (?!{_SOLID})|(?<!{_SOLID}) ").search
+
 _FIELDS = pa.schema([
     ("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
     ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
@@ -76,6 +88,7 @@ class Aligner:
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         first = spec.get("pre_tokenizer") or {}
         # before a lone space no token of either side goes on, so texts may be cut there
+        # (by these settings; other vocabularies get whole texts)
         self.may_cut = (spec.get("normalizer") is None and first.get("type") == "ByteLevel"
                         and bool(first.get("use_regex", True)) and not first.get("add_prefix_space")
                         and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces))
@@ -83,34 +96,50 @@ class Aligner:
         self.a_more, self.a_last = (text(f, len(self.bytes_a)) for f in (b"%d,", b"%d|"))
         self.b_more, self.b_last = (text(f, len(self.bytes_b)) for f in (b"%d,", b"%d;"))
 
-    def cut(self, text: str, most: int = CUT) -> list[str]:
-        """Pieces of a long text; the lone space between two pieces belongs to neither."""
-        out, at = [], 0
-        while self.may_cut and len(text) - at > most:
-            p = text.find(" ", at + most)
-            while p > 0 and p + 1 < len(text) and any(c.isspace() or c == SPACE_MARK for c in (text[p - 1], text[p + 1])):
-                p = text.find(" ", p + 1)
-            if p < 0 or p + 1 >= len(text):
-                break
-            out.append(text[at:p])
-            at = p + 1
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str], most: int = CUT):
-        """Per text the id lists of its pieces on both sides, or nothing for a text that is
-        empty or whose tokens don't spell it."""
-        pieces = [self.cut(t, most) if t else [] for t in texts]
-        flat = [p for ps in pieces for p in ps]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        ids_b = self.b.encode(flat, num_threads=1) if flat else []
-        out, k = [], 0
-        for ps in pieces:
-            mine = list(zip(ids_a[k:k + len(ps)], ids_b[k:k + len(ps)], ps, strict=True))
-            k += len(ps)
-            spelt = all(b"".join(map(self.bytes_a.__getitem__, a)) == (" " + p).encode()
-                        == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, p in mine)
-            out.append([(a, b) for a, b, _ in mine] if spelt else [])
-        return out
+    def units(self, text: str) -> list[str]:
+        """Parts of a text; the lone space between two of them belongs to neither."""
+        if not text:
+            return []
+        if not self.may_cut:
+            return [text]
+        if text[0] == " " or text[-1] == " " or _OTHER_SPACE(text):
+            return _LONE_SPACE(text)
+        return text.split(" ")
+
+    def encode(self, units: list[str]):
+        """Per side (ids of all units in order, how many each has), and which units both
+        sides spell with a space before them."""
+        raw = [b" " + u.encode() for u in units]
+        size = np.array(list(map(len, raw)), np.int64)
+        spelt = np.ones(len(units), bool)
+        sides = []
+        for encode, lead, table, long in ((self._encode_a, " ", self.bytes_a, self.size_a),
+                                          (self._encode_b, "", self.bytes_b, self.size_b)):
+            # many units in one text, whose tokens end where the units do
+            starts = range(0, len(units), TOGETHER)
+            found = encode([lead + " ".join(units[i:i + TOGETHER]) for i in starts])
+            parts, counts = [], []
+            for i, ids in zip(starts, found, strict=True):
+                here = slice(i, i + TOGETHER)
+                want, ends = np.cumsum(size[here]), np.cumsum(long[ids])
+                at = np.searchsorted(ends, want)
+                if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all() \
+                        and b"".join(map(table.__getitem__, ids)) == b"".join(raw[here]):
+                    counts.append(np.diff(at, prepend=-1))
+                    parts.append(ids)
+                else:                                   # some unit is not spelt
+                    alone = encode([lead + u for u in units[here]])
+                    spelt[here] &= [b"".join(map(table.__getitem__, x)) == u for x, u in zip(alone, raw[here], strict=True)]
+                    counts.append(np.array(list(map(len, alone)), np.int64))
+                    parts.append(list(chain.from_iterable(alone)))
+            sides.append((np.concatenate([np.array(x, np.int64) for x in parts]), np.concatenate(counts)))
+        return sides, spelt
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
 
 
 def slices(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,48 +171,64 @@ def slice_links(end_a: np.ndarray, end_b: np.ndarray, upto_a: np.ndarray, upto_b
     return (np.r_[which, np.searchsorted(upto_a, more_a + 1)], np.r_[a, more_a], np.r_[b, more_b])
 
 
-class _Chunk:
-    """Counts, digests and pairs of the documents of a chunk."""
-
-    def __init__(self, aligner: Aligner, docs: int):
-        self.al = aligner
-        self.counts = np.zeros((4, docs), np.int64)
-        self.shas: list = [None] * docs
-        self.doc, self.pair, self.times = [], [], []
-
-    def add(self, first: int, encoded: list, cut_batch: int = 4 * BATCH_TEXT) -> None:
-        """Documents first, first + 1, ... with their encoded pieces."""
-        batch, size = [], 0
-        for k, pieces in enumerate(encoded):
-            for ids_a, ids_b in pieces:
-                batch.append((first + k, ids_a, ids_b))
-                size += len(ids_a)
-                if size > cut_batch:
-                    self._align(batch)
-                    batch, size = [], 0
-        if batch:
-            self._align(batch)
-
-    def _align(self, batch: list) -> None:
-        al, doc = self.al, np.array([d for d, _, _ in batch])
-        ids_a, ids_b = (np.concatenate([np.asarray(x[k], np.int64) for x in batch]) for k in (1, 2))
+class Units:
+    """Aligned units of a task: numbers of tokens, groups and links, the groups as text, and
+    the id pairs of the links end to end."""
+
+    def __init__(self, aligner: Aligner, most: int = CACHE_UNITS):
+        self.al, self.most = aligner, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.counts = np.zeros((4, 0), np.int64)
+        self.spelt = np.zeros(0, bool)
+        self.texts: list[bytes] = []
+        self.first, self.pair = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers of all texts in order, how many each text has)."""
+        if len(self.number) > self.most:
+            self._clear()
+        parts = [self.al.units(t) for t in texts]
+        size = np.array(list(map(len, parts)), np.int64)
+        known = len(self.number)
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(size.sum()))
+        new = list(islice(self.number, known, None))
+        for i in range(0, len(new), BATCH_UNITS):
+            self._learn(new[i:i + BATCH_UNITS])
+        return flat, size
+
+    def _learn(self, units: list[str]) -> None:
+        sides, spelt = self.al.encode(units)
+        texts, counts, pair = [b""] * len(units), np.zeros((4, len(units)), np.int64), self.pair[:0]
+        at = np.flatnonzero(spelt)
+        if len(at):
+            sides = [(ids[np.repeat(spelt, n)], n[spelt]) for ids, n in sides]
+            counts[:, at], aligned, pair = self._align(*sides)
+            for k, t in zip(at.tolist(), aligned, strict=True):
+                texts[k] = t
+        self.texts += texts
+        self.spelt = np.r_[self.spelt, spelt]
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts[3])]
+        self.pair = np.r_[self.pair, pair]
+
+    def _align(self, side_a, side_b):
+        """(counts, groups as text, pairs of all links) of units laid end to end."""
+        al, (ids_a, n_a), (ids_b, n_b) = self.al, side_a, side_b
+        n = len(n_a)
         end_a, end_b = np.cumsum(al.size_a[ids_a]), np.cumsum(al.size_b[ids_b])
         common, upto_a, upto_b = slices(end_a, end_b)
-        stop = end_a[np.cumsum([len(x[1]) for x in batch]) - 1]      # pieces end on both sides
-        owner = np.searchsorted(stop, common)
+        owner = np.searchsorted(end_a[np.cumsum(n_a) - 1], common)          # units end on both sides
         which, a, b = slice_links(end_a, end_b, upto_a, upto_b)
-        for row, value in zip(self.counts, ([len(x[1]) for x in batch], [len(x[2]) for x in batch],
-                                            np.bincount(owner, minlength=len(batch)),
-                                            np.bincount(owner[which], minlength=len(batch))), strict=True):
-            np.add.at(row, doc, value)
-        self._digest(doc, ids_a, ids_b, owner, upto_a, upto_b)
-        # a batch has fewer pieces than 2**23, as each has a token
-        key, times = np.unique((owner[which] << np.int64(40)) | (ids_a[a] * len(al.bytes_b) + ids_b[b]), return_counts=True)
-        self.doc.append(doc[key >> np.int64(40)])
-        self.pair.append(key & np.int64((1 << 40) - 1))
-        self.times.append(times)
-
-    def _digest(self, doc, ids_a, ids_b, owner, upto_a, upto_b) -> None:
+        of = owner[which]
+        order = np.argsort(of, kind="stable")
+        counts = np.stack([n_a, n_b, np.bincount(owner, minlength=n), np.bincount(of, minlength=n)])
+        return counts, self._digest(n, ids_a, ids_b, owner, upto_a, upto_b), (ids_a[a] * len(al.bytes_b) + ids_b[b])[order]
+
+    def _digest(self, n, ids_a, ids_b, owner, upto_a, upto_b) -> list[bytes]:
         al, n_a, n_b = self.al, np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
         words = np.empty(len(ids_a) + len(ids_b), object)
         place = np.arange(len(ids_a)) + np.repeat(upto_b - n_b, n_a)
@@ -192,23 +237,50 @@ class _Chunk:
         place = np.arange(len(ids_b)) + np.repeat(upto_a, n_b)
         words[place] = al.b_more[ids_b]
         words[place[upto_b - 1]] = al.b_last[ids_b[upto_b - 1]]
-        bound = np.r_[0, (upto_a + upto_b)[np.searchsorted(owner, np.arange(len(doc)), side="right") - 1]]
-        for k, d in enumerate(doc.tolist()):
-            joined = b"".join(words[bound[k]:bound[k + 1]].tolist())[:-1]
-            if self.shas[d] is None:
-                self.shas[d] = hashlib.sha256(joined)
-            else:
-                self.shas[d].update(b";" + joined)
+        bound = np.r_[0, (upto_a + upto_b)[np.searchsorted(owner, np.arange(n), side="right") - 1]].tolist()
+        words = words.tolist()
+        return [b"".join(words[x:y])[:-1] for x, y in zip(bound, bound[1:])]
+
+
+class _Chunk:
+    """Counts, digests and pairs of the documents of a chunk."""
+
+    def __init__(self, units: Units, docs: int):
+        self.units = units
+        self.counts = np.zeros((4, docs), np.int64)
+        self.shas = [""] * docs
+        self.doc, self.pair, self.times = [], [], []
+
+    def add(self, first: int, texts: list[str]) -> None:
+        """Documents first, first + 1, ..."""
+        flat, size = self.units.numbers(texts)
+        units = self.units
+        doc = np.repeat(np.arange(len(texts)), size)
+        whole = (size > 0) & (np.bincount(doc, weights=~units.spelt[flat], minlength=len(texts)) == 0)
+        for row, value in zip(self.counts, units.counts, strict=True):
+            row[first:first + len(texts)] = np.bincount(doc, weights=value[flat], minlength=len(texts)) * whole
+        bound = np.r_[0, np.cumsum(size)]
+        for k in np.flatnonzero(whole).tolist():
+            mine = flat[bound[k]:bound[k + 1]].tolist()
+            self.shas[first + k] = hashlib.sha256(b";".join(map(units.texts.__getitem__, mine))).hexdigest()
+        # a document's units once each, then their pairs; a batch has fewer texts than 2**23
+        here = whole[doc]
+        key, times = np.unique(doc[here] << np.int64(32) | flat[here], return_counts=True)
+        unit = key & np.int64((1 << 32) - 1)
+        n = units.first[unit + 1] - units.first[unit]
+        at = np.repeat(units.first[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.repeat(key >> np.int64(32), n) << np.int64(40) | units.pair[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        self.times.append(np.add.reduceat(np.repeat(times, n)[order], head) if len(head) else times[:0])
+        self.doc.append((key[head] >> np.int64(40)) + first)
+        self.pair.append(key[head] & np.int64((1 << 40) - 1))
 
     def rows(self, chunk: int, doc_id: pa.Array):
         """The documents and the pair list of the chunk."""
         empty = np.zeros(0, np.int64)
         doc, pair, times = (np.concatenate([empty, *x]) for x in (self.doc, self.pair, self.times))
-        order = np.lexsort((pair, doc))
-        doc, pair, times = doc[order], pair[order], times[order]
-        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]) if len(doc) else empty
-        times = np.add.reduceat(times, head) if len(head) else times
-        doc, pair = doc[head], pair[head]
         pairs, at, docs = np.unique(pair, return_inverse=True, return_counts=True)
         bound = np.searchsorted(doc, np.arange(len(doc_id) + 1))
         at, times = at.astype("<u4"), times.astype("<u4")
@@ -217,7 +289,7 @@ class _Chunk:
             n = j - i
             yield _batch(n, chunk=pa.array(np.full(n, chunk)), doc_id=doc_id.slice(i, n),
                          **{c: pa.array(v[i:j]) for c, v in zip(_COUNTS[1:], self.counts, strict=True)},
-                         groups_sha256=pa.array(["" if s is None else s.hexdigest() for s in self.shas[i:j]], pa.string()),
+                         groups_sha256=pa.array(self.shas[i:j], pa.string()),
                          # differences: mostly small numbers, which the codec packs
                          at=pa.array([np.diff(at[bound[k]:bound[k + 1]], prepend=np.uint32(0)).tobytes()
                                       for k in range(i, j)], pa.binary()),
@@ -232,19 +304,26 @@ def _batch(n: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in _FIELDS], schema=_FIELDS)
 
 
+_KNOWN: dict[bytes, Units] = {}      # of a Python worker, for the vocabularies it last saw
+
+
 def _align_texts(files, most: int):
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner = Aligner(*files.value)
+        which = hashlib.sha256(b"".join(files.value)).digest()
+        if which not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[which] = Units(Aligner(*files.value))
+        units = _KNOWN[which]
         for b in batches:
             off, data = text_buffers(b.column(2))
             row = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(off, most):
-                chunk = _Chunk(aligner, hi - lo)
+                chunk = _Chunk(units, hi - lo)
                 for i, j in chunks(off[lo:hi + 1], BATCH_TEXT):
                     texts = [data[off[lo + k]:off[lo + k + 1]].tobytes().decode() for k in range(i, j)]
-                    chunk.add(i, aligner.encode(texts))
+                    chunk.add(i, texts)
                 yield from chunk.rows(int(row[lo]), b.column(1).slice(lo, hi - lo))
     return run
 
@@ -272,8 +351,8 @@ def align_tokenizers(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc
     A null or empty text, and one whose tokens on either side don't spell a space and the
     text, has no tokens: zeros and an empty digest. Repeated rows are documents each;
     a null doc_id stays null; an empty table gives no rows; texts of any length are read
-    whole, the long ones encoded in pieces cut where no token of either side crosses;
-    other columns are not read."""
+    whole, in parts cut where no token of either side crosses; other columns are not
+    read."""
     spark = df.sparkSession
     files = spark.sparkContext.broadcast((_small_file(a_path), _small_file(b_path)))    # sizes are checked
     n_b = len(Aligner(*files.value).bytes_b)

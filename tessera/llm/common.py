@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]   # A-Z hash as a-z
 _BASES = (0x9E3779B97F4A7C55, 0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -95,26 +94,48 @@ def word_spans(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, rel).astype(np.int64)
 
 
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
+_ODD = U64(0x9FB21C651E98DF25)
+LONG_WORD = 64                  # longer words are hashed one by one
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
                 lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial in its bytes.
-    Bytes are taken in pieces of about CHUNK_BYTES, so memory follows the piece."""
-    table = _LOWER if lower else _BYTE
+    """A 64-bit hash of every word. Words are mixed eight bytes at a time, all words of a piece at
+    once: each step maps the next eight bytes one to one, so words of equal size up
+    to eight bytes never share a hash; words over LONG_WORD bytes are hashed by xxhash,
+    one at a time."""
     out = np.empty(len(starts), dtype=U64)
     i = 0
     while i < len(starts):
+        # pieces of about CHUNK_BYTES, so memory follows the piece
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
         a, b = int(starts[i]), int(ends[j - 1])
-        pw, inv = _powers(0, b - a)
-        sums = np.empty(b - a + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(table[data[a:b]] * pw[:b - a], out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix64((sums[e] - sums[s]) * inv[s] + (e - s).astype(U64))
+        raw = _LOWER_BYTE[data[a:b]] if lower else data[a:b]
+        out[i:j] = _mixed_words(raw, starts[i:j] - a, ends[i:j] - starts[i:j])
         i = j
     return out
 
 
+def _mixed_words(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), U64, padded, strides=(1,))      # eight bytes from every place on
+    state = mix64(size.astype(U64) * _ODD)
+    rows = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[rows], size[rows]
+    while len(rows):
+        short = np.minimum(left, 8)
+        block = eight[at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - short) * 8).astype(U64))
+        state[rows] = mix64((state[rows] ^ block) * _ODD)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        state[k] = xxhash.xxh3_64_intdigest(raw[start[k]:start[k] + size[k]].tobytes())
+    return state
+
+
 def window_hashes(words: np.ndarray, width: int, which: int = 1) -> np.ndarray:
     """Hash of every `width` consecutive entries of `words` (entry i starts at word i)."""
     n = len(words)
@@ -127,12 +148,22 @@ def window_hashes(words: np.ndarray, width: int, which: int = 1) -> np.ndarray:
     return mix64((sums[width:] - sums[:n - width + 1]) * inv[:n - width + 1])
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new table in the shared checkpoint folder and read it back:
-    the result survives lost executors and its lineage ends there."""
+    the result survives lost executors, its lineage ends there, and the shuffle files that made it
+    go at once. The table belongs to the caller's checkpoint folder and stays until
+    that is cleared, as results read it when they are computed."""
     spark = df.sparkSession
     path = f"{shared_scratch(spark, name)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,9 @@ q-grams, on diagonals (place in the document less place in the item) that lie wi
 q-grams, counts the item's distinct places in overlapping diagonal bands, keeps the
 bands that meet the bound, and verifies these by a banded alignment.
 
+Items of twice SEGMENT bytes or more are also judged in segments, each with its own
+budget, so a text that holds a good part of an item is found too.
+
 The texts are scanned where they lie, without a shuffle, so neither a hot source nor a
 passage that many documents share gathers anywhere. The items go to the tasks in
 blocks of a checked size, one pass for each block.
@@ -20,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _BYTE, chunks, id_text, text_buffers, window_hashes
+from tessera.llm.common import U64, _BYTE, chunks, id_text, text_buffers, window_hashes, written
 
 Q, EDIT_SHARE = 8, 0.08
+SEGMENT = 64                    # bytes of an item that count as a passage of their own, at least
 BLOCK_BYTES = 16 << 20          # items sent to the tasks at once
 FILTER_BITS = 22
 PIECE = 1 << 18                 # bytes of one text looked at once
@@ -47,11 +51,20 @@ def normalised(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """The q-grams of a block of items, sorted, with the items and places that hold them."""
+    """The q-grams of a block of items and their segments, sorted, with the places that hold them."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], q: int, share: float):
+    def __init__(self, rows: list[tuple[int | None, str]], q: int, share: float, segment: int | None = None):
         self.q, self.ids = q, [i for i, _ in rows]
         self.texts = [_trim(normalised(np.frombuffer(t.encode(), np.uint8))[0]) for _, t in rows]
+        self.whole = list(range(len(rows)))         # the item of each text
+        for k in range(len(rows) if segment else 0):
+            t = self.texts[k]
+            n = len(t) // segment
+            if n > 1:
+                cut = [len(t) * i // n for i in range(n + 1)]
+                parts = [_trim(t[a:z]) for a, z in zip(cut, cut[1:])]
+                self.texts += parts
+                self.whole += [k] * len(parts)
         size = np.array([len(t) for t in self.texts], np.int64)
         # the largest budget up to the share at which the bound still asks for a q-gram
         self.budget = np.maximum(np.minimum((share * size).astype(np.int64), (size - q) // q), 0)
@@ -84,19 +97,22 @@ class Items:
             out.append((np.repeat(at + i, n), self.item[row], self.place[row]))
         return [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
-    def bands(self, text: np.ndarray):
-        """(item, band, most frequent diagonal) of the bands that hold enough distinct
-        places of the item."""
+    def bands(self, text: np.ndarray, base: np.ndarray):
+        """(text, item, band, most frequent diagonal) of the bands that hold enough distinct
+        places of the item. `base` are the places where the texts begin in `text`;
+        diagonals count from there, so a text's bands don't depend on its neighbours."""
         at, item, place = self.hits(text)
         if not len(at):
             return []
+        row = np.searchsorted(base, at, side="right") - 1
         # every hit counts in the two bands around its diagonal
-        diagonal = at - place
+        diagonal = at - base[row] - place
         band = (diagonal + SHIFT) // self.step[item]
         key = np.concatenate([(item << 42) | band, (item << 42) | (band - 1)])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        of = np.r_[row, row]
+        order = np.lexsort((key, of))
+        key, of = key[order], of[order]
+        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
         n = np.diff(np.r_[head, len(key)])
         enough = n >= self.bound[key[head] >> 42]
         out = []
@@ -105,27 +121,35 @@ class Items:
             rows = order[h:h + c] % len(at)
             if len(np.unique(place[rows])) >= self.bound[i]:
                 d, times = np.unique(diagonal[rows], return_counts=True)
-                out.append((i, int(key[h]) & ((1 << 42) - 1), int(d[np.argmax(times)])))
+                out.append((int(of[h]), i, int(key[h]) & ((1 << 42) - 1), int(d[np.argmax(times)])))
         return out
 
-    def regions(self, text: np.ndarray):
-        """(item number, start, end, distance) of the verified regions, best of each place."""
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for item, band, diagonal in self.bands(text):
+    def regions(self, text: np.ndarray, base: np.ndarray | None = None):
+        """(text number, item number, start, end, distance) of the verified regions, best of each
+        place; a segment's only where no region of its item lies. Texts lie end to
+        end with one byte between them that no text holds, and `base` says where they begin;
+        every text is aligned by itself."""
+        base = np.zeros(1, np.int64) if base is None else base
+        end_of = np.r_[base[1:] - 1, len(text)]
+        found: dict[tuple[int, int], list[tuple[bool, int, int, int]]] = {}
+        for k, item, band, diagonal in self.bands(text, base):
+            own = text[base[k]:end_of[k]]
             step, goal = int(self.step[item]), self.texts[item]
             low = band * step - SHIFT
-            if diagonal >= 0 and np.array_equal(text[diagonal:diagonal + len(goal)], goal):
+            if diagonal >= 0 and np.array_equal(own[diagonal:diagonal + len(goal)], goal):
                 m = (0, diagonal, diagonal + len(goal))
             else:
-                m = align(goal, text, low, low + 2 * step - 1, int(self.budget[item]))
+                m = align(goal, own, low, low + 2 * step - 1, int(self.budget[item]))
             if m:
-                found.setdefault(item, []).append(m)
-        for item, ms in sorted(found.items()):
-            end = -1
-            for d, s, e in sorted(ms, key=lambda m: (m[1], m[0])):
-                if s >= end:
-                    yield item, s, e, d
-                    end = e
+                found.setdefault((k, self.whole[item]), []).append((item >= len(self.ids), m[1], m[0], m[2]))
+        for (k, item), ms in sorted(found.items()):
+            taken: list[tuple[int, int, int]] = []
+            for segment, s, d, e in sorted(ms):
+                # whole items come first and keep apart by themselves, as they rise
+                if all(e <= a or s >= z for a, z, _ in (taken if segment else taken[-1:])):
+                    taken.append((s, e, d))
+            for s, e, d in sorted(taken):
+                yield k, item, s, e, d
 
 
 def _trim(t: np.ndarray) -> np.ndarray:
@@ -191,12 +215,10 @@ def _scan(items: Items):
                     places.append(at)
                     base.append(base[-1] + len(low) + 1)
                 rows = [[] for _ in range(i, j)]
-                text = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-                for item, s, e, d in items.regions(text):
-                    k = int(np.searchsorted(base, s, side="right")) - 1
+                text = np.concatenate(parts[:-1])
+                for k, item, s, e, d in items.regions(text, np.array(base[:-1], np.int64)):
                     raw = data[off[i + k]:off[i + k + 1]]
-                    a = int(places[k][s - base[k]])
-                    z = int(places[k][min(e - base[k], len(places[k])) - 1]) + 1
+                    a, z = int(places[k][s]), int(places[k][e - 1]) + 1
                     count = lambda v: int(((v & 0xC0) != 0x80).sum())  # noqa: E731  code points
                     rows[k].append({"item_id": items.ids[item], "start": count(raw[:a]), "end": count(raw[:z]), "distance": d})
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(rows, kind),
@@ -205,21 +227,26 @@ def _scan(items: Items):
     return run
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of about `most` bytes at most."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
+    """The items in blocks of about `most` bytes at most, one at a time."""
     rows = id_text(benchmark, id_col, text_col).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / most))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(block == k).orderBy("doc_id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [tuple(r) for r in rows.where(block == k).orderBy("doc_id", "text").collect()]
 
 
 def contaminated_regions(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          item_col: str = "item_id", q: int = Q, edit_share: float = EDIT_SHARE,
-                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`df` with `regions`: the passages within the edit budget (`edit_share` of an item's
-    length) of a whole benchmark item, as (item_id, start, end, distance), places in code
-    points of the text.
+                         block_bytes: int = BLOCK_BYTES, segment: int | None = SEGMENT) -> DataFrame:
+    """`df` with `regions`: the passages within the edit budget (`edit_share` of the
+    length) of a whole benchmark item, or of a segment of one, as (item_id, start, end, distance),
+    places in code points of the text.
+
+    An item of n times `segment` bytes is also searched for in n equal parts (with None it is not),
+    so a stretch of two such parts' length is found even where the rest of the item is missing;
+    a part's region is given where no region of the whole item lies.
 
     Items and texts are compared with A-Z lower-cased and white space as one space;
     edits count bytes of UTF-8. Items shorter than `q` bytes (null ones too) hold no
@@ -233,14 +260,18 @@ def contaminated_regions(df: DataFrame, benchmark: DataFrame, id_col: str = "doc
     key, out, text = name("match_key"), name("regions"), name("match_text")
     cur = df.withColumn(out, F.expr(f"cast(array() as {REGIONS})"))
     names = df.columns
+    sent = None
     for rows in item_blocks(benchmark, item_col, text_col, block_bytes):
         rows = [r for r in rows if len(r[1].encode()) >= q]
         if not rows:
             continue
+        if sent is not None:        # one block at a time is held by the driver and the tasks
+            cur = written(cur, "contaminated")
+            sent.destroy()
         sent = df.sparkSession.sparkContext.broadcast(rows)      # at most about block_bytes
 
         def run(batches, sent=sent):
-            return _scan(Items(sent.value, q, edit_share))(batches)
+            return _scan(Items(sent.value, q, edit_share, segment))(batches)
         lead = cur.select(F.lit(0).cast("long").alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text),
                           "*")
         schema = StructType().add("key", "long").add("regions", cur.schema[out].dataType)

@@ -1,250 +1,201 @@
-"""Operator 1, stupid-backoff scores of every document against the whole corpus.
-
-S(w | c) is count(c w) / count(c) where the bigram was seen `least_count` times or more,
-else `backoff` times count(w) / N; a document starts with a start mark as context.
-
-Relationally: the tasks that read the texts explode them to bigrams and combine them
-in pieces of some megabytes (word, context, documents that hold the pair). These rows are dealt by the
-hash of the word, so a partition of the count table has all pairs of its words: it sums
-the counts, scores the pairs that back off, and sends the contexts of the others to the
-partition of the count table that counts the context. Partial sums of documents are added
-up per batch. A frequent word, pair or line costs one entry per batch, as with any
-combined aggregation, and no count leaves its partition.
+"""Operator 1, stupid-backoff scores of every document against a corpus.
+
+S(w | c) is count(c w) / count(c) where the n-gram c w was seen, else `backoff` times the
+score with the first word of c left out; without a context it is count(w) / N.
+
+The counts of n-grams of each order are tables by n-gram hash. The n-grams of a task's texts are
+exploded, combined in chunks of some megabytes and dealt by hash to the partitions of the
+count tables, in several passes over the texts, each of which takes one share of the hashes, so
+that a pass needs a bounded part of the disk. A count is the sum over the chunks that
+hold the n-gram; a frequent one costs a row for each chunk, not for each document, and
+sums are taken before the shuffle and joined back. Where the documents are the corpus, only
+counts above one go back, as every n-gram of theirs was seen at least once. Chunks
+and their counts then meet, and the scores are summed per document.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, chunks, id_text, mix64, text_buffers, word_hashes, word_spans, written
 
-BACKOFF, LEAST_COUNT = 0.4, 2
-PARTITION_BYTES = 16 << 20      # text for each partition of the count table, about
-COMBINED_BYTES = 8 << 20        # text whose pairs a task combines before they are dealt out
-NULL_ID = -(1 << 63)
-START = 0x5DEECE66D1CE4E5B      # context of a document's first word
-
-#: Rows of all kinds: w, c are hashed words, wn and cn how many entries of the next
-#: array belong to each, d documents of the batch, t how often, s sums, u backed-off
-#: words, z whether the first pair was seen often enough; ids and u the documents of a batch
-#: and their numbers of words.
-_ROWS = ("bucket int, kind string, batch long, w array<long>, wn array<int>, c array<long>, cn array<int>, "
-         "d array<int>, t array<int>, s array<double>, u array<int>, z array<int>, ids array<long>")
-_FIELDS = [f.split(" ") for f in _ROWS.split(", ")]
-_KINDS = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()),
-          "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-
-
-def _table(rows: list[dict]) -> pa.Table:
-    return pa.table({n: pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in _FIELDS})
-
-
-def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(word.view(U64)) % U64(buckets)).astype(np.int64)
+BACKOFF, ORDER = 0.4, 3
+CHUNK_TEXT = 8 << 20            # text whose n-grams are combined before they are dealt out
+PASSES = 3                      # shares of the n-grams; one at a time lies on disk
+PARTS = 2                       # shares of the chunks that meet their counts at one time
+OUT_ROWS = 1 << 16
+_MARKS = [0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
+MOST_ORDER = len(_MARKS) - 1
+
+
+def ngrams(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hash of the 1-, 2-, ... `order`-gram that ends at each word; 0 where the document
+    (from `first` on) has too few words before it."""
+    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    out = [mix64(words ^ U64(_MARKS[1]))]
+    for n in range(2, order + 1):
+        h = np.zeros(len(words), U64)
+        ok = np.flatnonzero(place >= n - 1)
+        # the (n-1)-gram that ends one word before, then the word: one to one in the word
+        h[ok] = mix64((out[-1][ok - 1] * U64(_MARKS[n] | 1)) ^ words[ok])
+        out.append(h)
+    return out
+
+
+def _words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of some texts, first word number of each text)."""
+    parts, first = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for i, j in chunks(off):
+        starts, ends, f = word_spans(off[i:j + 1], data)
+        parts.append(word_hashes(data[int(off[i]):], starts, ends))
+        first.append(first[-1][-1] + f[1:])
+    return np.concatenate(parts), np.concatenate(first)
 
 
-def _heads(*cols: np.ndarray) -> np.ndarray:
-    """First positions of the runs of equal rows."""
-    new = np.zeros(len(cols[0]), bool)
-    new[:1] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+def _keys(grams: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([g[g != 0] for g in grams])
 
 
-def _explode(buckets: int):
+def _exploded(order: int, share: int, passes: int, most: int):
+    """(chunk, n-gram, times) of the n-grams of one share, combined per chunk."""
     def run(batches):
         for b in batches:
-            off, data = text_buffers(b.column(2))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(off, COMBINED_BYTES):
-                yield from _combined(off[lo:hi + 1], data, int(ids[lo]), b.column(1).slice(lo, hi - lo), buckets)
+            off, data = text_buffers(b.column(1))
+            row = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(off, most):
+                keys = _keys(ngrams(*_words(off[lo:hi + 1], data), order))
+                keys, times = np.unique(keys[keys % U64(passes) == U64(share)], return_counts=True)
+                for i in range(0, len(keys), OUT_ROWS):
+                    k = keys[i:i + OUT_ROWS].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(k), row[lo])), pa.array(k), pa.array(times[i:i + OUT_ROWS])],
+                        names=["chunk", "gram", "times"])
     return run
 
 
-def _combined(off: np.ndarray, data: np.ndarray, batch: int, ids: pa.Array, buckets: int):
-    """The pairs of some documents, one row for each partition of the count table."""
-    parts, n_words = [], np.zeros(len(off) - 1, np.int64)
-    for i, j in chunks(off):
-        starts, ends, first = word_spans(off[i:j + 1], data)
-        w = word_hashes(data[int(off[i]):], starts, ends).view(np.int64)
-        n = np.diff(first)
-        n_words[i:j] = n
-        c = np.r_[np.int64(0), w[:-1]] if len(w) else w
-        c[first[:-1][n > 0]] = START
-        parts.append((w, c, np.repeat(np.arange(i, j, dtype=np.int32), n)))
-    w, c, d = (np.concatenate(v) for v in zip(*parts, strict=True))
-    to = _bucket(w, buckets)
-    order = np.argsort(to, kind="stable")
-    edge = np.searchsorted(to[order], np.arange(buckets + 1))
-    yield from _table([{"bucket": int(_bucket(np.array([batch]), buckets)[0]), "kind": "docs", "batch": batch,
-                        "ids": ids.to_numpy(zero_copy_only=False).astype(np.int64),
-                        "u": n_words.astype(np.int32)}]).to_batches()
-    for k in np.flatnonzero(np.diff(edge)).tolist():
-        rows = order[edge[k]:edge[k + 1]]
-        bw, bc, bd = w[rows], c[rows], d[rows]
-        inner = np.lexsort((bd, bc, bw))
-        bw, bc, bd = bw[inner], bc[inner], bd[inner]
-        e = _heads(bw, bc, bd)                                  # one entry per pair and document
-        times = np.diff(np.r_[e, len(bw)])
-        bw, bc, bd = bw[e], bc[e], bd[e]
-        p = _heads(bw, bc)                                      # one per pair
-        q = _heads(bw[p])                                       # one per word
-        yield from _table([{"bucket": k, "kind": "pairs", "batch": batch, "w": bw[p][q],
-                            "wn": np.diff(np.r_[q, len(p)]), "c": bc[p], "cn": np.diff(np.r_[p, len(bw)]),
-                            "d": bd, "t": times}]).to_batches()
-
-
-def _list(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, and the row of each."""
-    size = np.array([0 if v is None else v for v in
-                     pc.list_value_length(table[column]).to_pylist()], np.int64)
-    parts = [v.flatten().to_numpy(zero_copy_only=False) for v in table[column].chunks]
-    values = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
-    return values, np.repeat(np.arange(len(size)), size)
-
-
-def _sums(batch: int, d: np.ndarray, s: np.ndarray, u: np.ndarray, z: np.ndarray, buckets: int) -> dict:
-    docs, at = np.unique(d, return_inverse=True)
-    add = lambda v: np.bincount(at, weights=v, minlength=len(docs))
-    return {"bucket": int(_bucket(np.array([batch]), buckets)[0]), "kind": "sums", "batch": batch, "d": docs,
-            "s": add(s), "u": add(u).astype(np.int32), "z": add(z).astype(np.int32)}
-
-
-def _count_pairs(buckets: int, backoff: float, least: int):
-    """A partition of the count table: counts of its words and pairs, sums of the
-    documents, and the contexts it needs from others."""
-    def run(table: pa.Table) -> pa.Table:
-        # a column at a time: rows of documents have none of the pairs' columns
-        kind = np.array(table["kind"].to_pylist())
-        passed = table.filter(pa.array(kind != "pairs"))
-        if not (kind == "pairs").any():
-            return passed
-        w = np.repeat(_list(table, "w")[0], _list(table, "wn")[0])
-        c, pair_row = _list(table, "c")
-        d, t = _list(table, "d")[0], _list(table, "t")[0]
-        cn = _list(table, "cn")[0].astype(np.int64)
-        first = np.r_[0, np.cumsum(cn)]
-        here = np.add.reduceat(t, first[:-1])
-        order = np.lexsort((c, w))
-        sorted_w = w[order]
-        p = _heads(sorted_w, c[order])
-        total = np.add.reduceat(here[order].astype(np.int64), p)
-        words = sorted_w[p]
-        del sorted_w, here
-        q = _heads(words)
-        words, count = words[q], np.add.reduceat(total, q)
-        pair = np.empty(len(w), np.int64)
-        pair[order] = np.repeat(total, np.diff(np.r_[p, len(w)]))
-        one = np.empty(len(w), np.int64)
-        one[order] = np.repeat(np.repeat(count, np.diff(np.r_[q, len(p)])), np.diff(np.r_[p, len(w)]))
-        del order, w
-        seen = pair >= least
-        value = np.where(seen, np.log(pair), math.log(backoff) + np.log(one))
-        del pair, one
-        rows = [{"bucket": int(_bucket(words[:1], buckets)[0]), "kind": "count", "batch": 0, "w": words, "s": np.log(count)}]
-        batch = table["batch"].to_numpy()
-        bounds = np.searchsorted(pair_row, np.arange(table.num_rows + 1))
-        for r in np.flatnonzero(kind == "pairs").tolist():
-            a, z = bounds[r], bounds[r + 1]
-            e = slice(first[a], first[z])
-            ok, v = np.repeat(seen[a:z], cn[a:z]), np.repeat(value[a:z], cn[a:z])
-            ctx, te, de = np.repeat(c[a:z], cn[a:z]), t[e].astype(np.int64), d[e]
-            rows.append(_sums(int(batch[r]), de, te * v, te * ~ok, te * (ok & (ctx == START)), buckets))
-            ask = ok & (ctx != START)
-            ctx, de, te = ctx[ask], de[ask], te[ask]
-            to = _bucket(ctx, buckets)
-            order = np.lexsort((de, ctx, to))
-            ctx, de, te, to = ctx[order], de[order], te[order], to[order]
-            f = _heads(ctx, de)
-            te = np.add.reduceat(te, f) if len(f) else te
-            ctx, de, to = ctx[f], de[f], to[f]
-            edge = np.r_[_heads(to), len(to)] if len(to) else np.zeros(1, np.int64)
-            for x, y in itertools.pairwise(edge):
-                g = _heads(ctx[x:y])
-                rows.append({"bucket": int(to[x]), "kind": "asked", "batch": int(batch[r]), "c": ctx[x:y][g],
-                             "cn": np.diff(np.r_[g, y - x]), "d": de[x:y], "t": te[x:y]})
-        return pa.concat_tables([passed, _table(rows)])
-    return run
+def _sizes(batches):
+    """Number of words of each batch of texts."""
+    for b in batches:
+        off, data = text_buffers(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(word_spans(off[i:j + 1], data)[0]) for i, j in chunks(off)) if len(off) > 1 else 0],
+                                                   pa.int64())], names=["n"])
 
 
-def _contexts(buckets: int):
-    """Takes off the logarithm of the contexts' counts."""
-    def run(table: pa.Table) -> pa.Table:
-        kind = np.array(table["kind"].to_pylist())
-        known = table.filter(pa.array(kind == "count"))
-        words, logs = _list(known, "w")[0], _list(known, "s")[0]
-        order = np.argsort(words)
-        words, logs = words[order], logs[order]
-        out = [table.filter(pa.array((kind == "sums") | (kind == "docs")))]
-        asked = table.filter(pa.array(kind == "asked"))
-        rows = []
-        for r in range(asked.num_rows):
-            c, cn, d, t = (asked[n][r].values.to_numpy() for n in ("c", "cn", "d", "t"))
-            v = np.repeat(logs[np.searchsorted(words, c)], cn)
-            zero = np.zeros(len(d))
-            rows.append(_sums(int(asked["batch"][r].as_py()), d, -t * v, zero, zero, buckets))
-        return pa.concat_tables([*out, _table(rows)])
+def _chunk_texts(most: int):
+    """Every text with its chunk, cut as `_exploded` does."""
+    def run(batches):
+        for b in batches:
+            off, _ = text_buffers(b.column(1))
+            row = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(off, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, row[lo])), *(c.slice(lo, hi - lo) for c in b.columns[1:])],
+                                                 names=["chunk", *b.schema.names[1:]])
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """The documents of one batch with their sums."""
-    table = table.combine_chunks().sort_by("kind")
-    kind = np.array(table["kind"].to_pylist())
-    docs = table.filter(pa.array(kind == "docs"))
-    sums = table.filter(pa.array(kind == "sums"))
-    ids, n = docs["ids"][0].values, docs["u"][0].values.to_numpy()
-    d = _list(sums, "d")[0] if sums.num_rows else np.zeros(0, np.int64)
-    add = lambda c: np.bincount(d, weights=_list(sums, c)[0] if sums.num_rows else [], minlength=len(n))
-    return pa.table({"doc": ids, "n_words": pa.array(n, pa.int64()),
-                     **{c: pa.array(add(c), pa.float64()) for c in "suz"}})
+def _score(order: int, backoff: float, least: int):
+    """Scores of a chunk's documents by its n-grams' counts; those not listed have `least`."""
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        off, data = text_buffers(texts["text"])
+        words, first = _words(off, data)
+        grams = ngrams(words, first, order)
+        known, n = counts["gram"].to_numpy().view(U64), counts["n"].to_numpy()
+        by = np.argsort(known)
+        known, n = known[by], n[by]
+
+        def count(g: np.ndarray) -> np.ndarray:
+            out = np.where(g != 0, least, 0)
+            if len(known):
+                at = np.searchsorted(known, g)
+                at[at == len(known)] = 0
+                hit = (known[at] == g) & (g != 0)
+                out[hit] = n[at[hit]]
+            return out
+        have = [count(g) for g in grams]
+        # an unseen word counts as one
+        score, single = np.log(np.maximum(have[0], 1)), np.ones(len(words))
+        for k in range(1, order):
+            context = np.zeros(len(words), np.int64)
+            context[1:] = have[k - 1][:-1]
+            seen = have[k] > 0
+            fits = grams[k] != 0
+            longer = np.log(np.maximum(have[k], 1)) - np.log(np.maximum(context, 1))
+            score = np.where(seen, longer, score + fits * math.log(backoff))
+            single[seen] = 0.0
+        size = np.diff(first)
+        doc = np.repeat(np.arange(len(size)), size)
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(size),
+                         **{c: pa.array(np.bincount(doc, weights=v, minlength=len(size)), pa.float64()) for c, v in (("s", score), ("u", single))}})
+    return run
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF,
-              least_count: int = LEAST_COUNT) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None,
+              order: int = ORDER, backoff: float = BACKOFF, passes: int = PASSES, chunk_text: int = CHUNK_TEXT) -> DataFrame:
     """One row per input row: doc_id, n_words, log_score (sum of the natural logarithms of
     S over the words `[^\\x20\\x09-\\x0D]+`, unchanged; null without words).
 
-    Counts run over all rows, so repeated rows count and are scored each; null texts
-    have no words; null ids stay null; an empty table gives no rows; other columns are
-    not read."""
-    spark = df.sparkSession
-    src = id_text(df, id_col, text_col)
-    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION_BYTES))
-    # ids travel as longs; the least long stands for a null id
-    src = src.select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
-    rows = src.mapInArrow(_explode(buckets), _ROWS)
-    rows = rows.groupBy("bucket").applyInArrow(_count_pairs(buckets, backoff, least_count), _ROWS)
-    rows = rows.groupBy("bucket").applyInArrow(_contexts(buckets), _ROWS)
-    docs = written(rows.groupBy("batch").applyInArrow(_add_up, "doc long, n_words long, s double, u double, z double"),
-                   "lm-sums")
-    n = docs.agg(F.log(F.sum("n_words")).alias("log_n"), F.log(F.count_if(F.col("n_words") > 0)).alias("log_d"))
-    return docs.crossJoin(F.broadcast(n)).select(                                      # one row
-        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words",
-        F.when(F.col("n_words") > 0, F.col("s") - F.col("u") * F.col("log_n") - F.col("z") * F.col("log_d")).alias("log_score"))
+    The first words of a document have as long a context as there is. Counts run over all rows
+    of `corpus` (with its column `text_col`), or of `df` itself; a word that the corpus doesn't have
+    counts as seen once. Repeated rows count and are scored each; null and empty texts have no
+    words; null ids stay null; an empty table gives no rows; texts of any length are read
+    whole, and one over a chunk's size is a chunk of its own; other columns are not read. Rows must come
+    in the same partitions each time they are read, as they do from files and tables."""
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"order must be from 1 to {MOST_ORDER}")
+    src = id_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "text", "doc_id")
+    own = corpus is None
+    base = src if own else corpus.select(F.monotonically_increasing_id().alias("row"),
+                                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = "chunk long, gram long, times long"
+    tables = []
+    for share in range(passes):
+        asked = src.mapInArrow(_exploded(order, share, passes, chunk_text), kind)       # the columns as below, for the same batches
+        if own:
+            # rows of an n-gram: one for each chunk
+            n = asked.select("chunk", "gram", F.sum("times").over(Window.partitionBy("gram")).alias("n")).where("n > 1")
+        else:
+            seen = base.select("row", "text").mapInArrow(_exploded(order, share, passes, chunk_text), kind)
+            seen = seen.groupBy("gram").agg(F.sum("times").alias("n"))
+            n = asked.select("chunk", "gram").join(seen, "gram").select("chunk", "gram", "n")
+        tables.append(written(n, "ngram-counts"))
+    counts = functools.reduce(DataFrame.unionByName, tables)
+    texts = src.mapInArrow(_chunk_texts(chunk_text), "chunk long, text string, doc_id long")
+    counts = counts.select(F.col("chunk").alias("of"), "gram", "n")
+    done = []
+    for part in range(PARTS):
+        here = [d.where(F.pmod(F.xxhash64(c), F.lit(PARTS)) == part).groupBy(c) for d, c in ((texts, "chunk"), (counts, "of"))]
+        done.append(written(here[0].cogroup(here[1]).applyInArrow(
+            _score(order, backoff, int(own)), "doc_id long, n_words long, s double, u double"), "ngram-sums"))
+    docs = functools.reduce(DataFrame.unionByName, done)
+    if own:
+        total = docs.agg(F.sum("n_words")).first()[0]
+    else:
+        total = base.select("text").mapInArrow(_sizes, "n long").agg(F.sum("n")).first()[0]
+    # `u` words were scored by their own count alone
+    score = F.col("s") - F.col("u") * math.log(max(total or 0, 1))
+    return docs.select("doc_id", "n_words", F.when(F.col("n_words") > 0, score).alias("log_score"))
 
 
 #: DuckDB SQL of the same for `documents`, rounded as the query is.
 ORACLE = r"""
 with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
-e as (select doc_id, unnest(w) as x, unnest(list_concat([NULL], w[1:len(w) - 1])) as c from d where len(w) > 0),
-p as (select c, x, count(*) as n2 from e group by c, x),
-o as (select x, count(*) as n1 from e group by x),
-k as (select coalesce(c, '') as c, count(*) as n1 from e where c is null group by c),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+e as (select doc_id, w[i] as x, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a from p),
+c1 as (select x, count(*) as n1 from e group by x),
+c2 as (select b, x, count(*) as n2 from e where b is not null group by b, x),
+c3 as (select a, b, x, count(*) as n3 from e where a is not null group by a, b, x),
 n as (select count(*) as total from e),
-s as (select e.doc_id, case when n2 >= 2 then ln(n2) - ln(case when e.c is null then (select n1 from k) else oc.n1 end)
-                            else ln(0.4) + ln(ow.n1) - ln(total) end as v
-      from e join p on e.c is not distinct from p.c and e.x = p.x join o ow on e.x = ow.x
-      left join o oc on e.c = oc.x cross join n)
+s as (select e.doc_id, case when e.a is not null then ln(n3) - ln(ab.n2) when e.b is not null then ln(bx.n2) - ln(cb.n1)
+                            else ln(cx.n1) - ln(total) end as v
+      from e join c1 cx on e.x = cx.x left join c1 cb on e.b = cb.x left join c2 bx on e.b = bx.b and e.x = bx.x
+      left join c2 ab on e.a = ab.b and e.b = ab.x left join c3 on e.a = c3.a and e.b = c3.b and e.x = c3.x cross join n)
 select d.doc_id, len(w)::bigint as n_words, round(sum(v) / len(w), 4) as mean_log_score
 from d left join s using (doc_id) group by d.doc_id, w
 """

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tessera.llm.alignment import Aligner, align_tokenizers
+from tessera.llm.alignment import Aligner, Units, align_tokenizers
 from tessera.llm.best_fit import pack_best_fit, size_classes
 from tessera.llm.bpe import byte_symbols
 from tessera.llm.lexical_search import Trie, search, term_lists
@@ -79,13 +79,28 @@ def test_alignment_is_brute_force(spark, docs, more, empty):
     assert align_tokenizers(empty, A, B).count() == 0
 
 
-def test_long_texts_are_cut_where_nothing_changes():
+def test_texts_are_cut_where_nothing_changes():
     rng, al = random.Random(3), Aligner(*(open(p, "rb").read() for p in (A, B)))
     assert al.may_cut
-    texts = ["".join(rng.choices(["word", " ", "  ", "\n", "é", "▁", "'s", ",", "12", "你"], k=rng.randint(1, 60))) for _ in range(400)]
-    for whole, parts in zip(al.encode(texts), al.encode(texts, most=5), strict=True):
-        assert [sum((p[k] for p in parts), []) for k in (0, 1)] == [sum((p[k] for p in whole), []) for k in (0, 1)]
-    assert sum(len(al.cut(t, 5)) > 1 for t in texts) > 50
+    pool = ["word", " ", "  ", "\n", "é", "▁", "'s", ",", "12", "你", "\x1c", "\u180e", "\u200b", "\u00a0"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(3000)]
+    for t in texts:
+        units = al.units(t)
+        assert " ".join(units) == t
+        ids_a = [i for u in units for i in al.a.encode(" " + u, add_special_tokens=False).ids]
+        assert ids_a == al.a.encode(" " + t, add_special_tokens=False).ids
+        assert [i for u in units for i in al.b.encode(u)] == al.b.encode(t)
+    assert sum(len(al.units(t)) > 1 for t in texts) > 300
+
+
+def test_remembered_units_change_nothing():
+    al = Aligner(*(open(p, "rb").read() for p in (A, B)))
+    texts = ["one two three two one", "", "two  two", "seven one \0 x", "four five one"]
+    small, large = Units(al, most=2), Units(al)
+    for t in texts:
+        for u in (small, large):
+            flat, size = u.numbers([t])
+            assert b";".join(u.texts[k] for k in flat) == b";".join(large.texts[k] for k in large.numbers([t])[0])
 
 
 # ------------------------------------------------------------------ packing

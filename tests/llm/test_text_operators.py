@@ -35,6 +35,40 @@ def test_word_spans_and_hashes():
     assert h[0] == h[4] and h[1] != h[5] and low[1] == low[5] and low[0] == low[6]
 
 
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo a power of two are equal."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(7)
+    words = [x for n in (8, 64, 128, 512, 1024, 2048) for x in thue_morse(n)]
+    words += ["a" * n for n in range(1, 200)] + ["x" * 63 + "y", "x" * 64 + "y", "x" * 64 + "z"]
+    words += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(20_000)]
+    words = sorted(set(words))
+    off, data = text_buffers(pa.array([" ".join(words)]))
+    s, e, _ = word_spans(off, data)
+    h = word_hashes(data, s, e)
+    assert len(set(h.tolist())) == len(words)
+    upper, lower = text_buffers(pa.array([" ".join(words).upper()])), word_hashes(data, s, e, lower=True)
+    assert (word_hashes(upper[1], s, e, lower=True) == lower).all() and (lower == h).all()
+
+
+def test_colliding_words_stay_apart(spark):
+    from tessera.llm.near_dup import near_dup_groups
+    from tessera.llm.substring_dedup import substring_dedup
+    one, two = thue_morse(1024)
+    rest = [f"w{i}" for i in range(70)]
+    rows = [(1, " ".join([one] * 3 + rest)), (2, " ".join([two] * 3 + rest[:40])), (3, one), (4, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in near_dup_groups(df, percent=85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 # ------------------------------------------------------------------ tokens
 
 def test_bpe_equals_the_library():
@@ -254,7 +288,7 @@ def test_regions_equal_full_alignment():
         at = rng.randrange(len(body))
         text = normalised(np.frombuffer((body[:at] + " " + edited(items[k][1], rng.randint(0, 24), rng) + " " + body[at:]).encode(), np.uint8))[0]
         true = distance_in(index.texts[k], text)
-        found = [r[3] for r in index.regions(text) if r[0] == k]
+        found = [r[4] for r in index.regions(text) if r[1] == k]
         assert (min(found) if found else None) == (true if true <= index.budget[k] else None)
 
 
@@ -273,6 +307,44 @@ def test_contaminated_regions(spark, odd, empty):
     assert decontaminate(df, spark.createDataFrame([], bench.schema)).count() == len(rows)
 
 
+def test_regions_never_span_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((12, 60, 30))]
+    texts = []
+    for k in (0, 1, 2, 1, 0):
+        t = items[k][1]
+        cut = len(t) // 2
+        texts += [word() + " " + t[:cut], t[cut:] + " " + word(), "", edited(t, 2, rng), t[:cut], t[cut:], " ".join(word() for _ in range(50))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def regions(parts):
+        got = contaminated_regions(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id"), bench).collect()
+        return {r.doc_id: [tuple(g) for g in r.regions] for r in got}
+    alone = {}
+    for segment in (None, 64):
+        index = Items(items, 8, 0.08, segment)
+        alone[segment] = {i: [tuple(r[1:]) for r in index.regions(normalised(np.frombuffer(t.encode(), np.uint8))[0])] for i, t in rows}
+    assert regions(1) == regions(7) == alone[64]
+    whole = {i for i, r in alone[None].items() if r}
+    assert whole == {i for i in range(len(rows)) if i % 7 == 3}
+    # halves of the longer items hold whole segments of them
+    assert {i for i, r in alone[64].items() if r} - whole == {i for i in range(len(rows)) if i // 7 in (1, 2, 3) and i % 7 in (0, 1, 4, 5)}
+
+
+def test_an_item_without_one_of_its_lines_is_found(spark):
+    lines = ["the answer to the first question is a long and winding road of many words that goes on for some time",
+             "and the second line of this item speaks of harbours, ships and the weather of the northern coast",
+             "whereas the third one closes with a remark on the price of salt in the markets of the old town"]
+    bench = spark.createDataFrame([(7, "\n".join(lines))], "item_id long, text string")
+    rows = [(k, f"intro {k}\n" + "\n".join(x for j, x in enumerate(lines) if j != k % 3) + "\noutro") for k in range(6)]
+    rows.append((9, "the price of salt in the markets of the old town is a remark " * 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate(df, bench).collect()] == [9]
+    assert decontaminate(df, bench, segment=None).count() == 7
+
+
 # ---------------------------------------------------------------- quality
 
 def test_em_finds_accuracies():
@@ -313,22 +385,53 @@ def test_quality_odd_rows(odd, empty):
 
 # ------------------------------------------------------------------ scores
 
-def test_lm_scores_by_brute_force(spark, odd, empty):
+def backoff_scores(rows, corpus, order, backoff=0.4):
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen, n = Counter(), 0
+    for t in corpus:
+        w = words(t)
+        n += len(w)
+        seen.update(tuple(w[i:i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+
+    def s(gram):
+        if len(gram) == 1:
+            return math.log(max(seen[gram], 1) / n)
+        return math.log(seen[gram] / seen[gram[:-1]]) if seen[gram] else math.log(backoff) + s(gram[1:])
+    out = []
+    for d, t in rows:
+        w = words(t)
+        v = [s(tuple(w[max(0, i - order + 1):i + 1])) for i in range(len(w))]
+        out.append((d is None, d or 0, len(w), sum(v) if v else None))
+    return out
+
+
+def same_scores(got, want):
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score) for r in got]
+    key = lambda r: (*r[:3], r[3] or 0)
+    for g, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:3] == x[:3] and (g[3] == x[3] or abs(g[3] - x[3]) < 1e-6)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_scores_by_brute_force(spark, odd, empty, order):
     rng = random.Random(9)
     rows = [(d, " ".join(rng.choice("a b c d e f gg hh".split()) for _ in range(rng.randint(0, 30)))) for d in range(80)]
-    for df, rows in ((spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows), (odd, TEXTS)):
-        words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
-        one, two = Counter(x for _, w in words for x in w), Counter(p for _, w in words for p in zip([None, *w], w))
-        n, starts = sum(one.values()), sum(bool(w) for _, w in words)
-        want = []
-        for d, w in words:
-            s = 0.0
-            for c, x in zip([None, *w], w):
-                k = two[c, x]
-                s += math.log(k / (starts if c is None else one[c])) if k >= 2 else math.log(0.4 * one[x] / n)
-            want.append((d is None, d or 0, len(w), s if w else None))
-        got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score) for r in lm_scores(df).collect()]
-        key = lambda r: (r[0], r[1], r[2])
-        for g, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-            assert g[:3] == x[:3] and (g[3] == x[3] or abs(g[3] - x[3]) < 1e-6)
-    assert lm_scores(empty).count() == 0
+    one, two = thue_morse(1024)
+    rows += [(90, f"{one} {two} {one} {one}"), (91, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same_scores(lm_scores(df, order=order).collect(), backoff_scores(rows, [t for _, t in rows], order))
+    same_scores(lm_scores(odd, order=order, passes=1).collect(), backoff_scores(TEXTS, [t for _, t in TEXTS], order))
+    same_scores(lm_scores(odd, corpus=df, order=order).collect(), backoff_scores(TEXTS, [t for _, t in rows], order))
+    part = [r for r in rows if r[0] % 3]
+    same_scores(lm_scores(df, corpus=df.where("doc_id % 3 > 0"), order=order).collect(), backoff_scores(rows, [t for _, t in part], order))
+    assert lm_scores(empty, order=order).count() == 0
+
+
+def test_lm_scores_over_many_chunks(spark):
+    from tessera.llm.lm_scoring import _chunk_texts
+    rng = random.Random(10)
+    rows = [(d, " ".join(rng.choice("a b c d e f gg hh".split()) for _ in range(rng.choice([3, 40, 4000])))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    batch = pa.record_batch({"row": list(range(60)), "text": [t for _, t in rows], "doc_id": [d for d, _ in rows]})
+    assert len({b["chunk"][0].as_py() for b in _chunk_texts(2000)([batch])}) > 20
+    same_scores(lm_scores(df, chunk_text=2000).collect(), backoff_scores(rows, [t for _, t in rows], 3))
