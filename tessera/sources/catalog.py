@@ -1,27 +1,31 @@
 """Project catalog: registry, versioned dataset snapshots with undo, model metrics,
-published models, cascade delete and the image layer stack (operators O-10..O-17).
-
-Every table is parquet under one root on a shared file system. A dataset is a
-series of immutable version folders ``v<k>``; the current / one-step-back
-pointers are a tiny parquet table, so a change never overwrites the folder it
-reads (Spark cannot overwrite a path it is reading) and undo is a pointer move.
-Metadata updates are ``filter(~match).unionByName(new)`` written as a new
-version, the same way.
+parameter sets, published models, cascade delete and the image layer stack (operators
+O-10..O-17, O-110).
+
+Every table is Parquet under one root on a shared file system, in versions that are
+committed atomically (``tessera.sources.commits``). Metadata changes are functions of the
+current rows, asked again when another writer commits first, so two writers lose nothing
+and ids stay unique.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.sources.commits import Files, VersionedTable
 
 REGISTRY_SCHEMA = "project_id int, name string, type string, status string"
 METRICS_SCHEMA = ("project_id int, algorithm string, train_accuracy double, "
                   "test_accuracy double, overall_accuracy double, target string")
 PUBLISHED_SCHEMA = "project_id int, algorithm string, model_id string, path string"
 LAYER_SCHEMA = "project_id int, index_no int, layer string, params string"
+PARAMS_SCHEMA = "project_id int, algorithm string, name string, value string"
+DELETED_SCHEMA = "project_id int, done boolean"
 # Project types offered by the application.
 PROJECT_TYPES = ["Data Processing", "Image Processing", "Cash Forecasting"]
 
@@ -33,65 +37,69 @@ class Catalog:
 
     # ------------------------------------------------------------ versioned tables
 
-    def _path(self, name: str) -> str:
-        return os.path.join(self.root, name)
-
-    def _pointer(self, name: str) -> tuple[int | None, int | None]:
-        p = os.path.join(self._path(name), "_pointer")
-        try:
-            r = self.spark.read.parquet(p).collect()[0]
-            return r["current"], r["previous"]
-        except Exception:  # noqa: BLE001 - no pointer yet
-            return None, None
-
-    def _set_pointer(self, name: str, current: int | None, previous: int | None) -> None:
-        p = os.path.join(self._path(name), "_pointer")
-        self.spark.createDataFrame([(current, previous)], "current int, previous int") \
-            .coalesce(1).write.mode("overwrite").parquet(p)
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, os.path.join(self.root, name))
 
     def save(self, name: str, df: DataFrame) -> int:
         """O-11: write a new version and make it current; the old current becomes the
-        one-step-back version."""
-        cur, _ = self._pointer(name)
-        v = 0 if cur is None else self._latest(name) + 1
-        df.write.mode("errorifexists").parquet(os.path.join(self._path(name), f"v{v}"))
-        self._set_pointer(name, v, cur)
-        return v
-
-    def _latest(self, name: str) -> int:
-        vs = [int(d[1:]) for d in _list_dirs(self.spark, self._path(name)) if d.startswith("v")]
-        return max(vs) if vs else -1
+        one-step-back version. Returns the number of the commit."""
+        return self.table(name).save(df).number
 
     def load(self, name: str, schema: str | None = None) -> DataFrame:
-        cur, _ = self._pointer(name)
-        if cur is None:
+        t = self.table(name)
+        now = t.version()
+        if now is None:
             if schema is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(os.path.join(self._path(name), f"v{cur}"))
+        return t.read(now.current)
 
     def undo(self, name: str) -> int | None:
         """O-12: current := one-step-back; one level only (a repeat changes nothing)."""
-        cur, prev = self._pointer(name)
-        if prev is None:
-            return cur
-        self._set_pointer(name, prev, None)
-        return prev
+        now = self.table(name).undo()
+        return None if now is None else now.number
 
     def original(self, name: str) -> DataFrame:
-        """O-13: version 0 as ingested."""
-        return self.spark.read.parquet(os.path.join(self._path(name), "v0"))
+        """O-13: the first version, as ingested."""
+        t = self.table(name)
+        now = t.version()
+        if now is None:
+            raise KeyError(name)
+        return t.read(now.original)
+
+    def _update(self, name: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return self.table(name).update(
+            lambda t: change(self.spark.createDataFrame([], schema) if t is None else t))
+
+    def _append_numbered(self, name: str, schema: str, column: str, row: Callable[[int], tuple], scope=None) -> int:
+        """Add the row with the next number of ``column`` (within the rows of ``scope``); the number is
+        the one that was committed."""
+        given = []
+
+        def change(t: DataFrame) -> DataFrame:
+            rows = t if scope is None else t.filter(scope)
+            given.append(int(rows.agg(F.coalesce(F.max(column), F.lit(0)) + 1).first()[0]))
+            return t.unionByName(self.spark.createDataFrame([row(given[-1])], schema))
+        self._update(name, schema, change)
+        return given[-1]
+
+    def _replace(self, name: str, schema: str, match, rows: list[tuple]) -> None:
+        self._update(name, schema, lambda t: t.filter(~match).unionByName(self.spark.createDataFrame(rows, schema)))
 
     # ------------------------------------------------------------ registry (O-10)
 
     def create_project(self, name: str, ptype: str) -> int:
         if ptype not in PROJECT_TYPES:
             raise ValueError(f"unknown project type {ptype}")
-        reg = self.load("registry", REGISTRY_SCHEMA)
-        nxt = reg.agg(F.coalesce(F.max("project_id"), F.lit(0)) + 1).collect()[0][0]
-        row = self.spark.createDataFrame([(int(nxt), name, ptype, "active")], REGISTRY_SCHEMA)
-        self.save("registry", reg.unionByName(row))
-        return int(nxt)
+        return self._append_numbered("registry", REGISTRY_SCHEMA, "project_id", lambda n: (n, name, ptype, "active"))
+
+    def dataset(self, project_id: int) -> str:
+        """Name of a project's own dataset, for ``save``, ``load``, ``undo`` and ``original``."""
+        return os.path.join("datasets", f"project-{int(project_id)}")
+
+    def model_path(self, project_id: int, model_id: str) -> str:
+        """Where a project's models are saved."""
+        return os.path.join(self.root, "models", f"project-{int(project_id)}", model_id)
 
     def active_projects(self) -> DataFrame:
         return self.load("registry", REGISTRY_SCHEMA).filter(F.col("status") == "active")
@@ -101,19 +109,14 @@ class Catalog:
     def upsert_metrics(self, project_id: int, algorithm: str, train: float, test: float,
                        overall: float, target: str) -> None:
         """O-14: delete the (project, algorithm) row, insert the new one."""
-        m = self.load("metrics", METRICS_SCHEMA)
-        new = self.spark.createDataFrame(
-            [(int(project_id), algorithm, float(train), float(test), float(overall), target)],
-            METRICS_SCHEMA)
-        keep = m.filter(~((F.col("project_id") == project_id) & (F.col("algorithm") == algorithm)))
-        self.save("metrics", keep.unionByName(new))
+        self._replace("metrics", METRICS_SCHEMA,
+                      (F.col("project_id") == project_id) & (F.col("algorithm") == algorithm),
+                      [(int(project_id), algorithm, float(train), float(test), float(overall), target)])
 
     def publish(self, project_id: int, algorithm: str, model_id: str, path: str) -> None:
-        p = self.load("published", PUBLISHED_SCHEMA)
-        new = self.spark.createDataFrame([(int(project_id), algorithm, model_id, path)],
-                                         PUBLISHED_SCHEMA)
-        keep = p.filter(~((F.col("project_id") == project_id) & (F.col("algorithm") == algorithm)))
-        self.save("published", keep.unionByName(new))
+        self._replace("published", PUBLISHED_SCHEMA,
+                      (F.col("project_id") == project_id) & (F.col("algorithm") == algorithm),
+                      [(int(project_id), algorithm, model_id, path)])
 
     def model_list(self, project_id: int) -> DataFrame:
         """O-15: metrics (2 dp) with the published id, best test accuracy first."""
@@ -125,30 +128,65 @@ class Catalog:
                         "target", "model_id")
                 .orderBy(F.desc("test_accuracy"), "algorithm"))
 
+    # ------------------------------------------------------------ parameter sets (O-110)
+
+    def save_parameters(self, project_id: int, algorithm: str, params: dict) -> None:
+        """Replace the project's parameters of an algorithm (values as JSON text)."""
+        self._replace("parameters", PARAMS_SCHEMA,
+                      (F.col("project_id") == project_id) & (F.col("algorithm") == algorithm),
+                      [(int(project_id), algorithm, k, json.dumps(v)) for k, v in sorted(params.items())])
+
+    def edit_parameters(self, project_id: int, algorithm: str, **changes) -> dict:
+        """Change some of the saved parameters; the others stay. Returns the whole set."""
+        rows = (F.col("project_id") == project_id) & (F.col("algorithm") == algorithm)
+        self._replace("parameters", PARAMS_SCHEMA, rows & F.col("name").isin(list(changes)),
+                      [(int(project_id), algorithm, k, json.dumps(v)) for k, v in sorted(changes.items())])
+        return self.parameters(project_id, algorithm)
+
+    def parameters(self, project_id: int, algorithm: str) -> dict:
+        """The saved parameters, ready to be passed to training; empty without any."""
+        t = self.load("parameters", PARAMS_SCHEMA)
+        rows = t.filter((F.col("project_id") == project_id) & (F.col("algorithm") == algorithm)).collect()
+        return {r.name: json.loads(r.value) for r in rows}
+
     # ------------------------------------------------------------ delete (O-16)
 
     def delete_project(self, project_id: int) -> None:
-        """Remove the project's models, published rows and layers (exact id match), then mark
-        the project inactive."""
-        ids = self.spark.createDataFrame([(int(project_id),)], "project_id int")
+        """Remove all of a project (exact id): its rows in every table, its parameters, its saved models
+        and its dataset with all versions; the registry keeps it as inactive.
+
+        A tombstone is committed first, and every step can be repeated, so a delete that
+        broke off is finished by ``resume_deletes`` or by calling this again. Older versions
+        of the tables go too, as they hold the rows."""
+        project_id = int(project_id)
+        mine = F.col("project_id") == project_id
+        self._replace("deleted", DELETED_SCHEMA, mine, [(project_id, False)])
+        self._update("registry", REGISTRY_SCHEMA, lambda t: t.withColumn(
+            "status", F.when(mine, "inactive").otherwise(F.col("status"))))
+        files = Files(self.spark)
+        for r in self.load("published", PUBLISHED_SCHEMA).filter(mine).collect():
+            files.delete(r.path)
+        files.delete(os.path.join(self.root, "models", f"project-{project_id}"))
+        self.table(self.dataset(project_id)).drop()
         for name, schema in (("metrics", METRICS_SCHEMA), ("published", PUBLISHED_SCHEMA),
-                             ("layers", LAYER_SCHEMA)):
-            t = self.load(name, schema)
-            self.save(name, t.join(F.broadcast(ids), "project_id", "left_anti"))
-        reg = self.load("registry", REGISTRY_SCHEMA)
-        self.save("registry", reg.withColumn(
-            "status", F.when(F.col("project_id") == project_id, "inactive")
-            .otherwise(F.col("status"))))
+                             ("layers", LAYER_SCHEMA), ("parameters", PARAMS_SCHEMA)):
+            if not self.load(name, schema).filter(mine).isEmpty():
+                self._update(name, schema, lambda t: t.filter(~mine))
+            self.table(name).forget()
+        self._replace("deleted", DELETED_SCHEMA, mine, [(project_id, True)])
+
+    def resume_deletes(self) -> list[int]:
+        """Finish deletes that broke off; the ids of these projects."""
+        left = [r.project_id for r in self.load("deleted", DELETED_SCHEMA).filter(~F.col("done")).collect()]
+        for i in left:
+            self.delete_project(i)
+        return sorted(left)
 
     # ------------------------------------------------------------ layers (O-17)
 
     def add_layer(self, project_id: int, layer: str, params: str) -> int:
-        t = self.load("layers", LAYER_SCHEMA)
-        nxt = t.filter(F.col("project_id") == project_id).agg(
-            F.coalesce(F.max("index_no"), F.lit(0)) + 1).collect()[0][0]
-        row = self.spark.createDataFrame([(int(project_id), int(nxt), layer, params)], LAYER_SCHEMA)
-        self.save("layers", t.unionByName(row))
-        return int(nxt)
+        return self._append_numbered("layers", LAYER_SCHEMA, "index_no",
+                                     lambda n: (int(project_id), n, layer, params), F.col("project_id") == project_id)
 
     def layers(self, project_id: int) -> DataFrame:
         return self.load("layers", LAYER_SCHEMA).filter(
@@ -158,22 +196,5 @@ class Catalog:
         """The first convolution layer is protected."""
         if index_no == 1:
             raise ValueError("the first convolution layer cannot be deleted")
-        t = self.load("layers", LAYER_SCHEMA)
-        self.save("layers", t.filter(~((F.col("project_id") == project_id)
-                                       & (F.col("index_no") == index_no))))
-
-
-def _list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Child folder names through the Hadoop file system of ``path`` (works on any
-    shared file system Spark can read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
+        self._update("layers", LAYER_SCHEMA, lambda t: t.filter(
+            ~((F.col("project_id") == project_id) & (F.col("index_no") == index_no))))

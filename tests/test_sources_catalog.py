@@ -4,11 +4,14 @@ import os
 import struct
 import tempfile
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
+from tessera.operators import models as md
 from tessera.sources import files as fs
 from tessera.sources.catalog import Catalog
+from tessera.sources.commits import Files, VersionedTable
 
 
 def test_csv_nulls_header_and_types(spark):
@@ -75,6 +78,97 @@ def test_registry_metrics_delete_layers(spark):
     assert cat.layers(1).count() == 0
 
 
+def test_racing_writers_lose_nothing(spark):
+    root = tempfile.mkdtemp(prefix="tessera-cat-")
+
+    def work(k):
+        cat = Catalog(spark, root)
+        return [cat.create_project(f"w{k}-{i}", "Data Processing") for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        ids = [i for part in pool.map(work, range(4)) for i in part]
+    cat = Catalog(spark, root)
+    assert sorted(ids) == list(range(1, 17))
+    assert sorted(r.name for r in cat.active_projects().collect()) == sorted(f"w{k}-{i}" for k in range(4) for i in range(4))
+
+
+def test_a_crash_before_the_commit_leaves_the_old_version(spark, monkeypatch):
+    cat = Catalog(spark, tempfile.mkdtemp(prefix="tessera-cat-"))
+    cat.save("ds", spark.range(3))
+
+    def crash(*_a, **_k):
+        raise OSError("gone")
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_commit", crash)
+        with pytest.raises(OSError):
+            cat.save("ds", spark.range(9))
+    assert cat.load("ds").count() == 3 and cat.original("ds").count() == 3
+    # an error while reading the log is no empty table
+    with monkeypatch.context() as m:
+        m.setattr(Files, "read", crash)
+        with pytest.raises(OSError):
+            cat.save("ds", spark.range(9))
+    assert cat.load("ds").count() == 3
+    cat.save("ds", spark.range(5))
+    assert cat.load("ds").count() == 5
+    cat.undo("ds")
+    assert cat.load("ds").count() == 3
+
+
+def test_create_is_exclusive(spark):
+    files, path = Files(spark), os.path.join(tempfile.mkdtemp(), "a", "x.json")
+    assert files.create(path, "one") and not files.create(path, "two") and files.read(path) == "one"
+    assert files.names(os.path.dirname(path)) == ["x.json"]
+
+
+def test_parameters_are_saved_edited_and_used(spark):
+    cat = Catalog(spark, tempfile.mkdtemp(prefix="tessera-cat-"))
+    assert cat.parameters(1, "Decision Tree") == {}
+    cat.save_parameters(1, "Decision Tree", {"max_depth": 1, "criterion": "entropy"})
+    cat.save_parameters(12, "Decision Tree", {"max_depth": 9})
+    assert cat.edit_parameters(1, "Decision Tree", max_depth=2) == {"max_depth": 2, "criterion": "entropy"}
+    assert cat.parameters(12, "Decision Tree") == {"max_depth": 9}
+    df = spark.range(200).selectExpr("id", "double(id % 8) x", "int(id % 8 in (1, 2, 5)) l")
+    model, _ = md.train_classifier(df, "id", ["x"], "l", "Decision Tree", cat.parameters(1, "Decision Tree"))
+    assert model.stages[-1].depth == 2 and model.stages[-1].getImpurity() == "entropy"
+
+
+def _all_files(root):
+    return sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs)
+
+
+def test_delete_leaves_nothing_and_can_be_resumed(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="tessera-cat-")
+    cat = Catalog(spark, root)
+    ids = [cat.create_project(f"p{i}", "Data Processing") for i in range(12)]
+    df = spark.range(40).selectExpr("id", "double(id) x", "int(id > 20) l")
+    for i in (1, 12):
+        cat.save(cat.dataset(i), df)
+        cat.save(cat.dataset(i), df.limit(5))
+        model, _ = md.train_classifier(df, "id", ["x"], "l", "Decision Tree")
+        md.publish_model(model, cat.model_path(i, f"DT{i}"), None, i, "Decision Tree", spark)
+        cat.publish(i, "Decision Tree", f"DT{i}", cat.model_path(i, f"DT{i}"))
+        cat.upsert_metrics(i, "Decision Tree", 0.9, 0.8, 0.8, "l")
+        cat.save_parameters(i, "Decision Tree", {"max_depth": i})
+        cat.add_layer(i, "Conv2D", "f=8")
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "forget", lambda self: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            cat.delete_project(1)
+    assert cat.resume_deletes() == [1] and cat.resume_deletes() == []
+    cat.delete_project(1)                       # once more changes nothing
+    assert not [f for f in _all_files(root) if f"project-1{os.sep}" in f]
+    for name in ("metrics", "published", "layers", "parameters"):
+        folder = os.path.join(root, name)
+        kept = [n for n in os.listdir(folder) if n.startswith("data-")]
+        assert len(kept) == 1
+        assert {r.project_id for r in spark.read.parquet(os.path.join(folder, kept[0])).collect()} == {12}
+    assert cat.load(cat.dataset(12)).count() == 5 and cat.original(cat.dataset(12)).count() == 40
+    assert cat.model_list(12).count() == 1 and os.path.isdir(cat.model_path(12, "DT12"))
+    assert sorted(r.project_id for r in cat.active_projects().collect()) == ids[1:]
+    with pytest.raises(KeyError):
+        cat.load(cat.dataset(1))
+
+
 def _png(path, w, h, rgb):
     raw = b"".join(b"\x00" + b"".join(bytes(rgb(x, y)) for x in range(w)) for y in range(h))
 
