@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +197,8 @@ def label_encode(df: DataFrame, col: str) -> DataFrame:
 
 def one_hot_values(df: DataFrame, col: str) -> list:
     """Distinct values of ``col``: the names of the one-hot columns, so they define the
-    schema and reach the driver, as many as the result has columns."""
+    schema and reach the driver, as many as the result has columns (``one_hot_sparse``
+    needs none of this)."""
     return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
 
 
@@ -209,6 +211,31 @@ def one_hot(df: DataFrame, col: str, values: Sequence | None = None) -> DataFram
                               .alias(f"{col}_{v}") for v in vals])
 
 
+def one_hot_sparse(df: DataFrame, col: str, out: str | None = None, as_vector: bool = False) -> DataFrame:
+    """O-44 for any number of categories: ``<col>_onehot`` (or ``out``) appended last, the source column
+    dropped: the dictionary's size, and the position of the row's value with a 1.0; a null row has no
+    position. With ``as_vector`` the column is an ML sparse vector instead of a struct.
+
+    The dictionary is the distributed one of the label codes: no value reaches the driver and
+    the schema does not depend on the values."""
+    out = out or f"{col}_onehot"
+    codes = label_codes(df, col).select("_value", F.col("_code").cast("int").alias("_code"))
+    size = codes.agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    j = df.join(codes, F.col(col) == F.col("_value"), "left").crossJoin(F.broadcast(size))      # one row
+    keep = [c for c in df.columns if c != col]
+    if as_vector:
+        # codes past the dictionary are invalid, and their vectors are empty
+        j = j.withColumn(out, F.coalesce("_code", "_size").cast("double"))
+        encoder = OneHotEncoder(inputCols=[out], outputCols=["_vector"], dropLast=True, handleInvalid="keep")
+        model = encoder.fit(codes.select(F.col("_code").cast("double").alias(out)))
+        return model.transform(j).select(*keep, F.col("_vector").alias(out))
+    none = F.col("_code").isNull()
+    return j.select(*keep, F.struct(
+        F.col("_size").alias("size"),
+        F.when(none, F.array().cast("array<int>")).otherwise(F.array("_code")).alias("indices"),
+        F.when(none, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0))).alias("values")).alias(out))
+
+
 # ---------------------------------------------------------------- O-45, O-46
 
 def _bin_labels(n: int, labels: Sequence[str] | None) -> list[str]:

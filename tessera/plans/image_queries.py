@@ -6,11 +6,14 @@ file source itself is tested on generated PNG folders in tests/."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import images as im
 from tessera.operators import models as md
 from tessera.plans.fixtures import payments_labelled, vectors
+from tessera.session import shared_scratch
 from tessera.sources.tables import Tables
 from tessera.streaming import scoring as st
 
@@ -56,6 +59,28 @@ def _stream_scores(s, d):
     return st.run_to_table(s, scored, "scores", "append")
 
 
+def _stream_json_scores(s, d):
+    """The same features as JSON payloads of a file stream; some of them, by rule, cut off, without a feature, with
+    one too many or with text for a number. One row per payload: its class or why it has none."""
+    feats = ["footfall", "total_charge"]
+    t = Tables(s, d)
+    model, _ = md.train_classifier(payments_labelled(t), "payment_id", feats, "klass", "Decision Tree")
+    li = t.lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("double").alias("footfall"),
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total_charge"))
+    orders = st.file_stream(s, f"{d}/orders.parquet").select(F.col("o_orderkey").alias("payment_id"))
+    x, n = orders.join(li, F.col("payment_id") == F.col("l_orderkey"), "left"), F.col("payment_id") % 50
+    full = F.to_json(F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in feats]))
+    payload = (F.when(n == 1, F.substring(full, 1, 12)).when(n == 2, F.to_json(F.struct(F.coalesce("footfall", F.lit(0.0)).alias("footfall"))))
+               .when(n == 3, F.concat(F.lit('{"extra": 1, '), F.substring(full, 2, 1000))).when(n == 4, F.lit('{"footfall": "many", "total_charge": 1}'))
+               .otherwise(full))
+    run = shared_scratch(s, f"json-scores-{uuid.uuid4().hex[:12]}")
+    scores, rejected = st.score_json_stream(x.select("payment_id", payload.alias("payload")), "payload", model, feats,
+                                            f"{run}/out", f"{run}/checkpoint", ["payment_id"])
+    return scores.select("payment_id", "prediction", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select("payment_id", F.lit(None).cast("double").alias("prediction"), "reason"))
+
+
 QUERIES = {
     "image_split": lambda s, d: md.random_split(_img(s, d), "key", 0.1, 0).select("key", "split"),
     "image_equalise_resize": lambda s, d: im.resize(im.equalise(im.embeddings_as_images(
@@ -71,6 +96,7 @@ QUERIES = {
     "stream_daily_events": lambda s, d: st.run_to_table(
         s, st.daily_event_totals(st.file_stream(s, f"{d}/events.parquet")), "daily", "complete"),
     "stream_scores": _stream_scores,
+    "stream_json_scores": _stream_json_scores,
 }
 
 ORACLE = {

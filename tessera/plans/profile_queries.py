@@ -70,6 +70,10 @@ QUERIES = {
         "k", "returnflag"),
     "one_hot": lambda s, d: cl.one_hot(_li(s, d).select("k", "returnflag"), "returnflag",
                                        RETURN_FLAGS),
+    "one_hot_sparse": lambda s, d: cl.one_hot_sparse(
+        Tables(s, d).lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey_onehot.size").alias("size"),
+        F.col("l_partkey_onehot.indices")[0].alias("position")),
     "equal_width_bins": lambda s, d: cl.equal_width_bins(_li(s, d), "quantity", 5).select(
         "k", "quantity", "Bin_quantity"),
     "equal_frequency_bins": lambda s, d: cl.equal_frequency_bins(_li(s, d), "price", 4).select(
@@ -269,6 +273,11 @@ select k, cast(coalesce(c, -1) as int) as returnflag from li left join codes on
 select k, {', '.join(f"cast(case when returnflag = '{v}' then 1 else 0 end as int) as returnflag_{v}"
                      for v in RETURN_FLAGS)}
 from li""",
+    "one_hot_sparse": """
+with codes as (select v, cast(row_number() over (order by v) - 1 as int) as c
+               from (select distinct l_partkey as v from lineitem where l_partkey is not null))
+select l_orderkey, l_linenumber, (select cast(count(*) as int) from codes) as size, c as position
+from lineitem left join codes on l_partkey = v""",
     "equal_width_bins": f"""{LI},
 st as (select min(quantity) as mn, max(quantity) as mx from li)
 select k, quantity,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import shared_scratch
+from tessera.sources.commits import Files
 
 
 def parse_payloads(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
@@ -33,6 +35,58 @@ def score_stream(stream: DataFrame, model: PipelineModel,
     return out.select(*cols)
 
 
+def checked_payloads(df: DataFrame, json_col: str, features: Sequence[str]) -> DataFrame:
+    """The payloads' features as double columns and ``reason``: null, ``malformed`` (no JSON
+    object), ``features`` (some missing, or others than the model was trained with) or
+    ``values`` (a feature that is no number)."""
+    j = F.col(json_col)
+    names = F.json_object_keys(j)
+    wanted = F.array(*[F.lit(f) for f in features])
+    texts = F.from_json(j, T.StructType([T.StructField(f, T.StringType()) for f in features]))
+    out = df.select("*", texts.alias("_p"), names.alias("_n"))
+    out = out.select(*df.columns, *[F.col("_p")[f].try_cast("double").alias(f) for f in features], "_n")
+    bad = None
+    for f in features:
+        bad = F.col(f).isNull() if bad is None else bad | F.col(f).isNull()
+    whole = F.size(F.array_except("_n", wanted)) + F.size(F.array_except(wanted, F.col("_n"))) == 0
+    return out.withColumn("reason", F.when(F.col("_n").isNull(), "malformed").when(~whole, "features")
+                          .when(bad, "values")).drop("_n")
+
+
+def score_json_stream(stream: DataFrame, json_col: str, model: PipelineModel, features: Sequence[str],
+                      out: str, checkpoint: str, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """O-122 over JSON payloads: drain the stream and return (scores, rejected payloads).
+
+    Each micro-batch overwrites its own folders, named by the batch id, so a batch that is replayed
+    after a crash is written once. Payloads that can't be scored go to the rejected table with
+    a reason; no payload is lost."""
+    spark = stream.sparkSession
+    keep = list(keep)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = checked_payloads(batch.select(*keep, json_col), json_col, features).persist()
+        try:
+            scored = model.transform(rows.filter(F.col("reason").isNull()).drop("reason"))
+            scored.select(*keep, *features, "prediction").write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
+            rows.filter(F.col("reason").isNotNull()).select(*keep, json_col, "reason").write.mode("overwrite").parquet(
+                f"{out}/rejected/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    lead = [T.StructField(c, kinds[c]) for c in keep]
+    number = T.StructField("batch", T.IntegerType())
+    scores = T.StructType([*lead, *[T.StructField(f, T.DoubleType()) for f in features],
+                           T.StructField("prediction", T.DoubleType()), number])
+    rejected = T.StructType([*lead, T.StructField(json_col, T.StringType()), T.StructField("reason", T.StringType()), number])
+    # the folders are there after the first batch
+    read = lambda kind, schema: spark.read.schema(schema).parquet(f"{out}/{kind}") \
+        if Files(spark).exists(f"{out}/{kind}") else spark.createDataFrame([], schema)
+    return read("scores", scores), read("rejected", rejected)
+
+
 def daily_event_totals(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Tumbling one-day windows per event type with a watermark for late rows (event time
     read as UTC; window bounds returned as local timestamps like the input)."""

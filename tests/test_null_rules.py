@@ -48,6 +48,22 @@ def test_one_hot_of_many_values(spark):
     assert len(cl.one_hot_values(df, "c")) == 1200
 
 
+def test_sparse_one_hot(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (5, "c")], "k int, c string")
+    got = {r.k: (r.c_onehot.size, r.c_onehot.indices, r.c_onehot["values"]) for r in cl.one_hot_sparse(df, "c").collect()}
+    assert got == {1: (3, [1], [1.0]), 2: (3, [], []), 3: (3, [0], [1.0]), 4: (3, [1], [1.0]), 5: (3, [2], [1.0])}
+    vectors = {r.k: r.c_onehot for r in cl.one_hot_sparse(df, "c", as_vector=True).collect()}
+    assert {k: (v.size, v.indices.tolist()) for k, v in vectors.items()} == {1: (3, [1]), 2: (3, []), 3: (3, [0]), 4: (3, [1]), 5: (3, [2])}
+
+
+def test_sparse_one_hot_of_a_million_values(spark):
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr("id", "id * 7 as c")
+    out = cl.one_hot_sparse(df, "c")
+    assert out.columns == ["id", "c_onehot"]
+    n, size, wrong = out.selectExpr("count(*)", "max(c_onehot.size)", "count_if(c_onehot.indices[0] != id)").first()
+    assert (n, size, wrong) == (1_000_000, 1_000_000, 0)
+
+
 def test_all_points_are_plotted(spark):
     df = spark.range(3000).selectExpr("id k", "id * 2 x", "id * 3 y")
     assert pf.scatter_sample(df, "x", "y", "k").count() == 3000
@@ -56,7 +72,7 @@ def test_all_points_are_plotted(spark):
 
 @pytest.mark.parametrize("algorithm,params", [
     ("Decision Tree", {"max_depth": 31}), ("Decision Tree", {"min_samples_split": 5}),
-    ("Support Vector Machine", {"kernel": "rbf"}), ("Random Forest", {"trees": 3})])
+    ("Support Vector Machine", {"kernel": "sigmoid"}), ("XGBoost", {"booster": "dart"}), ("Random Forest", {"trees": 3})])
 def test_parameters_without_a_counterpart_raise(spark, algorithm, params):
     with pytest.raises(ValueError):
         md.classifier_estimator(algorithm, params)
