@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import r4
-from tessera.operators.lags import ENTITY, MONTH, monthly_panel
+from tessera.operators.lags import ENTITY, MONTH, best_lag, monthly_panel, payer_cells
 from tessera.operators.regressors import (CALENDAR_COLS, regressor_selection, regressor_set,
                                           var_forecast, var_regressor_forecast)
 from tessera.session import ensure_checkpoint_dir
 
 Z95 = 1.959963984540054
 # Model names used in the forecast tables.
+STAGES = ("test", "validation", "future")
+BEST_LAGS = (2, 3)          # the lags that the best one is chosen of
 MODELS = ["moving_average", "arima", "arima_exog", "varmax", "random_forest"]
 OUT_SCHEMA = (f"{ENTITY} string, stage string, model string, {MONTH} date, "
               "predicted double, lower double, upper double, order_desc string")
@@ -300,42 +302,87 @@ def _entity_models(stage: str, horizon: int, max_order: int, exog_cols: list[str
 OUT_SCHEMA_COLS = [ENTITY, "stage", "model", MONTH, "predicted", "lower", "upper", "order_desc"]
 
 
-def forecast_panel(df: DataFrame, lag: int = 2, horizon: int = 3) -> DataFrame:
-    """Monthly series + calendar counts + selected payer regressors, one row per
-    (entity, month), including the ``horizon`` future months (y null), with the
-    temporal split and the VARMAX regressor list (top-2 by mean) per entity."""
-    reg = regressor_set(df, lag, horizon, var_fill=True)
+_JOINED = "\u001f"      # between the entity and the stage in the panel's key
+
+
+def stage_origins(cells: DataFrame, stages: Sequence[str] = STAGES, n_validation: int = 3, n_test: int = 3) -> DataFrame:
+    """Last month that each stage may know, per entity: (entity, stage, origin)."""
+    w = Window.partitionBy(ENTITY).orderBy(F.desc(MONTH))
+    months = cells.select(ENTITY, MONTH).distinct().withColumn("_r", F.row_number().over(w))
+    left = {"future": 0, "validation": n_validation, "test": n_validation + n_test}
+    stage = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(left[s] + 1).alias("_at")) for s in stages]))
+    return months.select("*", stage.alias("_s")).filter(F.col("_r") == F.col("_s._at")).select(
+        ENTITY, "_s.stage", F.col(MONTH).alias("origin"))
+
+
+def as_of(cells: DataFrame, stages: Sequence[str] = STAGES, n_validation: int = 3, n_test: int = 3) -> DataFrame:
+    """The monthly cells as each stage sees them: an entity and stage is an entity of its own,
+    that ends at the stage's origin."""
+    o = stage_origins(cells, stages, n_validation, n_test)
+    return cells.join(o, ENTITY).filter(F.col(MONTH) <= F.col("origin")).withColumn(
+        ENTITY, F.concat_ws(_JOINED, ENTITY, "stage")).drop("stage", "origin")
+
+
+def by_stage(df: DataFrame) -> DataFrame:
+    """Entity and stage of the panel's key."""
+    stage = F.substring_index(ENTITY, _JOINED, -1)
+    entity = F.expr(f"left({ENTITY}, length({ENTITY}) - length(substring_index({ENTITY}, '{_JOINED}', -1)) - 1)")
+    rest = [c for c in df.columns if c not in (ENTITY, "stage")]
+    return df.select(entity.alias(ENTITY), stage.alias("stage"), *rest)
+
+
+def forecast_panel(df: DataFrame, lag: int | None = None, horizon: int = 3, stages: Sequence[str] = STAGES,
+                   n_validation: int = 3, n_test: int = 3) -> tuple[DataFrame, list[str], DataFrame]:
+    """O-84: (panel, feature names, series with its temporal split).
+
+    The panel has one row per (entity, stage, month): payments, calendar counts and selected payer
+    regressors up to the stage's origin, and the ``horizon`` months after it (y null,
+    split ``future``). Lags (``lag``, or the entity's best one as of the origin), percentages,
+    back-fills, the selection and the VARMAX regressors (top-2 by mean) come from
+    months up to the origin alone, so no stage sees what it is tested on. The
+    fact table is aggregated once, for all stages."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # a few rows per entity and month: written once, for the series, the origins and the panel
+    cells = payer_cells(df).checkpoint(eager=True)
+    split = temporal_split(cells.groupBy(ENTITY, MONTH).agg(F.sum("total_payments").cast("double").alias("y")),
+                           n_validation, n_test)
+    known = as_of(cells, stages, n_validation, n_test)
+    if lag is not None:
+        reg = regressor_set(known, lag, horizon, var_fill=True)
+    else:
+        best = best_lag(known.withColumn("posted_date", F.col(MONTH))).select(ENTITY, "best_lag")
+        reg = None
+        for n in BEST_LAGS:
+            mine = known.join(best.filter(F.col("best_lag") == n).select(ENTITY), ENTITY, "left_semi")
+            part = regressor_set(mine, n, horizon, var_fill=True)
+            reg = part if reg is None else reg.unionByName(part)
     sel = regressor_selection(reg)
     top = sel.filter("varmax").groupBy(ENTITY).agg(
         F.array_join(F.array_sort(F.collect_list("feature")), "|").alias("_varmax"))
     keep = sel.filter("selected").select(ENTITY, "feature")
     pay = reg.join(keep, [ENTITY, "feature"], "left_semi")
     cal = reg.filter(F.col("feature").isin(*CALENDAR_COLS))
-    feats = pay.unionByName(cal)
+    feats = pay.unionByName(cal).checkpoint(eager=True)
     names = [r[0] for r in feats.select("feature").distinct().orderBy("feature").collect()]
     wide = feats.groupBy(ENTITY, MONTH, "is_future").pivot("feature", names).agg(F.first("value"))
     wide = wide.fillna(0.0, subset=names)
-    series = monthly_series(df)
-    split = temporal_split(series)
-    out = wide.join(split, [ENTITY, MONTH], "left").join(top, ENTITY, "left")
-    out = out.withColumn("split", F.coalesce("split", F.lit("future")))
-    # The panel (entities x months rows) feeds several model fits; a reliable
-    # checkpoint in spark.checkpoint.dir computes it once and cuts the lineage
-    # back to the fact table, so the fits plan over a small scan.
-    ensure_checkpoint_dir(df.sparkSession)
-    return out.checkpoint(eager=True), names
-
-
-def statistical_forecasts(panel: DataFrame, names: Sequence[str], stage: str = "test",
+    y = known.groupBy(ENTITY, MONTH).agg(F.sum("total_payments").cast("double").alias("y"))
+    out = wide.join(y, [ENTITY, MONTH], "left").join(top, ENTITY, "left")
+    out = out.withColumn("split", F.when(F.col("is_future"), "future").otherwise("train"))
+    # The panel feeds several model fits; a reliable checkpoint in spark.checkpoint.dir computes
+    # it once, so the fits plan over a small scan.
+    return out.checkpoint(eager=True), names, split
+
+
+def statistical_forecasts(panel: DataFrame, names: Sequence[str],
                           horizon: int = 3, max_order: int = 7) -> DataFrame:
-    """O-90..O-93: ARIMA without and with weekday regressors, and VARMAX, per entity,
-    fitted on the stage's window and predicting the next months."""
-    p = panel.withColumn("_fit", stage_window("split", stage))
-    if stage == "future":
-        p = p.withColumn("_fit", F.col("split") != "future")
+    """O-90..O-93: ARIMA without and with weekday regressors, and VARMAX, per entity and stage,
+    fitted up to the stage's origin and predicting the next months."""
+    p = panel.withColumn("_fit", F.col("split") != "future")
     cols = [ENTITY, MONTH, "y", "_fit", "_varmax", *names]
-    fn = _entity_models(stage, horizon, max_order, list(names), "_varmax")
-    return p.select(*cols).groupBy(ENTITY).applyInPandas(fn, OUT_SCHEMA)
+    fn = _entity_models("future", horizon, max_order, list(names), "_varmax")
+    return by_stage(p.select(*cols).groupBy(ENTITY).applyInPandas(fn, OUT_SCHEMA)).select(*OUT_SCHEMA_COLS)
 
 
 def best_arima(errors: DataFrame) -> DataFrame:
@@ -347,13 +394,21 @@ def best_arima(errors: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- O-87, O-88
 
-def forest_forecast(panel: DataFrame, names: Sequence[str], stage: str = "test",
+def forest_forecast(panel: DataFrame, names: Sequence[str], stages: Sequence[str] = STAGES,
                     horizon: int = 3, n_trees: int = 100, seed: int = 1) -> DataFrame:
-    """O-87 / O-88: one random forest (100 trees, 1 feature per split, seed 1) pooled over
+    """O-87 / O-88: per stage one random forest (100 trees, 1 feature per split, seed 1) pooled over
     all entities, an entity told by the level and spread of its fitted months (so any
     number of entities fits); interval from the per-tree predictions with values outside 1.5 IQR dropped (all kept if none remain)."""
-    fitw = stage_window("split", stage) if stage != "future" else (F.col("split") != "future")
-    p = panel.withColumn("_fit", fitw).withColumn("_moy", F.month(MONTH).cast("double"))
+    out = None
+    for stage in stages:
+        mine = panel.filter(F.substring_index(ENTITY, _JOINED, -1) == stage)
+        one = _forest(mine, names, horizon, n_trees, seed)
+        out = one if out is None else out.unionByName(one)
+    return by_stage(out).select(*OUT_SCHEMA_COLS)
+
+
+def _forest(panel: DataFrame, names: Sequence[str], horizon: int, n_trees: int, seed: int) -> DataFrame:
+    p = panel.withColumn("_fit", F.col("split") != "future").withColumn("_moy", F.month(MONTH).cast("double"))
     fitted = p.filter(F.col("_fit") & F.col("y").isNotNull())
     level = fitted.groupBy(ENTITY).agg(F.avg("y").alias("_ent_mean"), F.stddev_pop("y").alias("_ent_std"))
     p = p.join(level, ENTITY, "left")
@@ -378,7 +433,7 @@ def forest_forecast(panel: DataFrame, names: Sequence[str], stage: str = "test",
     scored = scored.withColumn("_lo_f", iqr_lo).withColumn("_hi_f", iqr_hi)
     kept = F.filter("_arr", lambda x: (x >= F.col("_lo_f")) & (x <= F.col("_hi_f")))
     scored = scored.withColumn("_kept", F.when(F.size(kept) > 0, kept).otherwise(F.col("_arr")))
-    return scored.select(ENTITY, F.lit(stage).alias("stage"), F.lit("random_forest").alias("model"),
+    return scored.select(ENTITY, F.lit("random_forest").alias("model"),
                          MONTH, F.col("prediction").alias("predicted"),
                          q("_kept", 0.025).alias("lower"), q("_kept", 0.975).alias("upper"),
                          F.lit(f"trees={n_trees}").alias("order_desc"))
@@ -397,15 +452,13 @@ def _arr_quantile(c: str, p: float):
 
 # ---------------------------------------------------------------- O-84, O-94..O-97
 
-def all_candidates(df: DataFrame, stage: str = "test", lag: int = 2, horizon: int = 3,
+def all_candidates(df: DataFrame, stages: Sequence[str] = STAGES, lag: int | None = None, horizon: int = 3,
                    max_order: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Every candidate model's predictions for a stage, and the series with its split."""
-    panel, names = forecast_panel(df, lag, horizon)
-    panel = panel.persist()
-    split = panel.filter(F.col("split") != "future").select(ENTITY, MONTH, "y", "split")
-    ma = moving_average(split, stage, horizon)
-    stat = statistical_forecasts(panel, names, stage, horizon, max_order)
-    rf = forest_forecast(panel, names, stage, horizon)
+    """Every candidate model's predictions for the stages, and the series with its split."""
+    panel, names, split = forecast_panel(df, lag, horizon, stages)
+    ma = by_stage(moving_average(panel.filter("split <> 'future'"), "future", horizon)).select(*OUT_SCHEMA_COLS)
+    stat = statistical_forecasts(panel, names, horizon, max_order)
+    rf = forest_forecast(panel, names, stages, horizon)
     return ma.unionByName(stat).unionByName(rf), split
 
 
@@ -423,23 +476,28 @@ def choose_model(errors: DataFrame, margin: float = 10.0) -> DataFrame:
                         F.col("mape").alias("best_mape"))
 
 
-def forecast_report(df: DataFrame, lag: int = 2, horizon: int = 3,
+def forecast_report(df: DataFrame, lag: int | None = None, horizon: int = 3,
                     max_order: int = 7) -> DataFrame:
     """O-84 / O-94..O-97: test-stage candidates and errors, model choice, the chosen model
     refitted on train+test and scored on validation, then on all data for the
     ``horizon`` unseen months; one long table with a ``series`` column
-    (actual / predicted / lower / upper) per entity, stage and month."""
-    cand_t, split = all_candidates(df, "test", lag, horizon, max_order)
-    err_t = forecast_errors(cand_t, split)
-    choice = choose_model(err_t)
-    cand_v, _ = all_candidates(df, "validation", lag, horizon, max_order)
-    cand_f, _ = all_candidates(df, "future", lag, horizon, max_order)
-    chosen = cand_v.unionByName(cand_f).join(
-        choice.select(ENTITY, F.col("chosen_model").alias("model")), [ENTITY, "model"], "left_semi")
+    (actual / predicted / lower / upper, and mape / smape without a month) per entity, stage and month.
+
+    The panel is built once for the three stages (a rolling origin: each sees only months up to its
+    own); the candidates are written once."""
+    cand, split = all_candidates(df, STAGES, lag, horizon, max_order)
+    cand = cand.checkpoint(eager=True)          # entities x stages x models x months
+    errors = forecast_errors(cand.filter("stage <> 'future'"), split)
+    choice = choose_model(errors.filter("stage = 'test'")).select(ENTITY, F.col("chosen_model").alias("model"))
+    chosen = cand.filter("stage <> 'test'").join(choice, [ENTITY, "model"], "left_semi")
     pred = chosen.select(ENTITY, "stage", "model", MONTH, F.inline(F.array(
         F.struct(F.lit("predicted").alias("series"), F.col("predicted").alias("value")),
         F.struct(F.lit("lower").alias("series"), F.col("lower").alias("value")),
         F.struct(F.lit("upper").alias("series"), F.col("upper").alias("value")))))
+    score = errors.join(choice, [ENTITY, "model"], "left_semi").select(
+        ENTITY, "stage", "model", F.lit(None).cast("date").alias(MONTH), F.inline(F.array(
+            F.struct(F.lit("mape").alias("series"), F.col("mape").alias("value")),
+            F.struct(F.lit("smape").alias("series"), F.col("smape").alias("value")))))
     act = split.select(ENTITY, F.col("split").alias("stage"), F.lit("actual").alias("model"),
                        MONTH, F.lit("actual").alias("series"), F.col("y").alias("value"))
-    return act.unionByName(pred)
+    return act.unionByName(pred).unionByName(score)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import r4
 from tessera.operators import forecast as fc
 from tessera.operators import regressors as rg
+from tessera.operators.lags import payer_cells
 from tessera.plans.cashflow_queries import M, P
 from tessera.plans.fixtures import payments
 from tessera.sources.tables import Tables
@@ -33,20 +34,29 @@ def _ma_errors(s, d):
 
 
 def _stat(s, d):
-    panel, names = fc.forecast_panel(_p(s, d), 2, 3)
-    return fc.statistical_forecasts(panel, names, "test", 3, 7)
+    panel, names, _ = fc.forecast_panel(_p(s, d), stages=["test"])
+    return fc.statistical_forecasts(panel, names)
 
 
 def _forest(s, d):
-    panel, names = fc.forecast_panel(_p(s, d), 2, 3)
-    return fc.forest_forecast(panel, names, "test", 3)
+    panel, names, _ = fc.forecast_panel(_p(s, d), stages=["test"])
+    return fc.forest_forecast(panel, names, ["test"])
 
 
 def _choice(s, d):
-    cand, split = fc.all_candidates(_p(s, d), "test", 2, 3, 7)
+    cand, split = fc.all_candidates(_p(s, d), ["test"])
     return fc.choose_model(fc.forecast_errors(cand, split))
 
 
+def _best_arima(s, d):
+    panel, names, split = fc.forecast_panel(_p(s, d), stages=["test", "validation"])
+    return fc.best_arima(fc.forecast_errors(fc.statistical_forecasts(panel, names), split))
+
+
+def _origins(s, d):
+    return fc.stage_origins(payer_cells(_p(s, d)))
+
+
 QUERIES = {
     "temporal_split": lambda s, d: _split(s, d),
     "moving_average_forecast": _ma,
@@ -55,7 +65,9 @@ QUERIES = {
     "forest_forecast": _forest,
     "var_regressors": lambda s, d: fc.var_regressor_forecast(rg.regressor_set(_p(s, d), 2, 3), 3),
     "model_choice": _choice,
-    "forecast_report": lambda s, d: fc.forecast_report(_p(s, d), 2, 3, 7),
+    "forecast_report": lambda s, d: fc.forecast_report(_p(s, d)),
+    "best_arima": _best_arima,
+    "stage_origins": _origins,
 }
 
 SERIES = f"""{P},
@@ -75,6 +87,10 @@ mf as (select billing_entity, 'test' as stage, 'moving_average' as model,
 
 ORACLE = {
     "temporal_split": f"{SERIES} select billing_entity, month_start, y, split from sp",
+    "stage_origins": f"""{SERIES},
+r as (select billing_entity, month_start, row_number() over (partition by billing_entity order by month_start desc) as r from mp)
+select billing_entity, stage, month_start as origin
+from r join (values ('future', 1), ('validation', 4), ('test', 7)) s(stage, at) on r = at""",
     "moving_average_forecast": f"""{SERIES}
 select billing_entity, stage, model, month_start, round(predicted, 4) as predicted,
   round(lower, 4) as lower, round(upper, 4) as upper from mf""",

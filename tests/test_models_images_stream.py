@@ -8,6 +8,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from tessera.operators import forecast as fc
 from tessera.operators import images as im
+from tessera.operators import lags as lg
 from tessera.operators import models as md
 from tessera.operators import sampling as sp
 from tessera.plans.fixtures import doc_quality, payments, payments_labelled
@@ -119,7 +120,7 @@ def test_ar1_recovered():
 
 def test_forecast_intervals_and_choice(spark):
     p = payments(Tables(spark, SF_SMALL))
-    cand, split = fc.all_candidates(p, "test", 2, 3, 2)
+    cand, split = fc.all_candidates(p, ["test"], 2, 3, 2)
     rows = cand.collect()
     assert {r.model for r in rows} == set(fc.MODELS)
     assert all(r.lower <= r.predicted + 1e-6 and r.predicted <= r.upper + 1e-6 for r in rows)
@@ -127,6 +128,39 @@ def test_forecast_intervals_and_choice(spark):
     assert len(ch) == 5
 
 
+def test_later_months_change_no_earlier_forecast(spark):
+    p = payments(Tables(spark, SF_SMALL))
+    months = [r[0] for r in p.select(F.trunc("posted_date", "month").alias("m")).distinct().orderBy(F.desc("m")).limit(6).collect()]
+    late = F.col("posted_date") >= F.lit(months[2])              # the validation months
+    changed = p.withColumn("total_payments", F.when(late, F.col("total_payments") * 7 + 100).otherwise(F.col("total_payments"))
+                           .cast(p.schema["total_payments"].dataType))
+    changed = changed.withColumn("footfall", F.when(late, F.col("footfall") * 3).otherwise(F.col("footfall")))
+    got = []
+    for df in (p, changed):
+        cand, split = fc.all_candidates(df, ["test", "validation", "future"], None, 3, 2)
+        rows = {(r.billing_entity, r.stage, r.model, r.month_start): (r.predicted, r.lower, r.upper, r.order_desc) for r in cand.collect()}
+        got.append(rows)
+        ends = {r.billing_entity: r.origin for r in fc.stage_origins(lg.payer_cells(df), ["test"]).collect()}
+        assert all(k[3] > ends[k[0]] for k in rows)
+    same = {k for k in got[0] if got[0][k] == got[1][k]}
+    assert got[0].keys() == got[1].keys()
+    assert {k for k in got[0] if k[1] in ("test", "validation")} <= same
+    assert not any(k in same for k in got[0] if k[1] == "future" and k[2] == "moving_average")
+
+
+def test_report_has_the_validation_score(spark):
+    rows = E.queries()["forecast_report"](spark, SF_SMALL).collect()
+    scored = {(r.billing_entity, r.stage) for r in rows if r.series == "mape" and r.value is not None}
+    assert {s for _, s in scored} == {"test", "validation"} and len(scored) == 10
+    mine = {(r.billing_entity, r.month_start): r.value for r in rows if r.series == "actual"}
+    for e, _ in scored:
+        p = [(mine[e, r.month_start], r.value) for r in rows if (r.billing_entity, r.stage, r.series) == (e, "validation", "predicted")]
+        want = np.mean([abs((a - v) / a) for a, v in p]) * 100
+        assert len(p) == 3 and any(r.series == "mape" and r.stage == "validation" and abs(r.value - want) < 1e-3
+                                   for r in rows if r.billing_entity == e)
+    assert len([r for r in rows if r.stage == "future" and r.series == "predicted"]) == 15
+
+
 def test_image_layers_shapes(spark):
     img = E.queries()["image_conv_pool"](spark, SF_SMALL).collect()
     r = img[0]
