@@ -127,16 +127,20 @@ def describe_by(df: DataFrame, keys: Sequence[str], value_col: str) -> DataFrame
 def basic_stats(df: DataFrame) -> DataFrame:
     """O-57: statistics of daily, weekly and monthly sums side by side per entity.
 
-    The three period tables are unioned with a level tag so one aggregation
-    (one shuffle on (entity, level)) computes all statistics, and a pivot with
-    a fixed value list puts the levels side by side.
+    The payments are summed per day once; each day counts for its day, ISO week and month, which
+    are summed from the days in one more aggregation with a level tag, so the fact table
+    is read once. A pivot with a fixed value list puts the levels side by side.
     """
-    daily = daily_totals(df).select(ENTITY, F.lit("Daily_stats").alias("level"), "total_payments")
-    weekly = weekly_totals(df).select(ENTITY, F.lit("Weekly_stats").alias("level"), "total_payments")
-    monthly = monthly_totals(df).select(ENTITY, F.lit("Monthly_stats").alias("level"),
-                                        "total_payments")
-    long = describe_by(daily.unionByName(weekly).unionByName(monthly), [ENTITY, "level"],
-                       "total_payments")
+    days = df.groupBy(ENTITY, "posted_date").agg(money_sum("total_payments").alias("total_payments"))
+    d = F.col("posted_date")
+    period = F.explode(F.array(
+        F.struct(F.lit("Daily_stats").alias("level"), d.cast("string").alias("period")),
+        F.struct(F.lit("Weekly_stats").alias("level"),
+                 F.concat_ws("-", cal.iso_week_year(d).cast("string"), cal.iso_week(d).cast("string")).alias("period")),
+        F.struct(F.lit("Monthly_stats").alias("level"), cal.month_start(d).cast("string").alias("period"))))
+    sums = days.select(ENTITY, "total_payments", period.alias("_p")).groupBy(ENTITY, "_p.level", "_p.period").agg(
+        money_sum("total_payments").alias("total_payments"))
+    long = describe_by(sums, [ENTITY, "level"], "total_payments")
     wide = (long.groupBy(ENTITY, "statistic")
             .pivot("level", ["Daily_stats", "Weekly_stats", "Monthly_stats"])
             .agg(F.first("value")))

@@ -90,7 +90,7 @@ ORACLE = {
     "stage_origins": f"""{SERIES},
 r as (select billing_entity, month_start, row_number() over (partition by billing_entity order by month_start desc) as r from mp)
 select billing_entity, stage, month_start as origin
-from r join (values ('future', 1), ('validation', 4), ('test', 7)) s(stage, at) on r = at""",
+from r join (values ('future', 1), ('validation', 4), ('test', 7)) s(stage, k) on r = k""",
     "moving_average_forecast": f"""{SERIES}
 select billing_entity, stage, model, month_start, round(predicted, 4) as predicted,
   round(lower, 4) as lower, round(upper, 4) as upper from mf""",

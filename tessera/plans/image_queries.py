@@ -104,6 +104,13 @@ ORACLE = {
 select vec_id as key, case when row_number() over (order by (vec_id * 2654435761) % 4294967296,
   vec_id) - 1 < ceil(count(*) over () * 0.1) then 'test' else 'train' end as split
 from embeddings""",
+    "image_categories": """
+select cast(label as varchar) as label, count(*) as n_images,
+       min('/images/train/' || label || '/' || vec_id || '.png') as first_image
+from embeddings group by label""",
+    "stream_scores": """
+select o_orderkey as payment_id, cast(case when n >= 5 then 2 when n >= 3 then 1 else 0 end as double) as prediction
+from (select o_orderkey, count(l_orderkey) as n from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey)""",
     "stream_daily_events": """
 select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end,
   event_type, count(*) as n_events, sum(cast(value as decimal(18,2))) as total_value
