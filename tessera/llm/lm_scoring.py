@@ -27,8 +27,8 @@ from tessera.llm.common import U64, chunks, id_text, mix64, text_buffers, word_h
 
 BACKOFF, ORDER = 0.4, 3
 CHUNK_TEXT = 8 << 20            # text whose n-grams are combined before they are dealt out
-PASSES = 3                      # shares of the n-grams; one at a time lies on disk
-PARTS = 2                       # shares of the chunks that meet their counts at one time
+PASSES = 2                      # shares of the n-grams; one at a time lies on disk
+PARTS = 3                       # shares of the chunks that meet their counts at one time
 OUT_ROWS = 1 << 16
 _MARKS = [0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 MOST_ORDER = len(_MARKS) - 1
@@ -113,10 +113,12 @@ def _score(order: int, backoff: float, least: int):
         def count(g: np.ndarray) -> np.ndarray:
             out = np.where(g != 0, least, 0)
             if len(known):
-                at = np.searchsorted(known, g)
+                order = np.argsort(g)           # neighbours in order look at neighbouring places
+                wanted = g[order]
+                at = np.searchsorted(known, wanted)
                 at[at == len(known)] = 0
-                hit = (known[at] == g) & (g != 0)
-                out[hit] = n[at[hit]]
+                hit = (known[at] == wanted) & (wanted != 0)
+                out[order[hit]] = n[at[hit]]
             return out
         have = [count(g) for g in grams]
         # an unseen word counts as one
