@@ -3,9 +3,10 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document; a review
 table may vote too. Expectation-maximisation over the counts of vote patterns (at most
 3 to the number of labellers, counted over all documents) estimates how each labeller
-votes for either class. The posterior labels of a bounded sample then train a linear
-scorer of hashed words, word beginnings and votes, which scores every document. The
-same is done for a second target, toxic texts.
+votes for either class, the reviews too. The posterior labels of a bounded hash sample of
+all documents then train a linear scorer of hashed words, word beginnings and votes,
+which scores every document. The same is done for a second target, toxic texts.
+A fifth of the reviewed documents (by hash) is seen by neither and measures the result.
 
 The texts are read where they lie and never shuffled: votes, sample and scores are
 passes over the scan; the weights sent to the tasks have a fixed bound.
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tessera.llm.common import U64, chunks, fresh, mix64, text_buffers, word_hashes, word_spans
 
-SAMPLE_DOCS = 20_000        # reviewed documents the scorer is fitted on (about so many at most)
+SAMPLE_DOCS = 20_000        # documents the scorer is fitted on (about so many)
+HELD = 5                    # of so many reviewed documents one is held out
 FEATURES = 4096             # hashed features kept for each target
 LEAST_DOCS = 5              # sample documents a feature occurs in
 LEAST_Z = 4.0               # standard errors by which its share of the class must differ
@@ -35,19 +37,25 @@ ITERATIONS = 100
 REGULARISED = 2e-4
 ABSTAIN = -1
 
-#: Frequent words of English, German, French and Spanish, and insults.
+REVIEW_RIGHT, REVIEW_WEIGHT = 0.98, 50.0    # what is thought of reviews before the first round, as so many rows
+
+#: Frequent words of English, German, French and Spanish, words for people and
+#: things held in contempt, and words that address someone.
 STOP_WORDS = ("the of and to in is that it for was with as on be at by this are or an from not have "
               "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an er "
               "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se "
               "el que los del las por con una su para al lo como más pero sus le ya o y a").split()
-INSULTS = ("idiot moron pathetic clown worthless stupid loser scum trash disgusting dumb imbecile "
-           "bastard vermin filth").split()
+INSULTS = "idiot moron clown loser scum imbecile bastard vermin".split()
+CONTEMPT = "pathetic worthless stupid trash disgusting dumb filth scum vermin".split()
+ADDRESS = "you your yours yourself u ur du dein deine dich ihr vous votre tu toi tes usted ustedes vosotros tus".split()
 SYMBOLS = b"#%$&*|<>{}[]\\^~=_"
 SENTENCE_END = b".!?\"':;"
 
-LABELLERS = ("symbols", "repeats", "variety", "stop_words", "lines", "sentences", "word_length", "capitals", "insults")
+LABELLERS = ("symbols", "repeats", "variety", "stop_words", "lines", "sentences", "word_length", "capitals",
+             "insults", "contempt", "insult_share", "several", "addressed")
 FOR_QUALITY = (0, 1, 2, 3, 4, 5, 6, 7)
-FOR_TOXIC = (8,)
+FOR_TOXIC = (8, 9, 10, 11, 12)
+TARGETS = (("quality", FOR_QUALITY, 0.8), ("toxic", FOR_TOXIC, 0.1))
 
 
 def _hashes(words) -> np.ndarray:
@@ -66,10 +74,10 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Labellers:
-    """Votes (1 good, 0 bad, -1 none; for insults 1 toxic) and hashed features of a chunk."""
+    """Votes (1 good, 0 bad, -1 none; of the toxic ones 1 toxic, 0 calm) and hashed features of a chunk."""
 
     def __init__(self):
-        self.stop, self.insults = _hashes(STOP_WORDS), _hashes(INSULTS)
+        self.stop, self.insults, self.contempt, self.address = map(_hashes, (STOP_WORDS, INSULTS, CONTEMPT, ADDRESS))
         self.symbol, self.ending = np.zeros(256, bool), np.zeros(256, bool)
         self.symbol[list(SYMBOLS)] = True
         self.ending[list(SENTENCE_END)] = True
@@ -108,9 +116,23 @@ class Labellers:
             _vote((n_lines >= 4) & (same < 0.1), (n_lines >= 4) & (same > 0.5)),
             _vote(ended >= 0.5, long & (ended < 0.1)), _vote((length >= 2) & (length <= 12), (length < 2) | (length > 20)),
             _vote(capitals < 0.2, (capitals > 0.5) & long | (capitals > 0.8)),
-            np.where(_sums(np.isin(bare, self.insults), first) > 0, 1, ABSTAIN)], axis=1).astype(np.int8)
+            *self._toxic(bare, row, first, long)], axis=1).astype(np.int8)
         return votes, features
 
+    def _toxic(self, bare: np.ndarray, row: np.ndarray, first: np.ndarray, long: np.ndarray) -> list[np.ndarray]:
+        insult, contempt, address = (np.isin(bare, x) for x in (self.insults, self.contempt, self.address))
+        rude = insult | contempt
+        near = np.zeros(len(bare), bool)            # a word of address at most three words away
+        for d in (1, 2, 3):
+            same = row[d:] == row[:-d]
+            near[d:] |= address[:-d] & same
+            near[:-d] |= address[d:] & same
+        n, total = np.maximum(np.diff(first), 1), _sums(rude, first)
+        none = total == 0
+        return [_vote(_sums(insult, first) > 0, long & none), _vote(_sums(contempt, first) > 0, long & none),
+                _vote(total / n > 0.002, long & none), _vote(total >= 2, long & none),
+                _vote(_sums(rude & near, first) > 0, np.zeros(len(n), bool))]
+
     def _lines(self, raw: np.ndarray, bounds: np.ndarray):
         """Lines per row, the share that repeat an earlier one, the share that end a sentence."""
         if not len(raw):
@@ -139,33 +161,44 @@ _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, reviewer: int | None, prior: float,
              rounds: int = 50) -> tuple[np.ndarray, float]:
-    """EM for votes in {-1, 0, 1}: table[class, labeller, vote + 1] and the share of class
-    1. The reviewer's column (if any) is taken as 99.5 % right throughout; the labellers
-    start from their votes on reviewed rows, or else from rare false alarms (a vote
-    against the usual class is right more often than a vote for it)."""
+    """EM for votes in {-1, 0, 1}: table[class, labeller, vote + 1] and the share of class 1.
+
+    Labellers start from rare false alarms (a vote against the usual class is right more
+    often than a vote for it). Where a reviewer's column is given, it starts as mostly right, worth
+    REVIEW_WEIGHT rows, and the others from their votes on the reviewed rows, worth as many rows
+    as these are; then all of them, the reviewer too, are estimated alike."""
     m = patterns.shape[1]
     usual = int(prior >= 0.5)
-    table = np.empty((2, m, 3))
+    table, weight = np.empty((2, m, 3)), np.full(m, 2.0)
     for j in range(m):
         none = np.average(patterns[:, j] == ABSTAIN, weights=counts) if counts.sum() else 0.5
-        alarm = {usual: 0.02, 1 - usual: 0.4} if j != reviewer else {usual: 0.005, 1 - usual: 0.995}
+        alarm = {usual: 0.02, 1 - usual: 0.4} if j != reviewer else {usual: 1 - REVIEW_RIGHT, 1 - usual: REVIEW_RIGHT}
         for y in (0, 1):
             table[y, j, 0], table[y, j, 1 + usual], table[y, j, 2 - usual] = none, (1 - none) * (1 - alarm[y]), (1 - none) * alarm[y]
-    start = table.copy()
 
-    def fit_to(p: np.ndarray, weight: np.ndarray) -> None:
-        for y, w in ((0, weight * (1 - p)), (1, weight * p)):
-            for j in (j for j in range(m) if j != reviewer):
+    def fit_to(p: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = start.copy()
+        for y, w in ((0, rows * (1 - p)), (1, rows * p)):
+            for j in range(m):
                 seen = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
-                table[y, j] = (seen + 2 * start[y, j]) / (seen.sum() + 2)
+                out[y, j] = (seen + weight[j] * start[y, j]) / (seen.sum() + weight[j])
+        return out
 
+    start = table
     if reviewer is not None:
         review = patterns[:, reviewer]
-        fit_to(review == 1, counts * (review != ABSTAIN))
+        reviewed = counts * (review != ABSTAIN)
+        if reviewed.sum():
+            start = fit_to(review == 1, reviewed, table)
+            start[:, reviewer] = table[:, reviewer]
+            weight[:] = np.maximum(reviewed.sum(), 2.0)
+            weight[reviewer] = REVIEW_WEIGHT
+            prior = (reviewed @ (review == 1) + 1) / (reviewed.sum() + 2)
+    table = start
     for _ in range(rounds):
         p = posterior(patterns, table, prior)
         prior = (counts @ p + 1) / (counts.sum() + 2)
-        fit_to(p, counts)
+        table = fit_to(p, counts, start)
     return table, float(prior)
 
 
@@ -204,8 +237,8 @@ def _examples(tables: dict):
                 votes, features = label(off[i:j + 1], data)
                 bound = np.r_[0, np.cumsum([len(f) for f in features])].astype(np.int32)
                 p = [pa.array(posterior(np.c_[votes[:, list(mine)].astype(int), review[t][i:j]], *tables[t]))
-                     for t, mine in (("quality", FOR_QUALITY), ("toxic", FOR_TOXIC))]
-                judged = (review["toxic"][i:j] != ABSTAIN) | (votes[:, FOR_TOXIC[0]] != ABSTAIN)
+                     for t, mine, _ in TARGETS]
+                judged = (review["toxic"][i:j] != ABSTAIN) | (votes[:, list(FOR_TOXIC)] != ABSTAIN).any(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), _rows_of(votes),
                      pa.ListArray.from_arrays(bound, pa.array(np.concatenate(features).view(np.int64))),
@@ -309,37 +342,51 @@ def best_limit(margin: np.ndarray, truth: np.ndarray) -> float:
     return float((lo + hi) / 2)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a document's review is kept from the fit."""
+    return F.pmod(F.xxhash64(F.lit("held"), doc_id), F.lit(HELD)) == 0
+
+
+def seen_reviews(labels: DataFrame) -> DataFrame:
+    """One row per reviewed document whose review may be seen."""
+    return labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.max("quality").cast("tinyint").alias("quality"), F.max("toxic").cast("tinyint").alias("toxic"))
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None,
         sample_docs: int = SAMPLE_DOCS) -> dict[str, Scorer | None]:
     """Scorers for quality and toxic. `labels` has doc_id, quality and toxic (0, 1 or
-    null) of some documents; without it the scorer learns from the heuristics alone."""
+    null) of some documents: votes like the others. Without it there is no reviewer."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     m = len(LABELLERS)
     votes = src.mapInArrow(_votes, "doc_id long, votes array<tinyint>")
-    if labels is not None:
-        one = labels.where("doc_id is not null").groupBy("doc_id").agg(
-            F.max("quality").cast("tinyint").alias("quality"), F.max("toxic").cast("tinyint").alias("toxic"))
-        votes = votes.join(one, "doc_id", "left")
-    else:
-        none = F.lit(None).cast("tinyint")
+    none = F.lit(None).cast("tinyint")
+    one = None if labels is None else seen_reviews(labels)
+    if one is None:
         votes = votes.withColumns({"quality": none, "toxic": none})
-    seen = votes.groupBy("votes", "quality", "toxic").count().collect()      # at most 9 * 3 ** labellers rows
+    else:       # rows without an id have no review, and don't meet on a key
+        votes = votes.where("doc_id is not null").join(one, "doc_id", "left").unionByName(
+            votes.where("doc_id is null").withColumns({"quality": none, "toxic": none}))
+    cases = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.slice("votes", mine[0] + 1, len(mine)).alias("votes"),
+                                         F.col(t).alias("review")) for t, mine, _ in TARGETS])).alias("c")
+    seen = votes.select(cases).groupBy("c.target", "c.votes", "c.review").count().collect()     # at most 3 ** (votes + 1) a target
     if not seen:
         return {"quality": None, "toxic": None}
-    total = sum(r["count"] for r in seen)
     tables = {}
-    for target, mine, prior in (("quality", FOR_QUALITY, 0.8), ("toxic", FOR_TOXIC, 0.1)):
-        pattern = np.array([[*(r.votes[j] for j in mine), ABSTAIN if r[target] is None else r[target]] for r in seen])
-        tables[target] = estimate(pattern, np.array([r["count"] for r in seen], float), len(mine), prior)
-    if labels is not None:
-        n = one.count()
-        share = min(1.0, sample_docs / max(n, 1))
-        picked = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        base = src.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", "toxic")
+    for target, mine, prior in TARGETS:
+        rows = [r for r in seen if r.target == target]
+        pattern = np.array([[*r.votes, ABSTAIN if r.review is None else r.review] for r in rows])
+        tables[target] = estimate(pattern, np.array([r["count"] for r in rows], float), None if one is None else len(mine), prior)
+    total = sum(r["count"] for r in seen if r.target == "quality")
+    share = int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
+    picked = lambda key: F.pmod(key, F.lit(1 << 30)) < share
+    # documents are drawn by their id, those without one by their text
+    base = src.where(picked(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    if one is None:
+        base = base.withColumns({"quality": none, "toxic": none})
     else:
-        share = min(1.0, sample_docs / max(total, 1))
-        base = src.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))) \
-            .withColumns({"quality": F.lit(None).cast("tinyint"), "toxic": F.lit(None).cast("tinyint")})
+        base = base.join(F.broadcast(one.where(picked(F.xxhash64("doc_id")))), "doc_id", "left")     # about sample_docs at most
+    base = base.select("doc_id", "text", "quality", "toxic")
     sample = base.mapInArrow(_examples(tables), "doc_id long, votes array<tinyint>, features array<long>, "
                              "quality double, toxic double, judged boolean") \
         .withColumn("h", F.xxhash64("doc_id", "features")).persist()

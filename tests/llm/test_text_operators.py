@@ -362,6 +362,80 @@ def test_em_finds_accuracies():
     assert ((p >= 0.5) == y).mean() > 0.93
 
 
+def simulated_votes(n, right, review_right, reviewed, rng):
+    y = (rng.random(n) < 0.8).astype(int)
+    votes = [np.where(rng.random(n) < 0.2, -1, np.where(rng.random(n) < a, y, 1 - y)) for a in right]
+    review = np.where(rng.random(n) < reviewed, np.where(rng.random(n) < review_right, y, 1 - y), -1)
+    return y, np.stack([*votes, review], axis=1)
+
+
+@pytest.mark.parametrize("review_right", [0.97, 0.7])
+def test_em_estimates_the_reviewer_too(review_right):
+    y, votes = simulated_votes(30_000, (0.95, 0.9, 0.85, 0.8), review_right, 0.3, np.random.default_rng(5))
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    table, _ = quality.estimate(patterns, counts.astype(float), 4, 0.8)
+    for c in (0, 1):
+        assert abs(table[c, 4, 1 + c] / table[c, 4, 1:].sum() - review_right) < 0.06
+    p = quality.posterior(patterns, table, 0.8)[inverse.ravel()]
+    assert ((p >= 0.5) == y).mean() > 0.95
+    # a review that all labellers contradict does not decide
+    against = np.array([[1, 1, 1, 1, 0]])
+    assert quality.posterior(against, table, 0.8)[0] > 0.5
+
+
+def test_posterior_and_margin_are_plain_sums():
+    rng = np.random.default_rng(6)
+    table = rng.dirichlet([1, 1, 1], (2, 5))
+    patterns = rng.integers(-1, 2, (200, 5))
+    got = quality.posterior(patterns, table, 0.3)
+    for row, p in zip(patterns, got):
+        like = [0.7, 0.3]
+        for j, v in enumerate(row):
+            like = [like[c] * table[c, j, v + 1] for c in (0, 1)]
+        assert p == pytest.approx(like[1] / sum(like))
+    keys = np.unique(rng.integers(0, 2 ** 63, 50).astype(np.uint64))
+    scorer = quality.Scorer(keys, rng.normal(0, 1, len(keys)), rng.normal(0, 1, (2, 5)), 0.25, 0.0)
+    features = [rng.choice(np.r_[keys, rng.integers(0, 2 ** 63, 20).astype(np.uint64)], rng.integers(0, 30), replace=False) for _ in patterns]
+    weight = dict(zip(keys.tolist(), scorer.weights.tolist()))
+    for row, f, m in zip(patterns, features, scorer.margin(patterns, features)):
+        plain = 0.25 + sum(scorer.votes[v, j] for j, v in enumerate(row) if v >= 0) + sum(weight.get(k, 0.0) for k in f.tolist())
+        assert m == pytest.approx(plain)
+
+
+def votes_in_plain_python(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    low = ["".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in w) for w in words]
+    bare = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w for w in low]
+    rude = [w in quality.INSULTS or w in quality.CONTEMPT for w in bare]
+    calm = 0 if len(words) >= 20 and not any(rude) else -1
+    near = any(r and any(b in quality.ADDRESS for b in bare[max(0, i - 3):i + 4]) for i, r in enumerate(rude))
+    return [1 if any(w in quality.INSULTS for w in bare) else calm, 1 if any(w in quality.CONTEMPT for w in bare) else calm,
+            1 if sum(rude) / max(len(words), 1) > 0.002 else calm, 1 if sum(rude) >= 2 else calm, 1 if near else -1]
+
+
+def test_toxic_labellers_by_plain_python():
+    rng = random.Random(11)
+    pool = ["you", "Your", "idiot", "Moron!", "trash,", "(scum)", "the", "of", "house", "garden.", "\n", "dein", "pathetic"]
+    texts = ["", "one word", *(" ".join(rng.choices(pool[6:11] + rng.sample(pool, 3), k=rng.randint(1, 60))) for _ in range(400))]
+    off, data = text_buffers(pa.array(texts))
+    votes, _ = quality.Labellers()(off, data)
+    assert votes[:, list(quality.FOR_TOXIC)].tolist() == [votes_in_plain_python(t) for t in texts]
+
+
+def test_labels_come_from_the_posterior_not_the_reviews(spark):
+    """Reviews that say the opposite on a few rows change little: what trains is what all labellers say together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    wrong = labels.withColumns({c: F.when(some, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    keep = [{r.doc_id: r.keep for r in quality.quality_scores(docs, labels=x).collect()} for x in (labels, wrong)]
+    turned = [r.doc_id for r in labels.where(some).collect()]
+    assert np.mean([keep[0][d] == keep[1][d] for d in keep[0]]) > 0.93
+    assert np.mean([keep[0][d] == keep[1][d] for d in turned]) > 0.85
+    null = docs.unionByName(docs.limit(50).withColumn("doc_id", F.lit(None).cast("long")))
+    assert quality.quality_scores(null, labels=labels).count() == docs.count() + 50
+
+
 def test_quality_held_out(spark):
     """Scores of documents whose labels the fit doesn't see, at sf0.01 size."""
     base = "/root/testdata/sf0.01"
