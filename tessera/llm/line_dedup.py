@@ -5,10 +5,13 @@ with a digit standing as `<*>`. Where a leaf recurs as a whole and its lines agr
 least `similarity` of their positions, they are one template, the other positions being
 variable; in other leaves each masked line is its own template.
 
-A template recurs when documents hold it between different lines: of its distinct
-(line before, line after) pairs, at least `min_contexts`, no line before (or no line
-after) makes up more than one in `min_contexts`. So the lines of exact and near copies of a
-document, which keep their neighbours, are left to the duplicate operators.
+A template recurs when enough different texts hold it between different lines: of its
+distinct (line before, line after) pairs, at least `min_contexts`, no line before (or no
+line after) makes up more than one in `min_contexts`, and the pairs count for that many
+documents. A document's start or end is no neighbour. Runs of lines that many texts share
+are judged in the same way by what stands around the run, so the inner lines of a licence or a menu
+go with its edges. The lines of exact and near copies of a document keep their neighbours
+and are left to the duplicate operators.
 
 The texts are read once into a written table of line hashes (again only for leaves that
 may be templates) and move once, in the last join; all counting works on the hashes and
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import MAX_ID, fresh, written
 
 DEPTH, SIMILARITY, MIN_CONTEXTS = 4, 0.7, 5
-OWN_SHARE = 0.2     # of a text's lines not shared; with less, its runs of shared lines show nothing
+OWN_LINES = 5       # a text of which fewer than one line in so many is its own is a near copy: its runs show nothing
 BLANKS = "\t\r\x0b\x0c"
 
 
@@ -61,12 +64,11 @@ def _lines(df: DataFrame, text_col: str, keys: list[Column], depth: int) -> Data
         _id(tokens, F.substring_index("masked", " ", depth)).alias("leaf"))
 
 
-def wide_leaves(lines: DataFrame, slim: DataFrame, similarity: float, min_contexts: int,
-                edges: bool = True, blocks: bool = False) -> DataFrame | None:
+def wide_leaves(lines: DataFrame, slim: DataFrame, similarity: float, min_contexts: int) -> DataFrame | None:
     """Leaves of several masked lines that recur as a whole and agree in enough positions
     to be one template. `slim` holds the same lines without their texts, written; only if
     such leaves exist are their lines read again."""
-    found = _recurring(slim.withColumnRenamed("leaf", "id"), min_contexts, edges, blocks).withColumnRenamed("id", "leaf")
+    found = recurring(slim.withColumnRenamed("leaf", "id"), min_contexts).withColumnRenamed("id", "leaf")
     several = (slim.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several")
                .join(found, "leaf"))
     several = written(several.select("leaf"), "line-leaves")
@@ -79,35 +81,25 @@ def wide_leaves(lines: DataFrame, slim: DataFrame, similarity: float, min_contex
     return written(fixed.where(F.col("share") >= similarity).select("leaf"), "line-templates")
 
 
-def _recurring(lines: DataFrame, min_contexts: int, edges: bool, blocks: bool) -> DataFrame:
-    return recurring_in_documents(lines, min_contexts) if blocks else recurring(lines, min_contexts, edges)
-
-
-def recurring(lines: DataFrame, min_contexts: int, edges: bool = True) -> DataFrame:
-    """Templates (`id`) that stand between different lines. Without `edges` a document's start
-    or end is a context of its own but no neighbour that could be the same one too often."""
-    return _between(lines.select("id", "before", "after").distinct(), min_contexts, edges).select("id")
-
-
-def _between(where: DataFrame, min_contexts: int, edges: bool) -> DataFrame:
-    """Ids of distinct (id, before, after) that recur."""
+def _between(where: DataFrame, min_contexts: int) -> DataFrame:
+    """Ids of distinct (id, before, after) that stand between different lines."""
     def side(c: str) -> DataFrame:
-        top = F.col("n") if edges else F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0)
+        top = F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0)
         return (where.groupBy("id", c).agg(F.count("*").alias("n"))
                 .groupBy("id").agg(F.sum("n").alias(f"all_{c}"), F.max(top).alias(f"top_{c}")))
     return (side("before").join(side("after"), "id")
             .where((F.col("all_before") >= min_contexts)
-                   & (F.least("top_before", "top_after") * min_contexts <= F.col("all_before"))))
+                   & (F.least("top_before", "top_after") * min_contexts <= F.col("all_before"))).select("id"))
 
 
-def recurring_in_documents(lines: DataFrame, min_contexts: int) -> DataFrame:
-    """Templates that recur over documents, alone or as part of a block.
+def recurring(lines: DataFrame, min_contexts: int) -> DataFrame:
+    """Templates (`id`) that recur over documents, alone or as part of a block.
 
     A template is shared if `min_contexts` different texts hold it. It recurs if it stands
     between different lines, or if the runs of shared lines that hold it do (blank lines
-    don't break a run); the latter counts in texts with at least OWN_SHARE lines that are
-    not shared, since the rest are near copies. A context counts for the least text that
-    has it, and the contexts of a template must count for `min_contexts` texts."""
+    don't break a run); the latter counts in texts of which at least one line in OWN_LINES is
+    not shared, since the rest are near copies. A context counts for the least document that
+    has it, and the contexts of a template must count for `min_contexts` documents."""
     shared = written(lines.select("id", "k1").distinct().groupBy("id").agg(F.count("*").alias("n"))
                      .where(F.col("n") >= min_contexts).select("id"), "line-shared")
     told = lines.select("k0", "k1", "pos", "id").join(shared.withColumn("shared", F.lit(True)), "id", "left").select(
@@ -115,28 +107,24 @@ def recurring_in_documents(lines: DataFrame, min_contexts: int) -> DataFrame:
         F.when(F.col("shared").isNull(), F.col("id.x")).alias("line"))
     text = Window.partitionBy("k0", "k1")
     up, down = (text.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("pos"), F.desc("pos")))
-    runs = told.select("k1", "id", F.last("line", True).over(up).alias("before"), F.last("line", True).over(down).alias("after"),
+    runs = told.select("k0", "id", F.last("line", True).over(up).alias("before"), F.last("line", True).over(down).alias("after"),
                        F.count("line").over(text).alias("own"), F.count("*").over(text).alias("all"))
-    runs = runs.where(F.col("id").isNotNull() & (F.col("own") >= OWN_SHARE * F.col("all")))
+    runs = runs.where(F.col("id").isNotNull() & (F.col("own") * OWN_LINES >= F.col("all")))
     alone = lines.join(shared, "id", "left_semi")
     found = []
     for rows in (alone, runs):
-        where = written(rows.groupBy("id", "before", "after").agg(F.min("k1").alias("text")), "line-contexts")
-        texts = (where.select("id", "text").distinct().groupBy("id").agg(F.count("*").alias("n"))
+        where = written(rows.groupBy("id", "before", "after").agg(F.min("k0").alias("doc")), "line-contexts")
+        texts = (where.select("id", "doc").distinct().groupBy("id").agg(F.count("*").alias("n"))
                  .where(F.col("n") >= min_contexts).select("id"))
-        found.append(_between(where, min_contexts, False).select("id").join(texts, "id"))
+        found.append(_between(where, min_contexts).join(texts, "id"))
     return found[0].union(found[1]).distinct()
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
                similarity: float = SIMILARITY, min_contexts: int = MIN_CONTEXTS,
-               counts: bool = False, edges: bool = True, blocks: bool = False) -> DataFrame:
+               counts: bool = False) -> DataFrame:
     """`df` with its columns and rows, recurring template lines taken out of `text_col`;
-    with `counts` also n_lines and n_dropped. With `edges`, as in ORACLE, a document's start
-    and end count as one line each that templates stand beside; without, as neighbours of
-    no kind, so a line that is first in many documents and last in many others recurs.
-    With `blocks` lines are judged over documents, alone and in their blocks, see
-    `recurring_in_documents` (edges are then no neighbours either).
+    with `counts` also n_lines and n_dropped.
 
     Blank lines are no templates and stay. Null and empty texts have no lines and stay
     as they are; a text left without lines becomes empty. Repeated rows stay, each
@@ -147,13 +135,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias(k0), F.xxhash64(F.col(text_col)).alias(k1)]
     lines = _lines(df.where(F.col(text_col).isNotNull()), text_col, keys, depth)
     slim = written(lines.drop("masked"), "lines")
-    leaves = wide_leaves(lines, slim, similarity, min_contexts, edges, blocks)
+    leaves = wide_leaves(lines, slim, similarity, min_contexts)
     own = F.col("own")
     if leaves is not None:
         slim = slim.join(leaves.withColumn("wide", F.lit(True)), "leaf", "left")
         own = F.when(F.col("wide"), F.col("leaf")).otherwise(own)
     ided = slim.select("k0", "k1", "pos", "before", "after", own.alias("id"))
-    drop = (ided.join(written(_recurring(ided, min_contexts, edges, blocks), "line-recurring"), "id", "left_semi")
+    drop = (ided.join(written(recurring(ided, min_contexts), "line-recurring"), "id", "left_semi")
             .groupBy(F.col("k0").alias(k0), F.col("k1").alias(k1)).agg(F.collect_set("pos").alias(gone)))
     n = F.when(F.length(text_col) > 0, F.size(parts)).otherwise(0)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)),
@@ -167,8 +155,30 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     return out.select(*cols)
 
 
+def _recurring_sql(name: str, src: str) -> str:
+    """`recurring` of the rows (id, doc_id, text, pos, b, a) of `src`, as table `name`."""
+    side = lambda c: (f"select k, id, sum(n) as total, max(case when {c} is null then 0 else n end) as top from "
+                      f"(select k, id, {c}, count(*) as n from {name}_ctx group by k, id, {c}) group by k, id")
+    return f"""
+{name}_shared as (select id from {src} group by id having count(distinct text) >= 5),
+{name}_told as (select s.doc_id, s.pos, case when h.id is not null then s.id end as id, case when h.id is null then s.id end as line
+                from {src} s left join {name}_shared h on s.id = h.id),
+{name}_runs as (select id, doc_id,
+                last_value(line ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as b,
+                first_value(line ignore nulls) over (partition by doc_id order by pos rows between 1 following and unbounded following) as a,
+                count(line) over (partition by doc_id) as own, count(*) over (partition by doc_id) as total from {name}_told),
+{name}_rows as (select 1 as k, id, b, a, doc_id from {src} semi join {name}_shared using (id)
+                union all select 2, id, b, a, doc_id from {name}_runs where id is not null and own * 5 >= total),
+{name}_ctx as (select k, id, b, a, min(doc_id) as d from {name}_rows group by k, id, b, a),
+{name}_docs as (select k, id from {name}_ctx group by k, id having count(distinct d) >= 5),
+{name}_b as ({side("b")}),
+{name}_a as ({side("a")}),
+{name} as (select distinct id from {name}_b join {name}_a using (k, id) semi join {name}_docs using (k, id)
+           where {name}_b.total >= 5 and least({name}_b.top, {name}_a.top) * 5 <= {name}_b.total)"""
+
+
 #: DuckDB SQL of the same, for `documents`: doc_id, n_lines, n_dropped and the text left.
-ORACLE = r"""
+ORACLE = rf"""
 with raw as (select doc_id, coalesce(text, '') as text, unnest(string_split(text, chr(10))) as line,
                     unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null),
 blank as (select *, translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ') as z from raw),
@@ -177,23 +187,18 @@ masked as (select *, regexp_replace(f, '[^ ]*[0-9][^ ]*', '<*>', 'g') as m from
 near as (select *, lag(z) over (partition by doc_id order by pos) as b,
                 lead(z) over (partition by doc_id order by pos) as a from masked),
 tok as (select *, string_split(m, ' ') as t from near where m <> ''),
-leaf as (select *, len(t) as n, array_to_string(t[1:4], ' ') as path, len(t) || ' ' || array_to_string(t[1:4], ' ') as lid from tok),
+leaf as (select *, len(t) || ' ' || array_to_string(t[1:4], ' ') as lid from tok),
+leaves as (select lid as id, doc_id, text, pos, b, a from leaf),
+{_recurring_sql("lrec", "leaves")},
 forms as (select distinct lid, m, t from leaf),
 several as (select lid from forms group by lid having count(*) >= 2),
-lctx as (select distinct lid, b, a from leaf),
-lb as (select lid, sum(c) as total, max(c) as top_b from (select lid, b, count(*) as c from lctx group by lid, b) group by lid),
-la as (select lid, max(c) as top_a from (select lid, a, count(*) as c from lctx group by lid, a) group by lid),
-lrec as (select lid from lb join la using (lid) where total >= 5 and least(top_b, top_a) * 5 <= total),
-cells as (select lid, unnest(t) as x, unnest(range(len(t))) as j from forms semi join several using (lid) semi join lrec using (lid)),
+cells as (select lid, unnest(t) as x, unnest(range(len(t))) as j from forms semi join several using (lid) semi join lrec on lid = lrec.id),
 same as (select lid, j, min(x) = max(x) as s from cells group by lid, j),
 wide as (select lid from same group by lid having avg(s::int) >= 0.7),
-ided as (select leaf.*, case when wide.lid is not null then leaf.lid else m end as id, wide.lid is not null as w
+ided as (select case when wide.lid is not null then 'leaf ' || leaf.lid else 'line ' || m end as id, doc_id, text, pos, b, a
          from leaf left join wide using (lid)),
-ctx as (select distinct id, w, b, a from ided),
-pb as (select id, w, sum(c) as total, max(c) as top_b from (select id, w, b, count(*) as c from ctx group by id, w, b) group by id, w),
-pa as (select id, w, max(c) as top_a from (select id, w, a, count(*) as c from ctx group by id, w, a) group by id, w),
-rec as (select id, w from pb join pa using (id, w) where total >= 5 and least(top_b, top_a) * 5 <= total),
-gone as (select distinct doc_id, pos from ided semi join rec using (id, w)),
+{_recurring_sql("rec", "ided")},
+gone as (select distinct doc_id, pos from ided semi join rec using (id)),
 kept as (select raw.doc_id, count(*) as n_kept, string_agg(line, chr(10) order by pos) as txt
          from raw anti join gone using (doc_id, pos) group by raw.doc_id),
 total as (select doc_id, case when any_value(text) = '' then 0 else count(*) end as n_lines from raw group by doc_id),

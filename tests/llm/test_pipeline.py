@@ -8,7 +8,7 @@ from llm.test_dedup import components_by_brute_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from tessera.llm.decontaminate import Items, normalised
+from tessera.llm.decontaminate import SEGMENT, Items, normalised
 from tessera.llm.queries import ORACLES, QUERIES, word_vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def test_stages_one_by_one(spark):
     groups = components_by_brute_force([(d, r.text) for d, r in lines.items()], 80)
     assert set(near) == {d for d, g in groups.items() if g[2]}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    index = Items(bench, 8, 0.08)
+    index = Items(bench, 8, 0.08, SEGMENT)
     held = {d for d, r in near.items() if list(index.regions(normalised(np.frombuffer(r.text.encode(), np.uint8))[0]))}
     assert set(clean) == set(near) - held
     own = Tokenizer.from_file(word_vocabulary())
@@ -53,6 +53,10 @@ def test_queries_without_sql_return_every_document(spark, name):
     out = QUERIES[name](spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     if name == "op7_token_packing":
-        assert sum(out.selectExpr("explode(doc_ids) d").distinct().count() for _ in (0,)) <= n
+        spoken = spark.read.parquet(f"{SF}/documents.parquet").where(r"text rlike '\\S'").select("doc_id")
+        assert {r.d for r in out.selectExpr("explode(doc_ids) d").collect()} == {r.doc_id for r in spoken.collect()}
+    elif name == "op12_best_fit_packing":
+        assert out.count() == out.select("doc_id", "piece").distinct().count()
+        assert out.where("piece = 0").count() == n
     else:
         assert out.count() == out.select("doc_id").distinct().count() == n

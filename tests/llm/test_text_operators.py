@@ -220,7 +220,7 @@ def test_line_dedup_first_and_last_lines(spark):
     line = "all rights reserved by the owners"
     rows = [(d, f"{line}\nbody {chr(97 + d)} goes on" if d % 2 else f"body {chr(97 + d)} goes on\n{line}") for d in range(20)]
     rows += [(100 + d, "alone in its copies\nand the second line") for d in range(30)] + [(200 + d, "one line only") for d in range(30)]
-    left = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), edges=False).collect()}
+    left = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(left[d] == (f"body {chr(97 + d)} goes on" if d < 20 else t) for d, t in rows)
 
 
@@ -238,16 +238,16 @@ def test_line_dedup_blocks(spark, place):
     song = "\n".join(f"verse {chr(97 + i)} of it\nand the refrain" for i in range(9))
     near = [(200 + d, "\n".join(f"line {chr(97 + i)} of a near copy" for i in range(20)) + f"\nsigned by {chr(97 + d)}") for d in range(12)]
     df = spark.createDataFrame([*rows, (100, song), *near], "doc_id long, text string")
-    left = {r.doc_id: r.text for r in line_dedup(df, edges=False, blocks=True).collect()}
+    left = {r.doc_id: r.text for r in line_dedup(df).collect()}
     assert all([x for x in left[d].split("\n") if x] == [x for x in t.split("\n") if x.startswith("own")] for d, t in rows)
     assert left[100] == song
     assert all(t.split("\n")[:19] == left[d].split("\n")[:19] for d, t in near)
 
 
 def test_line_dedup_blocks_odd_rows(odd, empty):
-    left = line_dedup(odd, edges=False, blocks=True)
+    left = line_dedup(odd)
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(TEXTS)
-    assert line_dedup(empty, edges=False, blocks=True).count() == 0
+    assert line_dedup(empty).count() == 0
 
 
 def test_line_dedup_odd_rows(odd, empty):
