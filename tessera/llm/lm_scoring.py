@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import U64, chunks, id_text, mix64, text_buffers, word_hashes, word_spans, written
 
 BACKOFF, ORDER = 0.4, 3
-CHUNK_TEXT = 8 << 20            # text whose n-grams are combined before they are dealt out
+CHUNK_TEXT = 4 << 20            # text whose n-grams are combined before they are dealt out
 PASSES = 2                      # shares of the n-grams; one at a time lies on disk
 PARTS = 3                       # shares of the chunks that meet their counts at one time
 OUT_ROWS = 1 << 16
