@@ -15,6 +15,7 @@ _MODULES = [
     "tessera.plans.model_queries",
     "tessera.plans.forecast_queries",
     "tessera.plans.image_queries",
+    "tessera.plans.catalog_queries",
 ]
 
 
