@@ -133,6 +133,24 @@ kept as (select word.doc_id, count(*) as n, string_agg(x, ' ' order by pos) as t
 select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed,
        sha256(coalesce(txt, '')) as kept_sha256
 from d left join kept using (doc_id)""",
+    "op10_bbit_minhash": r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0),
+h as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as x from s),
+n as (select doc_id, count(*) as n from h group by doc_id),
+-- texts of equal sets stand for each other
+set_of as (select doc_id, md5(string_agg(x, chr(10) order by x)) as k from h group by doc_id),
+rep as (select k, min(doc_id) as r from set_of group by k),
+hr as (select doc_id, x from h semi join rep on h.doc_id = rep.r),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from hr a join hr b on a.x = b.x and a.doc_id < b.doc_id group by all),
+e as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+sym as (select a, b from e union all select b, a from e),
+reach as (select r as doc, r as seen from rep union select reach.doc, sym.b from reach join sym on reach.seen = sym.a),
+lowest as (select doc, min(seen) as component_id from reach group by doc)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, w.doc_id) as component_id,
+       coalesce(component_id, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join set_of using (doc_id) left join rep using (k) left join lowest on lowest.doc = rep.r""",
     "op13_lexical_search": r"""
 with doc as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
