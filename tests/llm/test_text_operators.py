@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -189,6 +190,59 @@ def test_find_pii_learns_secrets(spark):
     assert all(len(r.base) <= len(r.spans) for r in found)
 
 
+def test_find_pii_learns_numbers_and_spelt_addresses(spark):
+    """National numbers and spelt-out addresses beside clean numbers and sentences; none of them has a base format."""
+    rng = random.Random(12)
+    num = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, private, clean = [], {}, {}
+    for d in range(600):
+        good = f"({num(3)}) {num(3)}-{num(4)}" if d % 2 else f"{name()} at {name()} dot com"
+        bad = rng.choice([f"version {num(2)}.{num(3)}.{num(4)}", f"page {num(8)}", "look at the dot over there dot now", f"sum {num(9)}"])
+        lead = "call " if d % 2 else "write "
+        rows.append((d, f"some words here, {lead}{good} today; {bad} and more words"))
+        private[d], clean[d] = good, bad
+    found = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    caught = [any(rows[d][1][s.start:s.end] == private[d] and s.kind == ("phone" if d % 2 else "email") for s in r.spans) for d, r in found.items()]
+    touched = [any(s.end > rows[d][1].index(clean[d]) and s.start < rows[d][1].index(clean[d]) + len(clean[d]) for s in r.spans)
+               for d, r in found.items()]
+    assert not any(r.base for r in found.values())
+    assert np.mean(caught) > 0.9 and np.mean(touched) < 0.02
+
+
+def test_pii_of_a_long_list_takes_seconds():
+    from tessera.llm.pii import _labelled, _select
+    text = " ".join(f"user{i}@mail{i % 97}.example.com 10.0.{i % 256}.{i % 200}" for i in range(100_000))
+    batch = pa.record_batch({"doc_id": [1], "text": [text]})
+    began = time.process_time()
+    assert sum(b.num_rows for b in _labelled([batch])) >= 200_000
+    out = list(_select(None)([batch]))
+    assert len(out[0]["base"][0].as_py()) == 200_000
+    assert time.process_time() - began < 60
+
+
+def test_spans_and_calibration_by_brute_force():
+    from tessera.llm.pii import Spans, calibrated
+    rng = random.Random(13)
+    for _ in range(200):
+        pairs = [(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 12)))]
+        spans = Spans(pairs)
+        for _ in range(20):
+            a = rng.randint(0, 70)
+            e = a + rng.randint(1, 5)
+            assert spans.meets(a, e) == any(x < e and a < z for x, z in pairs)
+            if not spans.meets(a, e):
+                spans.add(a, e)
+                pairs.append((a, e))
+    margin = np.round(np.random.default_rng(1).normal(0, 1, 400), 1)
+    label = (np.random.default_rng(2).random(400) < 1 / (1 + np.exp(-2 * margin))).astype(float)
+    at, p = calibrated(margin, label)
+    assert (np.diff(p) > 0).all()
+    for m in np.unique(margin):         # max-min formula of isotonic regression
+        want = max(min(label[(margin >= a) & (margin <= z)].mean() for z in np.unique(margin[margin >= m])) for a in np.unique(margin[margin <= m]))
+        assert p[np.searchsorted(at, m, side="right") - 1] == pytest.approx(want)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("mail a@b.cd now", [("email", 5, 11)]), (None, None)],
                                "t string, s array<struct<kind:string,start:long,end:long>>")
