@@ -133,7 +133,8 @@ def pack_tokens(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
     src = id_text(df, id_col, text_col)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / BYTES_A_TOKEN / shard_tokens))
-    pieces = src.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
+    # the row's number tells equal rows apart, so that they spread over the shards
+    pieces = src.withColumn("key", F.xxhash64("doc_id", "text", F.monotonically_increasing_id())).mapInArrow(
         _pieces(sent, length, dtype), "doc_id long, part int, key long, n int, ids binary")
     return (pieces.withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)))
             .groupBy("shard").applyInArrow(
