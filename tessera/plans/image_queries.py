@@ -30,13 +30,21 @@ def _features(s, d):
     return x
 
 
+def _dense(s, d):
+    """(fitted head, images held out)."""
+    x = im.flatten(im.scale_and_index(_features(s, d), CLASSES))
+    sp = md.random_split(x, "key", 0.1, 0)
+    return im.dense_head(sp.filter(F.col("split") == "train"), [16], 10, 10), sp.filter(F.col("split") == "test")
+
+
 def _image_mlp(s, d):
-    x = im.flatten(im.scale_and_index(_features(s, d), CLASSES).withColumn(
-        "img", F.col("img")))
-    sp = md.random_split(x, "key", 0.1, 0).persist()
-    train = sp.filter(F.col("split") == "train")
-    model = im.dense_head(train, [16], 10, 10, max_iter=50)
-    return im.evaluate(model, sp.filter(F.col("split") == "test"))
+    model, test = _dense(s, d)
+    return im.evaluate(model, test)
+
+
+def _image_classify(s, d):
+    model, test = _dense(s, d)
+    return im.classify(model, test, CLASSES)
 
 
 def _stream_scores(s, d):
@@ -90,6 +98,7 @@ QUERIES = {
     "image_dropout": lambda s, d: im.dropout(_features(s, d), 0.5, 0, True),
     "image_flatten": lambda s, d: im.flatten(_features(s, d)).select("key", "label", "features"),
     "image_mlp_accuracy": _image_mlp,
+    "image_classify": _image_classify,
     "image_categories": lambda s, d: _img(s, d).withColumn("origin", F.concat(
         F.lit("/images/train/"), F.col("label"), F.lit("/"), F.col("key").cast("string"),
         F.lit(".png"))).transform(im.category_listing),

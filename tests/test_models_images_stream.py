@@ -172,6 +172,14 @@ def test_image_layers_shapes(spark):
         im.dense_head(None, [4], 3, last_units=2)
 
 
+def test_classified_images_agree_with_the_accuracy(spark):
+    rows = E.queries()["image_classify"](spark, SF_SMALL).collect()
+    acc = E.queries()["image_mlp_accuracy"](spark, SF_SMALL).first()
+    truth = {r.vec_id: str(r.label) for r in Tables(spark, SF_SMALL).embeddings.select("vec_id", "label").collect()}
+    assert len(rows) == acc.n and all(r.predicted in {str(i) for i in range(10)} for r in rows)
+    assert abs(np.mean([truth[r.key] == r.predicted for r in rows]) - acc.accuracy) < 1e-3
+
+
 def test_stream_scores_equal_batch(spark, pl):
     s = E.queries()["stream_scores"](spark, SF_SMALL)
     model, pred = md.train_classifier(pl, "payment_id", ["footfall", "total_charge"], "klass",
