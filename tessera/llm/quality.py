@@ -364,9 +364,9 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None,
     one = None if labels is None else seen_reviews(labels)
     if one is None:
         votes = votes.withColumns({"quality": none, "toxic": none})
-    else:       # rows without an id have no review, and don't meet on a key
-        votes = votes.where("doc_id is not null").join(one, "doc_id", "left").unionByName(
-            votes.where("doc_id is null").withColumns({"quality": none, "toxic": none}))
+    else:       # rows without an id have no review, and a second key spreads them
+        spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("votes"), F.lit(1 << 16))).otherwise(0)
+        votes = votes.withColumn("spread", spread).join(one.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
     cases = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.slice("votes", mine[0] + 1, len(mine)).alias("votes"),
                                          F.col(t).alias("review")) for t, mine, _ in TARGETS])).alias("c")
     seen = votes.select(cases).groupBy("c.target", "c.votes", "c.review").count().collect()     # at most 3 ** (votes + 1) a target
