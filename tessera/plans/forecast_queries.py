@@ -3,8 +3,6 @@ relational (split, moving average, its errors)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tessera.functions.columns import r4
 from tessera.operators import forecast as fc
 from tessera.operators import regressors as rg
