@@ -2,8 +2,8 @@
 benchmark passages, tokens. Each stage works on all that its predecessor kept, is
 written as Parquet to the shared folder and read again by the next one.
 
-All stages but the last return the columns of `documents`. Rows with equal ids, null
-texts, empty tables and further columns are handled as the operators say.
+All stages but the last return the columns of `documents` (and further ones, whatever their
+names). An empty table passes every stage as an empty table; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -36,14 +36,18 @@ def _shipped(stage: Stage) -> Stage:
 
 @_shipped
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label scorers call good and not toxic."""
+    """Documents that the weak-label scorers call good and not toxic. A null or empty text is
+    judged like a text without words; rows with equal texts are judged alike, whatever their ids; a row
+    without an id has no review."""
     scored = quality_scores(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(scored.columns[-1]).select(*docs.columns)
 
 
 @_shipped
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines whose template recurs; n_chars follows the text."""
+    """Texts without the lines whose template recurs; n_chars follows the text. No row goes: null and
+    empty texts stay as they are, a text left without lines becomes empty; repeated rows stay, each
+    without its recurring lines."""
     left = line_dedup(docs)
     return left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                            .otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -51,19 +55,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id.
+    Texts without words stay; of rows that share an id one stays; rows without an id rank after
+    all others."""
     return near_dup_kept(docs, percent=80)
 
 
 @_shipped
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts hold none and stay; repeated
+    rows stay or go together; items under eight bytes match nothing."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @_shipped
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) and the hash of what they decode to."""
+    """Token ids (little-endian unsigned 32-bit) and the hash of what they decode to, one row per
+    document; a null or empty text has no ids, repeated rows are encoded each."""
     return bpe_encode(docs, word_vocabulary()).select(
         "doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
