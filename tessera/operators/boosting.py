@@ -1,6 +1,6 @@
 """Regularised second-order gradient boosting (O-108).
 
-Rows are binned once. Every level of a round is one Spark aggregation: the tasks sum
+Rows are binned once, and rows of the same bins and class are counted as one. Every level of a round is one Spark aggregation: the tasks sum
 gradients and hessians per (class, node, feature, bin), Spark adds the tasks' sums, and
 the driver picks the splits from the histogram, whose size does not depend on the
 rows. Two classes take one tree a round (logistic loss), more take one tree per class
@@ -191,7 +191,10 @@ class _Fit:
         self.rows = self._binned(df, x, label).checkpoint()
 
     def _binned(self, df: DataFrame, x: str, label: str) -> DataFrame:
-        cuts, missing, classes, width, start = self.cuts, self.missing, np.array(self.classes), self.trees_a_round, self.start
+        """Bins, class, margins and number of rows. Rows of the same bins and class have the same
+        margins in every round, so they stay one row, unless each is drawn for itself."""
+        cuts, missing, classes = self.cuts, self.missing, np.array(self.classes)
+        start = np.full(self.trees_a_round, self.start).tobytes()
 
         def run(batches):
             for b in batches:
@@ -201,12 +204,15 @@ class _Fit:
                     ok = ~np.isnan(v[:, f])
                     bins[ok, f] = np.searchsorted(c, v[ok, f], side="right")
                 y = np.searchsorted(classes, b.column(2).to_numpy())
-                margin = np.full((b.num_rows, width), start)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array(y.astype(np.int32)),
-                     pa.array([r.tobytes() for r in margin], pa.binary())], names=["id", "bins", "y", "margin"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in bins], pa.binary()),
+                                                  pa.array(y.astype(np.int32))], names=["id", "bins", "y"])
         src = df.select(F.monotonically_increasing_id().alias("id"), F.col(x).alias("x"), F.col(label).cast("double").alias("y"))
-        return src.mapInArrow(run, "id long, bins binary, y int, margin binary")
+        rows = src.mapInArrow(run, "id long, bins binary, y int")
+        if self.p["subsample"] < 1:
+            rows = rows.withColumn("n", F.lit(1).cast("long"))
+        else:
+            rows = rows.groupBy("bins", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        return rows.select("id", "bins", "y", F.lit(start).alias("margin"), "n")
 
     def histogram(self, trees: list[Tree], level: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums of gradients and hessians (tree, node of the level, feature, bin)."""
@@ -220,7 +226,7 @@ class _Fit:
                 if not b.num_rows:
                     continue
                 ids, bins, y, margin = _now(b, done, dim, p["max_depth"])
-                g, h = gradients(margin, y, p)
+                g, h = (v * b.column(4).to_numpy()[:, None] for v in gradients(margin, y, p))
                 if p["subsample"] < 1:
                     drawn = _uniform(ids, p["random_state"], turn) < p["subsample"]
                     bins, g, h = bins[drawn], g[drawn], h[drawn]

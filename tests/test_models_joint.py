@@ -238,3 +238,21 @@ def test_a_failing_algorithm_ends_the_comparison(spark, monkeypatch):
     assert spark.range(10).count() == 10
     with pytest.raises(ValueError):
         md.compare_algorithms(df, "id", cols, "l", ["XGBoost"], {"XGBoost": {"trees": 1}})
+
+
+def test_rows_of_the_same_bins_are_one_row_of_the_rounds(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, (400, 2)).astype(float)
+    df, cols = frame(spark, x, (x.sum(axis=1) > 5).astype(int))
+    rows = df.select(F.array(*cols).alias("x"), "l")
+    whole = bo._Fit(rows, "x", "l", 2, bo.BOOSTING_PARAMS | {"subsample": 0.999999999})
+    fit = bo._Fit(rows, "x", "l", 2, dict(bo.BOOSTING_PARAMS))
+    assert fit.rows.count() == len(np.unique(x, axis=0)) < whole.rows.count() == 400
+    assert fit.rows.agg(F.sum("n")).first()[0] == 400
+    for _ in range(3):
+        a, b = whole.round(0), fit.round(0)
+        assert (a[0].feature == b[0].feature).all() and np.allclose(a[0].value, b[0].value, rtol=1e-12)
+        whole.new.append(a)
+        fit.new.append(b)
+    fit.write_margins()
+    assert fit.rows.agg(F.sum("n")).first()[0] == 400
