@@ -20,6 +20,12 @@ def fourier_weights(dim: int, n: int, gamma: float, seed: int) -> tuple[np.ndarr
     return rng.normal(0.0, np.sqrt(2.0 * gamma), (dim, n)), rng.uniform(0.0, 2.0 * np.pi, n)
 
 
+def fourier_features(x: np.ndarray, n: int, gamma: float, seed: int) -> np.ndarray:
+    """The n cosines of every row (``gamma`` 0: 1 / dimension)."""
+    w, phase = fourier_weights(x.shape[1], n, gamma or 1.0 / x.shape[1], seed)
+    return np.cos(x @ w + phase) * np.sqrt(2.0 / n)
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
                             DefaultParamsReadable, DefaultParamsWritable):
     """Maps a vector x to ``numFeatures`` cosines whose inner products estimate the kernel
@@ -46,10 +52,7 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
             out = pd.Series([None] * len(x), dtype=object)
             rows = np.flatnonzero(x.notna().to_numpy())
             if len(rows):
-                v = np.stack(x.iloc[rows].to_list()).astype(np.float64)
-                w, phase = fourier_weights(v.shape[1], n, gamma or 1.0 / v.shape[1], seed)
-                z = np.cos(v @ w + phase) * np.sqrt(2.0 / n)
-                out.iloc[rows] = pd.Series(list(z), index=rows)
+                out.iloc[rows] = pd.Series(list(fourier_features(np.stack(x.iloc[rows].to_list()).astype(np.float64), n, gamma, seed)), index=rows)
             return out
 
         return df.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(F.col(self.getInputCol())))))

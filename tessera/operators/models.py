@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import numeric_columns, portable_hash
-from tessera.functions.kernels import RandomFourierFeatures
 from tessera.functions.knn import knn
 from tessera.functions.ranking import with_group_rank
 from tessera.operators.boosting import BOOSTING_PARAMS, BoostedTrees
 from tessera.operators.clustering import NearestCentre, joint_kmeans
+from tessera.operators.svm import FourierSVC
 
 # Algorithm names offered by the modelling pages.
 CLASSIFIERS = ["K Nearest Neighbour", "Decision Tree", "Random Forest", "Support Vector Machine",
@@ -226,9 +226,9 @@ def classification_pipeline(train: DataFrame, features: Sequence[str], label: st
                                           outputCol="features_poly"))
         stages.append(classifier_estimator(algorithm, p, label, "features_poly", n_train))
     elif algorithm == "Support Vector Machine" and p.get("kernel") == "rbf":
-        stages.append(RandomFourierFeatures(inputCol="features", outputCol="features_rbf", gamma=float(p["gamma"]),
-                                            seed=int(p["random_state"])))
-        stages.append(classifier_estimator(algorithm, p, label, "features_rbf", n_train))
+        stages.append(FourierSVC(reg=1.0 / max(float(p["C"]), 1e-12) / max(n_train, 1), gamma=float(p["gamma"]), tol=float(p["tol"]),
+                                 max_iter=100 if int(p["max_iter"]) < 0 else int(p["max_iter"]), seed=int(p["random_state"]),
+                                 labelCol=label))
     else:
         stages.append(classifier_estimator(algorithm, p, label, n_train=n_train))
     return Pipeline(stages=stages)

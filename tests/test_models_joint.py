@@ -256,3 +256,25 @@ def test_rows_of_the_same_bins_are_one_row_of_the_rounds(spark):
         fit.new.append(b)
     fit.write_margins()
     assert fit.rows.agg(F.sum("n")).first()[0] == 400
+
+
+def test_rbf_machine_stores_no_cosines(spark):
+    from tessera.operators.svm import FourierSVC, lbfgs
+    rng = np.random.default_rng(10)
+    x = rng.uniform(-1, 1, (600, 2))
+    df, cols = frame(spark, x, (np.abs(x).max(axis=1) * 3).astype(int))
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+    pipe = md.classification_pipeline(df, cols, "l", "Support Vector Machine", {"kernel": "rbf"})
+    assert isinstance(pipe.getStages()[-1], FourierSVC)
+    model = FourierSVC(reg=1e-4, gamma=2.0, labelCol="l").fit(rows)
+    out = model.transform(rows)
+    assert not any("rbf" in c for c in out.columns)
+    assert out.where("prediction = l").count() > 540
+    # a quadratic with known minimum
+    a, run = np.diag([1.0, 10.0, 100.0]), lbfgs(np.full(3, 5.0), 100, 1e-9)
+    p = next(run)
+    try:
+        while True:
+            p = run.send((p @ a @ p / 2, a @ p))
+    except StopIteration as end:
+        assert np.abs(end.value).max() < 1e-3
