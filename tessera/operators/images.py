@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STEP_IMAGES = 256           # images whose results a task holds at once
 IMG_SCHEMA = "key long, label string, img array<float>, height int, width int, channels int"
 
 
@@ -57,13 +58,14 @@ def _map_images(df: DataFrame, fn) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            out = []
-            for r in pdf[cols].itertuples(index=False):
-                a = np.asarray(r.img, dtype=np.float64).reshape(r.height, r.width, r.channels)
-                b = fn(a, r.key)
-                out.append((r.key, r.label, b.astype(np.float32).ravel(), b.shape[0], b.shape[1],
-                            b.shape[2]))
-            yield pd.DataFrame(out, columns=cols)
+            for i in range(0, max(len(pdf), 1), STEP_IMAGES):
+                out = []
+                for r in pdf[cols].iloc[i:i + STEP_IMAGES].itertuples(index=False):
+                    a = np.asarray(r.img, dtype=np.float64).reshape(r.height, r.width, r.channels)
+                    b = fn(a, r.key)
+                    out.append((r.key, r.label, b.astype(np.float32).ravel(), b.shape[0], b.shape[1],
+                                b.shape[2]))
+                yield pd.DataFrame(out, columns=cols)
     extra = [c for c in df.columns if c not in cols]
     base = df.select(*cols)
     res = base.mapInPandas(run, IMG_SCHEMA)

@@ -246,3 +246,28 @@ def test_json_stream_query_accounts_for_every_payload(spark):
         assert r.reason == reasons.get(r.payment_id % 50)
     right = [r.prediction == want[r.payment_id] for r in rows if r.reason is None]
     assert np.mean(right) > 0.99
+
+
+def test_a_layer_gives_few_images_at_a_time():
+    """Results of a large batch do not pile up in the task."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators import images as im
+
+    class Frame:
+        columns = ["key", "label", "img", "height", "width", "channels"]
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+    run = im.resize(Frame(), 2, 2)
+    n = 2 * im.STEP_IMAGES + 7
+    batch = pd.DataFrame({"key": range(n), "label": "a", "img": [np.full(16, i, np.float32) for i in range(n)],
+                          "height": 4, "width": 4, "channels": 1})
+    parts = list(run(iter([batch, batch.iloc[:0]])))
+    assert [len(p) for p in parts] == [im.STEP_IMAGES, im.STEP_IMAGES, 7, 0]
+    got = pd.concat(parts)
+    assert got["key"].tolist() == list(range(n)) and all((v == k).all() and len(v) == 4 for k, v in zip(got["key"], got["img"]))
