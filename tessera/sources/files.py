@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 # Tokens read as missing (pandas' default list plus "?").
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "?"]
+# What every text that casts to a type looks like (others may look so too): a failed cast costs an exception.
+_BLANK = r"[\x00-\x20\x7F]*"
+LIKE_NUMBER = {"long": rf"\A{_BLANK}[+-]?[0-9]+{_BLANK}\z",
+               "double": rf"(?i)\A{_BLANK}[+-]?(?:\.?[0-9][0-9A-Fxp.+-]*|nan|inf(?:inity)?){_BLANK}\z"}
 
 
 def clean_header(name: str) -> str:
@@ -35,6 +39,11 @@ def normalise_nulls(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataF
                        .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def _no_number(col, kind: str):
+    """Whether a text casts to no number of the kind; only texts that look like one are cast."""
+    return ~F.when(col.rlike(LIKE_NUMBER[kind]), col.try_cast(kind).isNotNull()).otherwise(False)
+
+
 def infer_types(df: DataFrame) -> dict[str, str]:
     """One aggregate over all text columns: the narrowest of long / double / string that
     holds every non-null value; a column without values stays text."""
@@ -43,10 +52,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         col = F.col(f"`{c}`")
         nn = col.isNotNull()
         aggs.append(F.count(col).alias(f"n{i}"))
-        aggs.append(F.sum(F.when(nn & col.try_cast("long").isNull(), 1).otherwise(0))
-                    .alias(f"l{i}"))
-        aggs.append(F.sum(F.when(nn & col.try_cast("double").isNull(), 1).otherwise(0))
-                    .alias(f"d{i}"))
+        aggs.append(F.sum(F.when(nn & _no_number(col, "long"), 1).otherwise(0)).alias(f"l{i}"))
+        aggs.append(F.sum(F.when(nn & _no_number(col, "double"), 1).otherwise(0)).alias(f"d{i}"))
     row = df.agg(*aggs).collect()[0]
     out = {}
     for i, c in enumerate(df.columns):

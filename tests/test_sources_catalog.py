@@ -1,12 +1,15 @@
 """CSV ingest, header cleaning, versioned snapshots, undo, registry, metrics, delete, layers."""
 
 import os
+import random
 import struct
 import tempfile
+import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import models as md
 from tessera.sources import files as fs
@@ -27,6 +30,27 @@ def test_csv_nulls_header_and_types(spark):
     assert rows[2].c is None and rows[2].d is None
 
 
+def test_texts_are_told_from_numbers_as_by_casting_each(spark):
+    rng = random.Random(6)
+    odd = ["0x1p3", "-0X1.8P-2d", "1e5", "1e400", "1.", ".5", "+.5E-3f", "5D", "NaN", "-inf", "+Infinity", "\t12\n", "\x7f7", " 7\x1c",
+           "9223372036854775807", "9223372036854775808", "--1", "+", ".", "e5", "1 2", "12\u00a0", "\u0663", "1_0", "é1", "", "infin", "nanf"]
+    texts = odd + ["".join(rng.choice("0123456789+-.eExXpPdDfF naiNIty\n\x0b") for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind in ("long", "double"):
+        wrong = df.where(fs._no_number(F.col("t"), kind) != F.col("t").try_cast(kind).isNull())
+        assert wrong.collect() == []
+
+
+def test_a_column_of_texts_takes_about_as_long_as_one_of_numbers(spark):
+    took = {}
+    for name, one in {"warm": "1", "number": "1", "text": "R"}.items():
+        df = spark.range(600_000, numPartitions=4).select(F.concat(F.lit(one), F.when(F.col("id") < 0, "x").otherwise("")).alias("c"))
+        began = time.perf_counter()
+        assert fs.infer_types(df) == {"c": "string" if name == "text" else "long"}
+        took[name] = time.perf_counter() - began
+    assert took["text"] < 3 * took["number"] + 1
+
+
 def test_cash_csv_dates(spark):
     d = tempfile.mkdtemp(prefix="tessera-csv-")
     p = os.path.join(d, "cash.csv")
