@@ -1,8 +1,9 @@
 """K-means for many numbers of clusters and many starts at once (O-112, O-113).
 
 All models advance together: one scan and one aggregation per iteration serve every
-(k, start) that has not converged yet, and the numpy work inside a task is one matrix
-product against all their centres. Seeds are k-means++ draws made by the tasks: a row's
+(k, start) that has not converged yet. The points are packed once into blocks, spread over
+all cores, and the numpy work inside a task is matrix products with the centres of all
+models of as many clusters; the tasks' sums are added up as arrays. Seeds are k-means++ draws made by the tasks: a row's
 weight is its squared distance to the centres drawn so far, and the row with the
 smallest exponential variate of that rate, from a hash of the row, is a draw with
 probability in proportion to the weight. The starts draw one sequence each, whose first
@@ -12,11 +13,12 @@ k centres seed k clusters. Only centres and sums per centre reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-4            # of the mean variance: squared shift of the centres that ends a model
-STEP_ROWS = 2048            # rows against all centres at once
+STEP_ROWS = 1024            # rows against the centres at once
 
 
 def _centre_lists(value) -> list[list[float]]:
@@ -76,67 +78,103 @@ def _uniform(ids: np.ndarray, *key: int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def _points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-    return batch.column(0).to_numpy(zero_copy_only=False), x.reshape(batch.num_rows, -1)
+def _packed(points: DataFrame) -> RDD:
+    """The points (id, x) dealt out evenly over the cores, as blocks (row numbers, one row a point)."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()]), pa.array([x.tobytes()])], names=["ids", "x"])
+
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, points.rdd.getNumPartitions())
+    return points.repartition(parts, "id").mapInArrow(run, "ids binary, x binary").rdd.map(_block)
+
+
+def _block(row) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row.ids, np.int64)
+    return ids, np.frombuffer(row.x).reshape(len(ids), -1)
+
+
+def _moments(points: RDD) -> tuple[int, float]:
+    """Rows, and the mean of the features' variances."""
+    def run(blocks):
+        for _, x in blocks:
+            yield len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
+
+    def merge(a, b):
+        n, apart = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart * apart * (a[0] * b[0] / n)
+
+    if points.isEmpty():
+        return 0, 0.0
+    n, _, squares = points.mapPartitions(run).treeReduce(merge)
+    return n, float(np.mean(squares / n))
 
 
-def _draw(points: DataFrame, chosen: list[list[np.ndarray]], seed: int) -> list[np.ndarray | None]:
+def _draw(points: RDD, chosen: list[list[np.ndarray]], seed: int) -> list[np.ndarray | None]:
     """The next centre of every start, drawn by the squared distance to those it has."""
     turn = len(chosen[0])
 
-    def run(batches):
-        best: dict[int, tuple[float, list[float]]] = {}
-        for b in batches:
-            ids, x = _points(b)
-            for s, centres in enumerate(chosen if b.num_rows else []):
+    def run(blocks):
+        best: dict[int, tuple[float, np.ndarray]] = {}
+        for ids, x in blocks:
+            for s, centres in enumerate(chosen):
                 w = _squares(x, np.array(centres)).min(axis=1) if centres else np.ones(len(x))
                 with np.errstate(divide="ignore"):
                     race = np.where(w > 0, -np.log(_uniform(ids, seed, s, turn)) / w, np.inf)
                 k = int(race.argmin())
                 if race[k] < best.get(s, (np.inf,))[0]:
-                    best[s] = (float(race[k]), x[k].tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(best), pa.int32()), pa.array([r for r, _ in best.values()], pa.float64()),
-             pa.array([x for _, x in best.values()], pa.list_(pa.float64()))], names=["start", "race", "x"])
+                    best[s] = (float(race[k]), x[k].copy())
+        yield best
+
+    def merge(a, b):
+        return {s: min((v[s] for v in (a, b) if s in v), key=lambda c: c[0]) for s in a.keys() | b.keys()}
+
+    found = points.mapPartitions(run).treeReduce(merge)
+    return [found[s][1] if s in found else None for s in range(len(chosen))]
 
-    rows = points.mapInArrow(run, "start int, race double, x array<double>").groupBy("start").agg(
-        F.min_by("x", "race").alias("x")).collect()
-    found = {r.start: np.array(r.x) for r in rows}
-    return [found.get(s) for s in range(len(chosen))]
 
+def _nearest(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and score of the best centre, of scores (models, centres, rows); of equal ones the first."""
+    best, near = scores[:, 0].copy(), np.zeros((scores.shape[0], scores.shape[2]), np.int32)
+    for j in range(1, scores.shape[1]):
+        np.copyto(near, j, where=scores[:, j] < best)
+        np.minimum(best, scores[:, j], out=best)
+    return near, best
 
-def _step(points: DataFrame, centres: list[np.ndarray]):
+
+def _step(points: RDD, centres: list[np.ndarray]):
     """(rows, sums of coordinates, sum of squared distances) of every centre of every model."""
-    flat, dim = np.concatenate(centres), centres[0].shape[1]
     edges = np.r_[0, np.cumsum([len(c) for c in centres])]
-    sums = [f"s{i}" for i in range(dim)]
-
-    def run(batches):
-        n, cost, total = np.zeros(len(flat)), np.zeros(len(flat)), np.zeros((len(flat), dim))
-        for b in batches:
-            _, x = _points(b)
+    # neighbours with as many centres share their matrix products
+    groups = [[m for m, _ in g] for _, g in groupby(enumerate(centres), key=lambda c: len(c[1]))]
+    origin = centres[0][0]
+    stacked = [np.concatenate([centres[m] for m in g]) for g in groups]
+
+    def run(blocks):
+        out = np.zeros((int(edges[-1]), 2 + len(origin)))       # rows, squared distances (at a model's first centre), sums
+        near_by = [(int(edges[g[0]]), len(g), -2.0 * (c - origin), ((c - origin) ** 2).sum(axis=1)[:, None])
+                   for g, c in zip(groups, stacked, strict=True)]
+        for _, x in blocks:
             for i in range(0, len(x), STEP_ROWS):
                 part = x[i:i + STEP_ROWS]
-                d = _squares(part, flat)
-                member = np.zeros_like(d)
-                rows = np.arange(len(part))
-                for a, z in zip(edges[:-1], edges[1:], strict=True):
-                    near = a + d[:, a:z].argmin(axis=1)
-                    member[rows, near] = 1.0
-                    cost += np.bincount(near, weights=d[rows, near], minlength=len(flat))
-                n += member.sum(axis=0)
-                total += member.T @ part
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(cost[some]),
-                                          *(pa.array(total[some, k]) for k in range(dim))], names=["c", "n", "cost", *sums])
-
-    schema = ", ".join(["c int", "n double", "cost double", *(f"{s} double" for s in sums)])
-    rows = points.mapInArrow(run, schema).groupBy("c").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)]).collect()
-    n, cost, total = np.zeros(len(flat)), np.zeros(len(flat)), np.zeros((len(flat), dim))
-    for r in rows:
-        n[r.c], cost[r.c], total[r.c] = r[1], r[2], r[3:]
-    return [(n[a:z], total[a:z], float(cost[a:z].sum())) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                moved = part - origin
+                square, n = (moved * moved).sum(axis=1), len(part)
+                for a, models, c, size in near_by:
+                    scores = c @ moved.T
+                    scores += size
+                    near, best = _nearest(scores.reshape(models, -1, n))
+                    near += np.arange(0, len(c), len(c) // models, dtype=np.int32)[:, None]
+                    member = np.zeros((len(c), n))
+                    member[near, np.arange(n)] = 1.0
+                    mine = out[a:a + len(c)]
+                    mine[:, 0] += np.bincount(near.reshape(-1), minlength=len(c))
+                    mine[::len(c) // models, 1] += np.maximum(best + square, 0.0).sum(axis=1)
+                    mine[:, 2:] += member @ part
+        yield out
+
+    out = points.mapPartitions(run).treeReduce(np.add)
+    return [(out[a:z, 0], out[a:z, 2:], float(out[a:z, 1].sum())) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def joint_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int], n_init: int = 10, seed: int = 0,
@@ -147,13 +185,13 @@ def joint_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int], n_in
     variance, or after ``max_iter`` iterations; a centre without rows stays where it is. With
     fewer distinct rows than clusters the last centres repeat."""
     cols = [F.col(c).cast("double") for c in features]
-    points = df.dropna(subset=list(features)).select(F.monotonically_increasing_id().alias("id"), F.array(*cols).alias("x"))
-    points = points.persist()
+    points = _packed(df.dropna(subset=list(features)).select(F.monotonically_increasing_id().alias("id"), F.array(*cols).alias("x")))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = df.dropna(subset=list(features)).agg(F.count(F.lit(1)), *[F.var_pop(c) for c in cols]).first()
-        if not stats[0]:
+        rows, variance = _moments(points)
+        if not rows:
             raise ValueError("k-means needs at least one row")
-        enough = tol * float(np.mean([float(v) for v in stats[1:]]))
+        enough = tol * variance
         chosen: list[list[np.ndarray]] = [[] for _ in range(n_init)]
         for _ in range(max(ks)):
             for s, c in enumerate(_draw(points, chosen, seed)):

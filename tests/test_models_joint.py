@@ -63,6 +63,35 @@ def test_seeds_are_drawn_by_squared_distance(spark):
     assert few[0] == pytest.approx(0.0, abs=1e-6) and len(few[1]) == 4       # fewer distinct rows than clusters
 
 
+def test_points_of_one_partition_are_spread_over_the_cores(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(1e6, 1.0, (800, 3))
+    df, cols = frame(spark, x)
+    held, step = [], cl._step
+
+    def spy(points, centres):
+        held.append([n for n in getattr(points, "rdd", points).glom().map(len).collect() if n])
+        return step(points, centres)
+    monkeypatch.setattr(cl, "_step", spy)
+    cost, centre = cl.joint_kmeans(df.coalesce(1), cols, [1], n_init=1)[1]
+    assert len(held[0]) >= min(4, spark.sparkContext.defaultParallelism)
+    assert cost == pytest.approx(x.var(axis=0).sum() * len(x), rel=1e-6) and centre[0] == pytest.approx(x.mean(axis=0))
+
+
+def test_a_step_is_lloyds_for_every_model(spark):
+    x = np.random.default_rng(9).normal(0, 1.0, (3000, 5))
+    df, cols = frame(spark, x)
+    points = cl._packed(df.select("id", F.array(*cols).alias("x")))
+    assert cl._moments(points) == (3000, pytest.approx(x.var(axis=0).mean()))
+    centres = [x[a:a + k] for k, a in ((1, 0), (1, 9), (4, 20), (2, 30), (2, 40))] + [np.repeat(x[:1], 3, axis=0)]
+    for c, (n, total, cost) in zip(centres, cl._step(points, centres), strict=True):
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        assert cost == pytest.approx(d.min(axis=1).sum())
+        assert n.sum() == 3000 and total.sum(axis=0) == pytest.approx(x.sum(axis=0))
+        if len(np.unique(c, axis=0)) == len(c):
+            assert n.tolist() == np.bincount(d.argmin(axis=1), minlength=len(c)).tolist()
+            assert total == pytest.approx(np.array([x[d.argmin(axis=1) == k].sum(axis=0) for k in range(len(c))]))
+
+
 def test_elbow_is_no_worse_than_single_starts(spark):
     rng = np.random.default_rng(4)
     df, cols = frame(spark, rng.uniform(-1, 1, (400, 2)))
