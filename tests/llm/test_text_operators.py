@@ -210,6 +210,54 @@ def test_find_pii_learns_numbers_and_spelt_addresses(spark):
     assert np.mean(caught) > 0.9 and np.mean(touched) < 0.02
 
 
+def test_pii_is_fitted_on_all_candidates(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import pii
+    rng = random.Random(14)
+    rows = [(d, " ".join(f"item{rng.randint(0, 99)}number " + "".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(20)))
+            for d in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    news = [r.new for r in df.mapInArrow(pii._labelled, "doc_id long, start long, x array<double>, label double, new boolean").select("new").collect()]
+    judged, new = len(news), sum(news)
+    assert judged > 30_000
+    seen = {}
+
+    class Spy(pii.GBTClassifier):
+        def fit(self, data):
+            seen["train"] = data.agg(F.sum("n") if "n" in data.columns else F.count(F.lit(1))).first()[0]
+            return super().fit(data)
+    held = pii.thresholds
+    monkeypatch.setattr(pii, "GBTClassifier", Spy)
+    monkeypatch.setattr(pii, "thresholds", lambda rows, *a: seen.update(
+        held=len(rows) if isinstance(rows, np.ndarray) else rows.agg(F.sum("n")).first()[0]) or held(rows, *a))
+    trees, limits = pii.fit(df)
+    assert new <= seen["train"] + seen["held"] <= judged and 0.18 < seen["held"] / judged < 0.22
+    assert 4 in limits
+
+
+def test_thresholds_by_parts_are_those_of_all_rows(spark):
+    from tessera.llm.pii import _pooled, calibrated, thresholds
+    rng = np.random.default_rng(15)
+    kind = rng.integers(0, 4, 3000)
+    margin = np.round(rng.normal(0, 1, 3000), 2)
+    label = (rng.random(3000) < 1 / (1 + np.exp(-3 * margin))).astype(float) * (kind != 3)
+    n = rng.integers(1, 4, 3000)
+    df = spark.createDataFrame(list(zip(kind.tolist(), margin.tolist(), label.tolist(), n.tolist(), strict=True)),
+                               "kind int, margin double, label double, n long").repartition(5)
+    want, whole = {}, []
+    for k in range(4):
+        mine = kind == k
+        at, p = calibrated(np.repeat(margin[mine], n[mine]), np.repeat(label[mine], n[mine]))
+        whole += at.tolist()
+        if p[-1] >= 0.9:
+            want[k] = at[np.searchsorted(p, 0.9)]
+    assert len(want) == 3 and thresholds(df, 0.9) == want
+    cut = pa.record_batch({"kind": [0] * 4, "margin": [0.0, 1.0, 2.0, 3.0], "one": [1, 0, 2, 5], "n": [2, 2, 3, 5]})
+    assert [tuple(r.values()) for b in _pooled([cut.slice(0, 1), cut.slice(1)]) for r in b.to_pylist()] == [
+        (0, 0.0, 1, 4), (0, 2.0, 2, 3), (0, 3.0, 5, 5)]
+
+
 def test_pii_of_a_long_list_takes_seconds():
     from tessera.llm.pii import _labelled, _select
     text = " ".join(f"user{i}@mail{i % 97}.example.com 10.0.{i % 256}.{i % 200}" for i in range(100_000))
