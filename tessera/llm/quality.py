@@ -15,6 +15,7 @@ passes over the scan; the weights sent to the tasks have a fixed bound.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tessera.llm.common import U64, chunks, fresh, mix64, text_buffers, word_hashes, word_spans
+from tessera.llm.common import U64, chunks, fresh, mix64, text_buffers, word_hashes, word_spans, written
 
 SAMPLE_DOCS = 20_000        # documents the scorer is fitted on (about so many)
 HELD = 5                    # of so many reviewed documents one is held out
 FEATURES = 4096             # hashed features kept for each target
+PART_ROWS = 5_000           # sample documents in a part of the fit's table
 LEAST_DOCS = 5              # sample documents a feature occurs in
 LEAST_Z = 4.0               # standard errors by which its share of the class must differ
 PREFIX = 5                  # bytes of a word's beginning
@@ -310,8 +312,12 @@ def _train(rows: DataFrame, m: int) -> Scorer | None:
     def vectors(df: DataFrame) -> DataFrame:
         return df.select("votes", "features", "p").mapInArrow(_vectors(keys, m), kind)
 
+    # A step of the fit is a job over all its rows. These are bounded, so they are written in as many parts as
+    # they fill, however many the scan has: few tasks, and no plan of the texts, are sent and kept with each step.
+    parts = math.ceil(total["n"] / PART_ROWS)
+    examples = written(vectors(train.coalesce(parts)), "quality-train").coalesce(parts)
     # a soft label is two weighted rows
-    soft = vectors(train).select("features", F.explode(F.array(
+    soft = examples.select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("e")) \
         .select("features", "e.label", (F.col("e.w") * F.when(F.col("e.label") == 1, zero / one).otherwise(1.0)).alias("w")) \

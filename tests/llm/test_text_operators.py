@@ -553,6 +553,27 @@ def test_quality_held_out(spark):
     assert np.mean([r.toxic_margin > 0 for r in held if not r.toxic]) <= 0.08
 
 
+def test_quality_is_fitted_in_parts_of_its_rows(spark, monkeypatch):
+    """A step of the fit has tasks by the sample's rows, not by the scan's partitions, and carries no plan
+    of the texts: 200 steps a target would fill the driver with them."""
+    base, seen = "/root/testdata/sf0.01", []
+
+    class Watched(quality.LogisticRegression):
+        def fit(self, data):
+            seen.append((data.rdd.getNumPartitions(), "MapInArrow" in data._jdf.queryExecution().executedPlan().toString()))
+            return super().fit(data)
+    monkeypatch.setattr(quality, "LogisticRegression", Watched)
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    kept = [{r.doc_id for r in quality.quality_scores(d, labels=labels).where("keep").collect()}
+            for d in (docs.coalesce(1), docs.repartition(24))]
+    assert seen == [(1, False)] * 4
+    assert len(kept[0] ^ kept[1]) <= 0.005 * len(kept[0])      # sums in another order
+    monkeypatch.setattr(quality, "PART_ROWS", 200)
+    quality.fit(docs.repartition(24), "doc_id", "text", labels)
+    assert 1 < seen[-1][0] <= 5 and 1 < seen[-2][0] <= 5
+
+
 def test_quality_odd_rows(odd, empty):
     rows = quality.quality_scores(odd)
     assert rows.columns == [*odd.columns, "quality_margin", "toxic_margin", "keep_"] and rows.count() == len(TEXTS)
