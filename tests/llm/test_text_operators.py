@@ -555,7 +555,7 @@ def test_quality_held_out(spark):
 
 def test_quality_is_fitted_in_parts_of_its_rows(spark, monkeypatch):
     """A step of the fit has tasks by the sample's rows, not by the scan's partitions, and carries no plan
-    of the texts: 200 steps a target would fill the driver with them."""
+    of the texts: each step is a job, and the driver keeps a record of all."""
     base, seen = "/root/testdata/sf0.01", []
 
     class Watched(quality.LogisticRegression):
