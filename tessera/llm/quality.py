@@ -19,14 +19,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tessera.llm.common import U64, chunks, fresh, mix64, text_buffers, word_hashes, word_spans, written
+from tessera.llm.logistic import LogisticRegression
 
 SAMPLE_DOCS = 20_000        # documents the scorer is fitted on (about so many)
 HELD = 5                    # of so many reviewed documents one is held out
@@ -37,6 +35,7 @@ LEAST_Z = 4.0               # standard errors by which its share of the class mu
 PREFIX = 5                  # bytes of a word's beginning
 ITERATIONS = 100
 REGULARISED = 2e-4
+L1_SHARE = 0.3
 ABSTAIN = -1
 
 REVIEW_RIGHT, REVIEW_WEIGHT = 0.98, 50.0    # what is thought of reviews before the first round, as so many rows
@@ -248,14 +247,19 @@ def _examples(tables: dict):
     return run
 
 
-def _vectors(keys: np.ndarray, m: int):
-    """Sparse vectors (as MLlib stores them) of votes and the kept features, with p."""
+def _split(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes (a row each), all features, and where those of each row end, of rows (votes, features, ...)."""
+    votes = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(U64)
+    return votes, flat, np.r_[0, np.cumsum([len(v) for v in b.column(1)])].astype(np.int64)
+
+
+def _positions(keys: np.ndarray, m: int):
+    """Positions (int32 bytes) of votes and the kept features in the coefficients, with p."""
     def run(batches):
         for b in batches:
-            votes = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(U64)
-            size = np.array([len(v) for v in b.column(1)], np.int64)
-            row = np.repeat(np.arange(b.num_rows), size)
+            votes, flat, bound = _split(b)
+            row = np.repeat(np.arange(b.num_rows), np.diff(bound))
             at = np.searchsorted(keys, flat)
             at[at == len(keys)] = 0
             hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
@@ -263,14 +267,19 @@ def _vectors(keys: np.ndarray, m: int):
             rows = np.r_[vote_row, row[hit]]
             index = np.r_[vote_at + m * (votes[vote_row, vote_at] == 1), 2 * m + at[hit]]
             order = np.lexsort((index, rows))
-            bound = np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32)
-            n = b.num_rows
-            vector = pa.StructArray.from_arrays(
-                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, 2 * m + len(keys), np.int32)),
-                 pa.ListArray.from_arrays(bound, pa.array(index[order].astype(np.int32))),
-                 pa.ListArray.from_arrays(bound, pa.array(np.ones(len(order))))],
-                names=["type", "size", "indices", "values"])
-            yield pa.RecordBatch.from_arrays([vector, b.column(2)], names=["features", "p"])
+            ends = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
+            index = index[order].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([index[i:j].tobytes() for i, j in itertools.pairwise(ends)], pa.binary()),
+                                              b.column(2)], names=["index", "p"])
+    return run
+
+
+def _margins(scorer: Scorer):
+    def run(batches):
+        for b in batches:
+            votes, flat, bound = _split(b)
+            margin = scorer.margin(votes, [flat[i:j] for i, j in itertools.pairwise(bound)])
+            yield pa.RecordBatch.from_arrays([pa.array(margin), b.column(2)], names=["x", "p"])
     return run
 
 
@@ -307,27 +316,14 @@ def _train(rows: DataFrame, m: int) -> Scorer | None:
            .where((F.col("n") >= LEAST_DOCS) & (score >= LEAST_Z))
            .orderBy(score.desc(), "f").limit(FEATURES).select("f").collect())      # at most FEATURES rows
     keys = np.sort(np.array([r.f for r in top], np.int64).view(U64))
-    kind = StructType([StructField("features", VectorUDT()), StructField("p", DoubleType())])
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.select("votes", "features", "p").mapInArrow(_vectors(keys, m), kind)
-
     # A step of the fit is a job over all its rows. These are bounded, so they are written in as many parts as
     # they fill, however many the scan has: few tasks, and no plan of the texts, are sent and kept with each step.
     parts = math.ceil(total["n"] / PART_ROWS)
-    examples = written(vectors(train.coalesce(parts)), "quality-train").coalesce(parts)
-    # a soft label is two weighted rows
-    soft = examples.select("features", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("e")) \
-        .select("features", "e.label", (F.col("e.w") * F.when(F.col("e.label") == 1, zero / one).otherwise(1.0)).alias("w")) \
-        .where("w > 1e-4")
-    model = LogisticRegression(maxIter=ITERATIONS, regParam=REGULARISED, elasticNetParam=0.3, weightCol="w",
-                               standardization=False).fit(soft)
-    c = model.coefficients.toArray()
-    out = Scorer(keys, c[2 * m:], c[:2 * m].reshape(2, m), float(model.intercept), 0.0)
-    raw = model.transform(vectors(test)) \
-        .select(vector_to_array("rawPrediction")[1].alias("x"), "p").collect()     # two numbers of a fifth of the sample
+    found = train.select("votes", "features", "p").coalesce(parts).mapInArrow(_positions(keys, m), "index binary, p double")
+    examples = written(found, "quality-train").coalesce(parts)
+    c, bias = LogisticRegression(2 * m + len(keys), zero / one, ITERATIONS, REGULARISED, L1_SHARE).fit(examples)
+    out = Scorer(keys, c[2 * m:], c[:2 * m].reshape(2, m), bias, 0.0)
+    raw = test.select("votes", "features", "p").mapInArrow(_margins(out), "x double, p double").collect()   # two numbers of a fifth of the sample
     if raw:
         out.limit = best_limit(np.array([r.x for r in raw]), np.array([r.p for r in raw]) >= 0.5)
     return out
