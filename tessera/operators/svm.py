@@ -1,13 +1,15 @@
 """Support vector machine over random Fourier features (O-107, rbf kernel), one against the rest.
 
-The cosines are made inside the tasks from the few numbers of a row and are never stored
-or sent: a scan gives the sums of hinge losses and their gradients, for all classes
-together, and the driver takes the L-BFGS steps. As in MLlib's ``LinearSVC`` the loss is the
+The rows are packed once into blocks, spread over all cores. The cosines are made inside the
+tasks from the few numbers of a row and are never stored or sent: a scan gives the sums of
+hinge losses and their gradients, for all classes and several lengths of a step together, and
+the driver takes the L-BFGS steps. As in MLlib's ``LinearSVC`` the loss is the
 mean hinge loss plus ``reg / 2`` times the squared weights of the features scaled to unit deviation.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +27,52 @@ from pyspark.sql import functions as F
 from tessera.functions.kernels import fourier_features
 
 N_FEATURES = 512            # cosines
-STEP_ROWS = 2048            # rows whose cosines are held at once
+STEP_ROWS = 256             # rows whose cosines are held at once
 MAX_CLASSES = 1000
 MEMORY = 10                 # steps that L-BFGS looks back on
-TRIALS = 20                 # lengths of a step (weak Wolfe conditions, by bisection)
+TRIALS = 20                 # times that lengths of a step are tried (weak Wolfe conditions, by bisection)
+AT_ONCE = 8                 # lengths that a scan tries
 
 
 def _lists(value) -> list[list[float]]:
     return [[float(x) for x in row] for row in value]
 
 
-def _parts(batches, n: int, gamma: float, seed: int):
-    """(cosines, second column) of the batches, few rows at a time."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows (x, y) dealt out evenly over the cores, as blocks. Spark's own partitions follow the bytes: a
+    few numbers a row would leave all rows to one task."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([b.column(1).to_numpy().tobytes()])], names=["x", "y"])
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = cores * math.ceil(max(rows.rdd.getNumPartitions(), 1) / cores)
+    return rows.repartition(parts).mapInArrow(run, "x binary, y binary")
+
+
+def _blocks(batches):
+    """(features, labels) of the packed blocks."""
     for b in batches:
-        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-        y = b.column(1).to_numpy(zero_copy_only=False)
-        for i in range(0, b.num_rows, STEP_ROWS):
-            yield fourier_features(x[i:i + STEP_ROWS], n, gamma, seed), y[i:i + STEP_ROWS]
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            y = np.frombuffer(y)
+            yield np.frombuffer(x).reshape(len(y), -1), y
+
+
+def _parts(batches, n: int, gamma: float, seed: int):
+    """(cosines, labels) of the packed blocks, few rows at a time; the next ones take the place of the cosines."""
+    room = np.empty((STEP_ROWS, n))
+    for x, y in _blocks(batches):
+        for i in range(0, len(y), STEP_ROWS):
+            some = x[i:i + STEP_ROWS]
+            yield fourier_features(some, n, gamma, seed, room[:len(some)]), y[i:i + STEP_ROWS]
+
+
+def _labels(rows: DataFrame) -> np.ndarray:
+    def run(batches):
+        for _, y in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(y))], names=["y"])
+    return np.array(sorted(r.y for r in rows.mapInArrow(run, "y double").distinct().limit(MAX_CLASSES + 1).collect()))
 
 
 def _sums(rows: DataFrame, of, shape: tuple[int, int]) -> np.ndarray:
@@ -55,10 +86,14 @@ def _sums(rows: DataFrame, of, shape: tuple[int, int]) -> np.ndarray:
     return out.reshape(shape)
 
 
-def lbfgs(start: np.ndarray, max_iter: int, tol: float) -> Iterator[np.ndarray]:
+def lbfgs(start: np.ndarray, max_iter: int, tol: float, at_once: int = 1) -> Iterator[np.ndarray]:
     """Yields points, takes (loss, gradient) of each, and returns the best one. Ends when the
-    last ``MEMORY`` steps together lower the loss by less than ``tol`` of it."""
-    x, (f, g) = start, (yield start)
+    last ``MEMORY`` steps together lower the loss by less than ``tol`` of it. With ``at_once`` over 1
+    it yields tables of up to so many points, the lengths of a step that are tried together, and takes a list."""
+    def ask(points: list[np.ndarray]):
+        return (yield np.array(points)) if at_once > 1 else [(yield points[0])]
+
+    x, ((f, g),) = start, (yield from ask([start]))
     past = [f]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
@@ -75,22 +110,27 @@ def lbfgs(start: np.ndarray, max_iter: int, tol: float) -> Iterator[np.ndarray]:
             d += (a - (y @ d) / (y @ s)) * s
         if d @ g <= 0:
             d, steps = g.copy(), []
-        low, high, size, found = 0.0, np.inf, 1.0, False
+        low, high, last = 0.0, np.inf, None
+        sizes = 2.0 ** (np.arange(at_once) - at_once // 2)
         for _ in range(TRIALS):
-            there = x - size * d
-            f2, g2 = yield there
-            if f2 > f - 1e-4 * size * (d @ g):
-                high = size
-            elif g2 @ d > 0.9 * (d @ g):
-                low, found, last = size, True, (there, f2, g2)
-            else:
-                found, last = True, (there, f2, g2)
+            there = [x - size * d for size in sizes]
+            good = []
+            for size, p, (f2, g2) in zip(sizes, there, (yield from ask(there)), strict=True):
+                if f2 > f - 1e-4 * size * (d @ g):
+                    high = size
+                    break
+                if g2 @ d > 0.9 * (d @ g):
+                    low, last = size, (p, f2, g2)
+                else:
+                    good.append((p, f2, g2))
+            if good:
+                last = min(good, key=lambda t: t[1])
                 break
-            size = 2 * size if high == np.inf else (low + high) / 2
-        if not found and steps:
+            sizes = low * 2.0 ** np.arange(1, at_once + 1) if high == np.inf else low + (high - low) * np.arange(1, at_once + 1) / (at_once + 1)
+        if last is None and steps:
             steps = []
             continue
-        if not found:
+        if last is None:
             return x
         there, f2, g2 = last
         s, y = there - x, g2 - g
@@ -145,11 +185,11 @@ class FourierSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
     def _fit(self, df: DataFrame) -> FourierSVCModel:
         rows = df.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"))
-        classes = np.array(sorted(r[0] for r in rows.select("y").distinct().limit(MAX_CLASSES + 1).collect()))
-        if not len(classes) or len(classes) > MAX_CLASSES:
-            raise ValueError(f"labels must be of 1 to {MAX_CLASSES} classes")
-        rows = rows.persist()
+        rows = _packed(rows).persist()
         try:
+            classes = _labels(rows)
+            if not len(classes) or len(classes) > MAX_CLASSES:
+                raise ValueError(f"labels must be of 1 to {MAX_CLASSES} classes")
             weights = self._weights(rows, classes)
         finally:
             rows.unpersist()
@@ -168,14 +208,14 @@ class FourierSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
         many = count[0]
         std = np.sqrt(np.maximum(squares - total * total / many, 0.0) / max(many - 1, 1))
         scale = np.r_[np.where(std > 0, 1 / np.where(std > 0, std, 1.0), 0.0), 1.0]
-        runs = [lbfgs(np.zeros(n + 1), self.max_iter, self.tol) for _ in classes]
+        runs = [lbfgs(np.zeros(n + 1), self.max_iter, self.tol, AT_ONCE) for _ in classes]
         points = {c: next(run) for c, run in enumerate(runs)}
         found = np.zeros((len(classes), n + 1))
         while points:
-            asked = list(points)
-            w = np.array([points[c] * scale for c in asked])
+            of = np.repeat(list(points), [len(p) for p in points.values()])
+            asked = np.concatenate(list(points.values()))
 
-            def losses(batches, w=w, labels=classes[asked]):
+            def losses(batches, w=asked * scale, labels=classes[of]):
                 out = np.zeros((len(w), n + 2))
                 for z, y in _parts(batches, n, gamma, seed):
                     sign = np.where(y[:, None] == labels, 1.0, -1.0)
@@ -183,10 +223,12 @@ class FourierSVC(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
                     pull = np.where(short > 0, -sign, 0.0)
                     out += np.c_[np.maximum(short, 0.0).sum(axis=0), pull.T @ z, pull.sum(axis=0)]
                 return out
-            for c, sums in zip(asked, _sums(rows, losses, (len(w), n + 2)), strict=True):
-                free = np.r_[points[c][:-1], 0.0]       # without the intercept
+            sums = _sums(rows, losses, (len(asked), n + 2)) / many
+            free = np.c_[asked[:, :-1], np.zeros(len(asked))]       # without the intercept
+            loss, slope = sums[:, 0] + reg / 2 * (free * free).sum(axis=1), sums[:, 1:] * scale + reg * free
+            for c in list(points):
                 try:
-                    points[c] = runs[c].send((sums[0] / many + reg / 2 * (free @ free), sums[1:] * scale / many + reg * free))
+                    points[c] = runs[c].send(list(zip(loss[of == c], slope[of == c], strict=True)))
                 except StopIteration as end:
                     found[c] = end.value * scale
                     del points[c]

@@ -307,3 +307,52 @@ def test_rbf_machine_stores_no_cosines(spark):
             p = run.send((p @ a @ p / 2, a @ p))
     except StopIteration as end:
         assert np.abs(end.value).max() < 1e-3
+
+
+def test_rbf_rows_of_one_partition_are_spread_over_the_cores(spark, monkeypatch):
+    from tessera.operators import svm as sv
+    x = np.random.default_rng(11).uniform(-1, 1, (1000, 2))
+    df, cols = frame(spark, x, (x[:, 0] * x[:, 1] > 0).astype(int))
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(df.coalesce(1))
+    held, sums = [], sv._sums
+
+    def spy(rows, of, shape):
+        held.append([n for n in rows.rdd.glom().map(len).collect() if n])
+        return sums(rows, of, shape)
+    monkeypatch.setattr(sv, "_sums", spy)
+    sv.FourierSVC(reg=1e-3, labelCol="l", max_iter=1).fit(rows)
+    assert len(held) > 1 and all(len(n) >= min(4, spark.sparkContext.defaultParallelism) for n in held)
+
+
+def test_lengths_tried_together_take_fewer_scans():
+    from tessera.operators.svm import lbfgs
+    rng = np.random.default_rng(12)
+    x = rng.uniform(-1, 1, (2000, 2))
+    z = np.c_[np.cos(x @ rng.normal(0, 3, (2, 64)) + rng.uniform(0, 6, 64)), np.ones(len(x))]
+    sign = np.where(np.abs(x).max(axis=1) > 0.6, 1.0, -1.0)
+
+    def loss(w):
+        short = 1 - sign * (z @ w)
+        return np.maximum(short, 0).mean() + 1e-4 * (w @ w), -(sign * (short > 0)) @ z / len(x) + 2e-4 * w
+
+    def run(at_once):
+        run, scans = lbfgs(np.zeros(65), 100, 0.05, at_once), 0
+        asked = next(run)
+        while True:
+            scans += 1
+            try:
+                asked = run.send([loss(w) for w in asked] if at_once > 1 else loss(asked))
+            except StopIteration as end:
+                return scans, loss(end.value)[0]
+    one, many = run(1), run(8)
+    assert many[0] < one[0] and many[1] < 1.05 * one[1]
+
+
+def test_fourier_features_are_the_cosines():
+    from tessera.functions.kernels import fourier_features
+    x = np.r_[np.random.default_rng(13).normal(0, 3, (400, 3)), [[0.0, 0.0, 0.0], [1e4, -1e4, 1e3]]]
+    w, phase = fourier_weights(3, 64, 0.7, 2)
+    exact = np.cos(x @ w + phase) * np.sqrt(2 / 64)
+    room = np.empty((len(x), 64))
+    assert fourier_features(x, 64, 0.7, 2, room) is room
+    assert np.abs(room - exact)[:-1].max() < 1e-14 and np.abs(room - exact).max() < 1e-10
