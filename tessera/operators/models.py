@@ -143,7 +143,8 @@ def knn_classify(df: DataFrame, key: str, features: Sequence[str], label: str, k
             .otherwise(1.0 / F.col("dist"))
     else:
         wt = F.lit(1.0)
-    votes = nn.select(key, "_nn_label", wt.alias("_w")).groupBy(key, "_nn_label").agg(
+    # one shuffle, by the key, serves the votes, the best of them and the join
+    votes = nn.select(key, "_nn_label", wt.alias("_w")).repartition(key).groupBy(key, "_nn_label").agg(
         F.sum("_w").alias("_score"))
     w = Window.partitionBy(key).orderBy(F.desc("_score"), "_nn_label")
     pred = votes.select(key, F.col("_nn_label").alias("prediction"),
